@@ -4,10 +4,10 @@ parameters, to its whole table and derives the contract's columns from the real
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import bpe, licenses, media, packing
+from tonewright.llm import bpe, licenses, media, packing, quality, secrets, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,5 +43,29 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["number"] < len(secrets.BASE))
+    named = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("secrets", lambda s, k=k: s["number"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("secrets")).alias("spans"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")).drop("text")
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), keep=~held_out())
+    scored = toxicity.with_score(docs, model, score_col="score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
