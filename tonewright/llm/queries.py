@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import bpe, licenses, media, packing, quality, secrets, toxicity
+from tonewright.llm import bpe, jaccard, licenses, media, packing, quality, secrets, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")).drop("text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -67,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_license_scan": op1_license_scan, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
