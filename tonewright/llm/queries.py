@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import bpe, jaccard, licenses, media, packing, quality, secrets, toxicity
+from tonewright.llm import bpe, embeddings, jaccard, licenses, lm, media, packing, quality, secrets, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -31,6 +31,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, digest_only=True)
 
@@ -71,5 +79,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_lm_score": op2_lm_score, "op3_embedding_dedup": op3_embedding_dedup, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
