@@ -14,18 +14,55 @@ once each; an empty table gives no pieces; other columns are not kept.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from public_tokenizers import PATTERN
 from tonewright.llm import bpe
 from tonewright.llm.shared import stored
 
 
+class RankEncoder:
+    """Ids by a rank-based library, for vocabularies whose ids are their merge ranks."""
+
+    _made: dict[bytes, RankEncoder] = {}
+
+    def __init__(self, spec: bytes):
+        model, alphabet = json.loads(spec), bpe.byte_alphabet()
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in model.get("added_tokens", [])}
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        ranks = {bytes(alphabet[c] for c in s): i for s, i in model["model"]["vocab"].items() if s not in self.special}
+        self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, spec: bytes) -> RankEncoder | bpe.Automaton:
+        """The encoder of a tokenizer file, made once per process; if its ids are not in
+        the order of its merges, the automaton."""
+        if spec not in cls._made:
+            model = json.loads(spec)["model"]
+            vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            ordered = all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(merges))
+            cls._made[spec] = cls(spec) if ordered else bpe.automaton(spec)
+        return cls._made[spec]
+
+    def encode(self, text: str) -> bytes:
+        if self.split is None or not self.split.search(text):
+            return self._plain(text)
+        return b"".join(self.special.get(x) or self._plain(x) for x in self.split.split(text))
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.core.encode_ordinary(text)).tobytes()
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one: (doc_id, part, at, n, ids): tokens with the end token, packed as bytes,
     and the document's first position within its partition.  Written to the shared folder."""
@@ -34,7 +71,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = bpe.automaton(spec.value)
+        auto = RankEncoder.of(spec.value)
         context = TaskContext.get()
         part, at = context.partitionId() if context else 0, 0
         for batch in batches:
