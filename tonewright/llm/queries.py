@@ -55,7 +55,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["number"] < len(secrets.BASE))
     named = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["number"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    of_kind = lambda k: F.size(F.filter("secrets", lambda s: s["number"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("secrets")).alias("spans"))
 
 
