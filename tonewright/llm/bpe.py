@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words and table states kept per Python worker; a full table is emptied, results do not change.
-CACHE_WORDS, CACHE_STATES = 700_000, 400_000
+CACHE_WORDS, CACHE_STATES = 300_000, 150_000
 _STOPS = frozenset(".,;:!?|&%$#*)")
 _AUTOMATA: dict[str, Automaton] = {}
 
