@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tonewright import oracle as O
 from tonewright.functions import stats, text
 from tonewright.functions import vocab as V
-from tonewright.operators import diff, drift, index, overlay, quality_gate, rules, tone
+from tonewright.operators import diff, drift, gaps, index, overlay, quality_gate, rules, tone, validate
 from tonewright.sources import extract, files
 
 QUERIES = {}
@@ -491,3 +491,128 @@ def microcopy_budget(spark, d):
     aggs = [F.count("*").alias("texts")] + [x for e, c, w in BUDGETS for x in (F.count_if(F.col("n") > c).alias(f"{e}_c"), F.count_if(F.col("w") > w).alias(f"{e}_w"))]
     one = t.agg(*aggs)
     return one.select(F.inline(F.array(*[F.struct(F.lit(e).alias("element"), F.col("texts"), F.col(f"{e}_c").alias("over_chars"), F.col(f"{e}_w").alias("over_words")) for e, *_ in BUDGETS])))
+
+
+# --- integrity: a rule base with one seeded fault of each kind
+
+FAULTS = [
+    (1, "V1", "prose", "voice", "confirmed", "e1", False),
+    (2, "V1", "prose", "voice", "derived", "e1", False),
+    (3, "L01", "table", "lexicon", "", "e1", False),
+    (4, "L02", "prose", "lexicon", "certain", "e9", False),
+    (5, "Q1", "table", "mechanics", "assumed", "", False),
+    (6, "M01", "table", "mechanics", "derived", "", False),
+    (7, "V2", "prose", "voice", "confirmed", "e2", True),
+    (8, "V2", "prose", "voice", "confirmed", "e2", False),
+]
+LEDGER = [("e1", "interview", "V1,L01,M44"), ("e2", "hearsay", "V2")]
+_FAULTY = f"""r AS (SELECT * REPLACE (CASE WHEN evidence = '' THEN [] ELSE string_split(evidence, ',') END AS evidence) FROM {_values(FAULTS)} t(pos, id, kind, file, confidence, evidence, locked)), e AS (SELECT id, type, string_split(produced, ',') AS produced FROM {_values(LEDGER)} t(id, type, produced)),
+l AS (SELECT id, unnest(evidence) AS ev FROM r), mk AS (SELECT id AS eid, unnest(produced) AS id FROM e), fnd AS (
+SELECT 'W_PROSE_RULE_IN_TABLE_FILE' AS code, id AS ref FROM r WHERE kind = 'prose' AND file IN ('lexicon', 'mechanics')
+UNION ALL SELECT 'E_DUPLICATE_ID', id FROM (SELECT id, locked, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM r) WHERE n > 1 AND NOT (id LIKE 'V%' AND locked)
+UNION ALL SELECT 'E_UNKNOWN_PREFIX', id FROM r WHERE substring(id, 1, 1) NOT IN {O.among(V.ID_PREFIXES)}
+UNION ALL SELECT 'E_NO_CONFIDENCE', id FROM r WHERE confidence = ''
+UNION ALL SELECT 'E_UNKNOWN_CONFIDENCE', id FROM r WHERE confidence <> '' AND confidence NOT IN {O.among(V.CONFIDENCES)}
+UNION ALL SELECT 'E_BROKEN_EVIDENCE_REF', id || ':' || ev FROM l WHERE ev NOT IN (SELECT id FROM e)
+UNION ALL SELECT 'W_ONE_WAY_EVIDENCE', l.id || ':' || ev FROM l JOIN e ON e.id = l.ev WHERE NOT list_contains(produced, l.id)
+UNION ALL SELECT 'W_NO_EVIDENCE', id FROM r WHERE len(evidence) = 0 AND confidence <> 'assumed'
+UNION ALL SELECT 'E_UNKNOWN_EVIDENCE_TYPE', id FROM e WHERE type NOT IN {O.among(V.EVIDENCE_TYPES)}
+UNION ALL SELECT 'W_ORPHAN_EVIDENCE', eid || ':' || id FROM mk WHERE id NOT IN (SELECT id FROM r))"""
+
+
+@query("validate_rules", f"WITH {_FAULTY} SELECT CASE WHEN code LIKE 'E%' THEN 'error' ELSE 'warning' END AS severity, code, ref FROM fnd")
+def validate_rules(spark, d):
+    r = spark.createDataFrame(FAULTS, "pos int, id string, kind string, file string, confidence string, evidence string, locked boolean")
+    r = r.withColumn("evidence", F.when(F.col("evidence") == "", F.array().cast("array<string>")).otherwise(F.split("evidence", ",")))
+    e = spark.createDataFrame(LEDGER, "id string, type string, produced string").withColumn("produced", F.split("produced", ","))
+    return validate.rule_checks(r, e, r.select("id"))
+
+
+CELLS = [("social", "curious", {"warmth": 4, "humor": 2, "directness": 3, "detail": 1, "urgency": 1, "formality": 0}), ("email", "frustrated", {"warmth": 5, "humor": 1, "directness": 3}), ("fax", "bored", dict.fromkeys(V.DIALS, 0))]
+_CELLROWS = [(c, s, k, v) for c, s, m in CELLS for k, v in m.items()]
+_CELLSQL = f"cd AS (SELECT * FROM {_values(_CELLROWS)} t(context, state, dial, v)), cl AS (SELECT DISTINCT context, state, 'T-' || context || '/' || state AS ref FROM cd), cf AS (SELECT 'E_UNKNOWN_CONTEXT' AS code, ref FROM cl WHERE context NOT IN {O.among(V.CONTEXTS)} UNION ALL SELECT 'E_UNKNOWN_STATE', ref FROM cl WHERE state NOT IN {O.among(V.STATES)} UNION ALL SELECT 'E_DIAL_RANGE', 'T-' || context || '/' || state || ':' || dial FROM cd WHERE v NOT BETWEEN 0 AND 4 OR dial NOT IN {O.among(V.DIALS)} UNION ALL SELECT 'E_DIAL_MISSING', cl.ref || ':' || n.dial FROM cl CROSS JOIN {_values([(x,) for x in V.DIALS])} n(dial) WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.context = cl.context AND cd.state = cl.state AND cd.dial = n.dial) UNION ALL SELECT 'E_HUMOR_GATE', 'T-' || context || '/' || state FROM cd WHERE dial = 'humor' AND v > 0 AND state IN {O.among(V.HUMOR_FREE_STATES)})"
+
+
+@query("validate_cells", f"WITH {_CELLSQL} SELECT 'error' AS severity, code, ref FROM cf")
+def validate_cells(spark, d):
+    return validate.cell_checks(spark.createDataFrame(CELLS, "context string, state string, dials map<string,int>"))
+
+
+@query("validate_vectors", f"WITH v AS (SELECT * FROM {_values([('state', 'delighted', 'warmth', 4), ('state', 'delighted', 'humor', 7), ('context', 'email', 'warmth', -5), ('state', 'bored', 'warmth', 1)])} t(kind, name, dial, v)), vo AS (SELECT * FROM {_values([('state', s) for s in V.STATES] + [('context', c) for c in V.CONTEXTS])} t(kind, name)) SELECT 'error' AS severity, 'E_UNKNOWN_STATE' AS code, 'bored' AS ref UNION ALL SELECT 'error', 'E_VECTOR_RANGE', name || ':' || dial FROM v WHERE v > 4 OR v < CASE WHEN kind = 'state' THEN 0 ELSE -4 END UNION ALL SELECT 'warning', 'W_MISSING_VECTOR', name FROM vo WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.kind = vo.kind AND v.name = vo.name)")
+def validate_vectors(spark, d):
+    rows = [("state", "delighted", {"warmth": 4, "humor": 7}), ("context", "email", {"warmth": -5}), ("state", "bored", {"warmth": 1})]
+    return validate.vector_checks(spark.createDataFrame(rows, "kind string, name string, dials map<string,int>"))
+
+
+@query("validate_speakers", f"WITH {_RB}, sp AS (SELECT * FROM {_values([('maya', True), ('jonas', False)])} t(slug, has_dials)) SELECT 'warning' AS severity, 'W_SPEAKER_NO_VOICE' AS code, slug AS ref FROM sp WHERE NOT has_dials OR slug <> 'maya' UNION ALL SELECT 'warning', 'W_OVERRIDE_UNEVIDENCED', id FROM ovl WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM house) UNION ALL SELECT 'error', 'E_LOCKED_OVERRIDE', id FROM ovl WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM locks) UNION ALL SELECT 'error', 'E_OVERLAY_DIR_MISMATCH', 'ghost' UNION ALL SELECT 'error', 'E_OVERLAY_DIR_MISMATCH', 'jonas' UNION ALL SELECT 'error', 'E_UNKNOWN_LOCK', 'X9'")
+def validate_speakers(spark, d):
+    home, over_, locks = rule_bases(spark)
+    none = F.array().cast("array<string>")
+    rows = over_.withColumns({"slug": F.lit("maya"), "evidence": none})
+    speakers = spark.createDataFrame([("maya", True), ("jonas", False)], "slug string, has_dials boolean")
+    folders = spark.createDataFrame([("maya",), ("ghost",)], "slug string")
+    more = locks.unionByName(spark.createDataFrame([("X9",)], "id string"))
+    return validate.union([validate.speaker_checks(speakers, home, rows), validate.lock_checks(more, home, overlay.lock_violations(home, over_, locks), speakers.select("slug"), folders)])
+
+
+# --- the documents as an index: duplicates by hash, locales that are not active
+
+
+@query("validate_index", f"WITH {_IDX} SELECT 'error' AS severity, 'E_DUPLICATE_SHA' AS code, entry_id AS ref FROM (SELECT entry_id, row_number() OVER (PARTITION BY sha256 ORDER BY entry_id) AS n FROM idx) WHERE n > 1 UNION ALL SELECT 'warning', 'W_LOCALE_NOT_ACTIVE', entry_id FROM idx WHERE locale NOT IN ('en', 'de') UNION ALL SELECT 'warning', 'W_STALE_EXTRACTOR', entry_id FROM idx WHERE locale = 'fr' UNION ALL SELECT 'error', 'E_DANGLING_PRODUCED_ID', entry_id || ':' || p FROM (SELECT entry_id, unnest(produced) AS p FROM idx) WHERE p NOT IN ('V0', 'V1', 'V2', 'V3', 'V4', 'V5', 'L0', 'L1', 'L2', 'L3', 'L4', 'L5', 'L6', 'L7', 'L8', 'L9', 'M7') UNION ALL SELECT 'error', 'E_SOURCE_NOT_INDEXED', 'M7'")
+def validate_index(spark, d):
+    idx, _ = index_and_resolved(spark, d)
+    idx = idx.withColumns({"has_stats": F.lit(True), "extractor": F.when(F.col("locale") == "fr", "pdf").otherwise("text"), "version": F.lit("1")})
+    ids = [f"V{k}" for k in range(6)] + [f"L{k}" for k in range(10)] + ["M7"]
+    known = spark.createDataFrame([(i,) for i in ids], "id string")
+    cited = spark.createDataFrame([("M7", ["e1"]), ("V1", ["e1"]), ("V2", ["e2"])], "id string, evidence array<string>")
+    ledger = spark.createDataFrame([("e1", "source"), ("e2", "interview")], "id string, type string")
+    libs = spark.createDataFrame([("pdf", "2"), ("text", "1")], "name string, version string")
+    return validate.index_checks(idx, known, cited, ledger, spark.createDataFrame([("en",), ("de",)], "locale string"), libs)
+
+
+# --- gaps and stages over a state measured from the documents
+
+_STATE = f"""{_HITS}, st AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(DISTINCT id) FROM counted) AS rules, (SELECT count(*) FROM counted WHERE confidence = 'disputed') AS disputed,
+(SELECT count(*) - count(DISTINCT text) FROM documents) AS stale)"""
+
+
+@query("gaps_ranked", f"WITH {_STATE} SELECT id, severity, CAST(leverage AS INTEGER) AS leverage FROM (SELECT 'G03' AS id, 'blocker' AS severity, 4 AS leverage, true AS hit FROM st UNION ALL SELECT 'G06', 'warning', 3, true FROM st UNION ALL SELECT 'G10', 'warning', 2, disputed > 0 FROM st UNION ALL SELECT 'G11', 'warning', 2, stale > 0 FROM st UNION ALL SELECT 'G12', 'nit', 3, true FROM st UNION ALL SELECT 'G16', 'nit', 1, true FROM st) WHERE hit")
+def gaps_ranked(spark, d):
+    docs = table(spark, d, "documents")
+    copies = docs.agg((F.count("*") - F.countDistinct("text")).alias("stale_sources"))
+    ruled = counted_rules(spark, d).agg(F.count("*").alias("rules"), F.count_if(F.col("confidence") == "disputed").alias("disputed"), F.count_if(F.col("confidence") == "assumed").alias("assumed"))
+    words = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    fixed = {"exists": F.lit(True), "errors": zero, "unbaselined": words("es"), "never_ingested": zero, "bare_contexts": words("email"), "stale_card_inputs": none, "manifest_checked": F.lit(True), "manifest_changed": zero, "flagged_metrics": zero, "freshness_checked": F.lit(True), "locales_without_pack": words("fr"), "drafts": zero, "stale_extractors": zero, "no_evidence": zero, "card_tokens": F.lit(901).cast("long"), "voiceless_speakers": none, "unbaselined_speakers": none, "uningested_speakers": none, "stale_speaker_cards": none, "speakers": zero, "locks": zero}
+    state = copies.crossJoin(ruled).withColumns(fixed)  # one row each
+    return gaps.ranked(gaps.detect(state)).select("id", "severity", "leverage")
+
+
+@query("stage_inference", "SELECT count(*) > 0 AS scan, count(*) > 0 AS ingest, count(DISTINCT lang) > 0 AS measure, false AS draft, max(length(text)) > 1000000 AS interview, false AS canonize, CASE WHEN max(length(text)) > 1000000 THEN 'interview' WHEN count(*) > 0 THEN 'measure' END AS \"at\" FROM documents")
+def stage_inference(spark, d):
+    one = table(spark, d, "documents").agg((F.count("*") > 0).alias("scan"), (F.count("*") > 0).alias("ingest"), (F.countDistinct("lang") > 0).alias("measure"), F.lit(False).alias("draft"), (F.max(F.length("text")) > 1000000).alias("interview"), F.lit(False).alias("canonize"))
+    return drift.stages(one)
+
+
+# --- extractors over inline sources (their results are asserted in the tests)
+
+SAMPLES = [
+    ("a.md", "---\ntitle: x\n---\n# Hello **World**\n\n- first [link](http://a.b)\n- [x] done\n\n| A | Bee |\n|---|---|\n| One cell | #fff |\n\n```\ncode\n```\n<!-- no -->\nTail `x` text\n"),
+    ("b.html", "<h1>Big &amp; bold</h1><script>no()</script><img alt='A photo'><p>It&#39;s &#x41; &copy;</p>"),
+    ("c.txt", "First para\nstill first.\n\n\nSecond para.\n"),
+    ("d.po", 'msgid ""\nmsgstr "Header: x"\n\n# note\nmsgid "Hello"\nmsgstr "Hallo"\n\nmsgid "Long "\n"text"\nmsgstr ""\n'),
+    ("e.vtt", "WEBVTT\n\nNOTE hidden\nstill hidden\n\nid-1\n00:01 --> 00:02\nHello <b>there</b>\nyou\n\n00:03 --> 00:04\nBye\n"),
+    ("f.csv", 'name,count\n"Say ""hi"", now",12\n"two\nlines",x\n'),
+    ("g.yml", "title: Hello there\nurl: https://x.y\nnested:\n  label: 'Save it'\n"),
+    ("h.json", '{"a": "Save changes", "b": {"c": ["Undo", "https://x.y", 3]}, "d": "ABC_DEF"}'),
+    ("i.rtf", "{\\rtf1{\\fonttbl{\\f0 Arial;}}Hello \\b world\\b0\\par caf\\'e9 \\u8211?dash\\par}"),
+    ("j.pdf", "bytes"),
+    ("k.xyz", "unknown"),
+]
+
+
+@query("extract_samples")
+def extract_samples(spark, d):
+    s = spark.createDataFrame(SAMPLES, "path string, raw string").withColumn("format", extract.format_of(F.col("path")))
+    text_only = s.where(~F.coalesce(extract.is_container(F.col("format")), F.lit(False)))
+    return text_only.select("path", "format", F.explode_outer(extract.extract_units(F.col("format"), F.col("raw"))).alias("unit"))
