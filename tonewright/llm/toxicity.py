@@ -49,7 +49,7 @@ KINDS = ("insult", "threat")
 MARKS = ("negated", "reported", "aimed")
 OUTPUTS = [(k, *m) for k in KINDS for n in range(4) for m in combinations(MARKS, n)]
 #: Weights before any labels are seen, per output: a bare insult speaks for toxicity, marks change that.
-DEFAULT = {o: 3.0 + ("aimed" in o) - 2.5 * ("negated" in o) - 2.0 * ("reported" in o) for o in OUTPUTS}
+DEFAULT = {o: 5.0 + ("aimed" in o) - 4.0 * ("negated" in o) - 3.0 * ("reported" in o) for o in OUTPUTS}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 Symbol = tuple[str, ...]
@@ -183,14 +183,19 @@ def units(text: str, shortest: int = 4, longest: int = 8) -> set[str]:
     return out
 
 
+def _least_shingle(text: str) -> int:
+    w = text.lower().split()
+    return min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0)
+
+
 def seeds() -> dict[str, float]:
     return {"=" + w: 1.0 for w in INSULTS}
 
 
 def learn_lexicon(sample: DataFrame, min_docs: int = 6, min_precision: float = 0.8) -> dict[str, float]:
     """Units of toxic texts with a precision of `min_precision` or more, strongest first,
-    at most `LEXICON_SIZE`.  Texts with the same least word hash count once, so that a
-    group of copies does not make its words toxic."""
+    at most `LEXICON_SIZE`.  Texts with the same least three-word hash count once, so that
+    a group of copies does not make its words toxic."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -210,7 +215,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 6, min_precision: float = 0
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in set((t or "").lower().split())), default=0) for t in b.column(0).to_pylist()]
+            least = [_least_shingle(t or "") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=["text", "y", "least"])
 
     once = sample.select("text", "y").mapInArrow(sketch, "text string, y int, least long").groupBy("least").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).select("text", "y")
