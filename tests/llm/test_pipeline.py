@@ -1,0 +1,45 @@
+"""The pipeline's stages on the smallest tables."""
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tonewright.llm import toxicity
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").cache()
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DIR).cache()
+        assert docs.columns == list(corpus_pipeline.COLUMNS), name
+        assert docs.count() <= before
+        before = docs.count()
+    assert before > 50
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert pieces.select("doc_id").distinct().count() == before
+    ran = corpus_pipeline.run(spark, DIR)
+    assert ran.count() == pieces.count() and ran.agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
+
+
+def test_toxic_documents_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    hit = docs.where(F.col("text").rlike("(?i)\\b(" + "|".join(toxicity.INSULTS[:8]) + ")\\b")).count()
+    assert hit and docs.count() - len(kept) >= 0.8 * hit
+
+
+def test_one_of_each_group_stays(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = " ".join([*words[:100], "x", *words[101:]])
+    rows = [(5, " ".join(words), "en", "s", 1), (3, near, "en", "s", 1), (9, "alone", "en", "s", 1), (None, None, "en", "s", 0), (9, "alone", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each(spark, docs, DIR).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 3, 9]
+
+
+def test_registered():
+    known = entry.queries()
+    assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 11))
