@@ -97,3 +97,10 @@ def test_mixed_languages_are_refused(spark):
     s = stats.unit_stats(df).withColumn("all", F.lit(1))
     with pytest.raises(Exception, match="cannot be merged"):
         stats.merge_stats(s, "all").collect()
+
+
+def test_syllable_counts(spark):
+    words = ["the", "campaign", "don't", "42", "yes", "yelled", "rhythm", "Scheduled", "éa", "pfft", "yxed", "queue", "bees"]
+    df = spark.createDataFrame([(words,), ([],)], "w array<string>")
+    got = df.select(text.syllable_counts(F.col("w")), F.transform("w", text.syllables)).collect()
+    assert got[0][0] == got[0][1] and got[1][0] == []

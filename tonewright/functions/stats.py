@@ -55,8 +55,10 @@ def unit_stats(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "locale"))
     contraction = rf"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]+['’](?:{V.CONTRACTION_TAIL})(?![A-Za-z0-9_])"
     lists = F.regexp_extract_all("t", F.lit(V.SERIAL_LIST), F.lit(0))
     hist = {name: _long(F.size(F.filter("n", (lambda lo, hi: lambda x: (x >= lo) if hi is None else (x >= lo) & (x <= hi))(lo, hi)))) for name, lo, hi, _ in V.HISTOGRAM}
-    syl = F.transform("w", T.syllables)
-    cut = cut.withColumn("syl", F.when(english, syl))
+    cut = cut.withColumn("syl", F.when(english, T.syllable_counts(F.col("w"))))
+    # without blank lines inside, the strings are the paragraphs
+    split_inside = F.exists("strings", lambda x: x.rlike(r"\n[ \t]*\n"))
+    per_paragraph = F.when(split_inside, _total(F.col("p"), lambda p: F.size(T.sentences(p)))).otherwise(_long(F.size("s")))
     values = {
         "strings": _long(F.size("strings")),
         "words": _long(F.size("w")),
@@ -65,7 +67,7 @@ def unit_stats(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "locale"))
         "sum_word_len": _total(F.col("w"), F.length),
         "sum_sent_len": _total(F.col("n"), lambda x: x),
         "sum_sent_len_sq": _total(F.col("n"), lambda x: x * x),
-        "sum_para_sent": _total(F.col("p"), lambda p: F.size(T.sentences(p))),
+        "sum_para_sent": per_paragraph,
         "exclamations": _long(F.size(F.filter("s", lambda s: s.rlike(r"!\p{P}*$")))),
         "questions": _long(F.size(F.filter("s", lambda s: s.rlike(r"\?\p{P}*$")))),
         "emoji": _long(F.regexp_count("t", F.lit(V.EMOJI))),

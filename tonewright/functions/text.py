@@ -51,6 +51,16 @@ def syllables(word: Column) -> Column:
     return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(core, F.lit("[aeiouy]{1,2}"))))
 
 
+def syllable_counts(words_: Column) -> Column:
+    """`syllables` of every word of an array, by passes over the joined words instead of
+    four regexes a word."""
+    letters = F.regexp_replace(F.lower(F.array_join(words_, " ")), "[^a-z ]", "")
+    core = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy ]es|[^laeiouy ]ed|[^laeiouy ]e)(?= |$)", ""), "(?<![^ ])y", "")
+    groups = F.translate(F.regexp_replace(core, "[aeiouy]{1,2}", "1"), "bcdfghjklmnpqrstvwxz", "")
+    each = F.zip_with(F.split(letters, " ", -1), F.split(groups, " ", -1), lambda w, g: F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.length(g))))
+    return F.when(F.size(words_) > 0, each).otherwise(F.array().cast("array<int>"))
+
+
 def rounded(x: Column, places: int) -> Column:
     """Half up, by floor; null stays null."""
     return F.floor(x * float(10**places) + 0.5) / float(10**places)

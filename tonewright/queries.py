@@ -40,9 +40,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text functions are heavy per row: a table in fewer partitions than there are cores (one
+    small file) is dealt to all of them; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_units(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit_id"), F.col("lang").alias("locale"), F.array(F.coalesce("text", F.lit(""))).alias("strings"), none.alias("headings"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit_id"), F.col("lang").alias("locale"), F.array(F.coalesce("text", F.lit(""))).alias("strings"), none.alias("headings"))
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +108,7 @@ _PAGES = f"page AS (SELECT page_id, url, {_EOL} AS eol, {_BODY} AS body FROM pag
 
 def page_units(spark: SparkSession, d: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    return table(spark, d, "pages").select("page_id", "url", extract.html_units(html).alias("strings"), extract.html_headings(html).alias("headings"))
+    return spread(table(spark, d, "pages")).select("page_id", "url", extract.html_units(html).alias("strings"), extract.html_headings(html).alias("headings"))
 
 
 @query("html_units", f"WITH {_PAGES} SELECT page_id, CAST(len(strings) AS BIGINT) AS n_strings, array_to_string(strings, chr(10)) AS joined FROM pu")
@@ -168,7 +175,7 @@ verdict AS (SELECT *, list_filter([CASE WHEN tokens = 0 THEN 'empty' END, CASE W
 
 def gated(spark: SparkSession, d: str) -> DataFrame:
     extra = spark.createDataFrame(EXTRA_TEXTS, "doc_id long, locale string, text string")
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("locale"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", F.col("lang").alias("locale"), F.coalesce("text", F.lit("")).alias("text"))
     return quality_gate.status(quality_gate.score(docs.unionByName(extra)))
 
 
@@ -295,7 +302,7 @@ _HITS = "per AS (" + " UNION ALL ".join(f"SELECT doc_id, {O.q(r['id'])} AS id, {
 
 
 def rule_units(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), F.coalesce("text", F.lit("")).alias("t"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("unit_id"), F.coalesce("text", F.lit("")).alias("t"))
 
 
 def counted_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -427,8 +434,9 @@ _DELTA = "CASE WHEN was IS NULL OR now IS NULL THEN NULL WHEN was = 0 THEN CASE
 @query("drift_by_locale", f"WITH {_DOCS2}, {O.unit_stats('units', ('unit_id', 'locale', 'source'))}, {_fp('b', 'source < ' + O.q('src15'))}, {_fp('c', 'source >= ' + O.q('src15'))}, bl AS ({_LONG('b', 'was')}), cl AS ({_LONG('c', 'now')}), dl AS (SELECT cl.locale, cl.metric, was, now, {_DELTA} AS delta_pct FROM cl LEFT JOIN bl ON cl.locale = bl.locale AND cl.metric = bl.metric) SELECT *, coalesce(abs(delta_pct) >= 25, false) AS flagged FROM dl")
 def drift_by_locale(spark, d):
     """Baseline and current are the two halves of the sources, told apart by name."""
-    u = document_units(spark, d).join(table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit_id"), "source"), "unit_id")
-    per = stats.merge_stats(stats.unit_stats(u, ("unit_id", "locale", "source")), "locale", "source")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    u = docs.select("doc_id", F.col("lang").alias("locale"), "source", F.array(F.coalesce("text", F.lit(""))).alias("strings"), F.array().cast("array<string>").alias("headings"))
+    per = stats.merge_stats(stats.unit_stats(u, ("doc_id", "locale", "source")), "locale", "source")
     half = F.when(F.col("source") < "src15", "baseline").otherwise("current")
     sums = stats.merge_stats(per.withColumn("half", half), "locale", "half")
     both = stats.finalise(sums, "locale", "half")
