@@ -274,8 +274,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     placed = member.join(sized, "grp").withColumn("cell", cell)
     placed = stored(placed, "placed")
     tile = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    # the members of groups have no size bound: never broadcast, at any size
     tiles = (
-        texts.join(placed, F.col("doc_id") == F.col("rep"))
+        texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
         .select("grp", "node", "rep", "cell", "text", tile)
         .select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "rep", "text")
     )
