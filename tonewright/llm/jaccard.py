@@ -10,8 +10,8 @@ Documents with equal sets are one class.  The exact join of classes has three st
    share a signature are joined, and the connected components are the candidate groups:
    every link lies within a group, and text that many documents share hardly joins them
    because a whole bucket must agree.
-2. Signature trees.  A group's sets are cut into blocks of bounded size; for every two
-   blocks a tree each is built whose nodes hold the size range and the OR-combined token
+2. Signature trees.  A group's sets are cut into blocks of one size level and of bounded
+   size; for every two blocks whose sizes allow a link a tree each is built whose nodes hold the size range and the OR-combined token
    bitmap of the sets below, with the most shingles that any of them has on each bit.  A
    dual traversal prunes pairs of nodes by the largest overlap the bitmaps and sizes
    allow, and pairs that are connected already; what remains is verified exactly.
@@ -28,6 +28,7 @@ documents of one id and different texts are separate sets; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ from tonewright.llm.shared import components, discard, stored
 BITS = 1024
 BLOCK = 256
 LEAF = 4
+LEVEL = 1.12  # the ratio of neighbouring size levels
+WIDE = 1 << 40  # blocks of a level, at most
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +222,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
 
     every = stored(texts.mapInArrow(digest, "doc_id long, node binary, n_shingles long"), "sets")
     short = F.xxhash64("node")
-    classes = stored(every.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).withColumn("short", short), "classes")
+    classes = stored(every.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")).withColumn("short", short), "classes")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, a, b): rows with b null are signature a's... key = signature, a = row's set;
@@ -268,16 +271,22 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long")
     groups = components(pairs)
     member = classes.join(groups.withColumnRenamed("node", "gnode"), F.col("short") == F.col("gnode"))
-    member = stored(member.select("node", "rep", F.col("root").alias("grp")), "members")
-    sized = stored(member.groupBy("grp").agg(F.count("*").alias("s")).where("s > 1").select("grp", F.ceil(F.col("s") / block).cast("int").alias("cuts")), "sizes")
-    cell = F.pmod(F.xxhash64("node"), F.col("cuts").cast("long")).cast("int")
-    placed = member.join(sized, "grp").withColumn("cell", cell)
-    placed = stored(placed, "placed")
-    tile = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    # Linked sets lie at most `reach` size levels apart, so only blocks of near levels meet.
+    step = math.log(LEVEL)
+    reach = math.floor(math.log(den / num) / step + 1e-9) + 1
+    member = stored(member.select("node", "rep", F.col("root").alias("grp"), F.floor(F.log(F.col("size").cast("double")) / step).cast("long").alias("level")), "members")
+    cells = stored(member.groupBy("grp", "level").agg(F.ceil(F.count("*") / block).cast("long").alias("cuts")), "cells")
+    near = cells.select("grp", "level", "cuts", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)).alias("olevel"))
+    other = cells.select("grp", F.col("level").alias("olevel"), F.col("cuts").alias("ocuts"))
+    # at most 2 * reach + 1 entries
+    near = near.join(other, ["grp", "olevel"]).groupBy("grp", "level", "cuts").agg(F.collect_list(F.struct("olevel", "ocuts")).alias("others"))
+    cell = F.col("level") * WIDE + F.pmod(F.xxhash64("node"), F.col("cuts"))
+    placed = stored(member.join(near, ["grp", "level"]).select("grp", "node", "rep", cell.alias("cell"), "others"), "placed")
+    met = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda i: o["olevel"] * WIDE + i)))
     # the members of groups have no size bound: never broadcast, at any size
     tiles = (
         texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
-        .select("grp", "node", "rep", "cell", "text", tile)
+        .select("grp", "node", "rep", "cell", "text", F.explode(met).alias("other"))
         .select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "rep", "text")
     )
 
@@ -311,7 +320,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     roots = components(links).withColumnsRenamed({"node": "linked"})
     named = stored(classes.join(roots, F.col("rep") == F.col("linked"), "left").select(F.col("node").alias("cnode"), F.coalesce("root", "rep").alias("component")), "named")
     out = every.join(named, F.col("node") == F.col("cnode"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
-    for df in (member, sized, placed, classes):
+    for df in (member, cells, placed, classes):
         discard(df)
     return out
 
