@@ -62,9 +62,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         parent = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = stored(labels.join(parent, "root", "left").select("node", "root", F.coalesce("up", "root").alias("up")), "jumped")
         seen = both.join(jumped.select(F.col("node").alias("b"), F.col("up").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        hooks = both.join(jumped.select(F.col("node").alias("b"), F.col("up").alias("seen")), "b").join(jumped.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("root").alias("node")).agg(F.min("seen").alias("seen"))
-        best = seen.union(hooks).union(jumped.select("node", F.col("up").alias("seen"))).groupBy("node").agg(F.min("seen").alias("root"))
-        after = stored(jumped.select("node", F.col("root").alias("was")).join(best, "node").select("node", F.least("was", "root").alias("root"), (F.col("root") < F.col("was")).alias("moved")), "labels")
+        best = jumped.join(seen, "node").select("node", "root", F.least("up", "seen").alias("best"))
+        hooks = best.groupBy(F.col("root").alias("hooked")).agg(F.min("best").alias("hook"))
+        after = best.join(hooks, F.col("node") == F.col("hooked"), "left").withColumn("least", F.least("best", F.coalesce("hook", "best")))
+        after = stored(after.select("node", F.col("least").alias("root"), (F.col("least") < F.col("root")).alias("moved")), "labels")
         discard(jumped)
         done = not after.where("moved").limit(1).count()
         discard(labels)
