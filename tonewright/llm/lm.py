@@ -34,7 +34,18 @@ from tonewright.llm.hashing import U, by_group, chunks, ngrams, word_hashes
 from tonewright.llm.shared import stored
 
 _PACKED = "p int, batch long, n_order int, packed binary"
-_ANSWER = "batch long, n_order int, p int, counts binary"
+_ANSWER = "batch long, n_order int, p int, n long, counts binary"
+
+
+def pack_counts(c: np.ndarray) -> bytes:
+    """One byte a count, and 8 more for those of 255 or more."""
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(b: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    c[c == 255] = np.frombuffer(b, "<i8", -1, n)
+    return c
 
 
 def pack(h: np.ndarray, c: np.ndarray) -> bytes:
@@ -42,16 +53,14 @@ def pack(h: np.ndarray, c: np.ndarray) -> bytes:
     gap = np.diff(h, prepend=U(0))
     wide = 6 if not len(gap) or int(gap.max()) < 1 << 48 else 8
     body = gap.view(np.uint8).reshape(-1, 8)[:, :wide]
-    small = np.minimum(c, 255).astype(np.uint8)
-    return bytes([wide]) + len(h).to_bytes(8, "little") + body.tobytes() + small.tobytes() + c[c >= 255].astype("<i8").tobytes()
+    return bytes([wide]) + len(h).to_bytes(8, "little") + body.tobytes() + pack_counts(c)
 
 
 def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide, n = b[0], int.from_bytes(b[1:9], "little")
     gap = np.zeros((n, 8), np.uint8)
     gap[:, :wide] = np.frombuffer(b, np.uint8, n * wide, 9).reshape(n, wide)
-    c = np.frombuffer(b, np.uint8, n, 9 + n * wide).astype(np.int64)
-    c[c == 255] = np.frombuffer(b, "<i8", -1, 9 + n * (wide + 1))
+    c = unpack_counts(b[9 + n * wide :], n)
     return np.cumsum(gap.view("<u8").ravel(), dtype=U), c
 
 
@@ -102,10 +111,10 @@ def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
 
 def _answers(batch: Batch, table: pa.Table, upto: int, cut: int) -> None:
     """Gives `batch` the answers of `table` for the orders to `upto`."""
-    rows = sorted(zip(table.column("n_order").to_pylist(), table.column("p").to_pylist(), table.column("counts").to_pylist(), strict=True))
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n_order", "p", "n", "counts")), strict=True))
     for k in range(1, upto + 1):
         batch.ask(k, cut)
-        got = [np.frombuffer(c, "<i8") for o, _, c in rows if o == k]
+        got = [unpack_counts(c, n) for o, _, n, c in rows if o == k]
         batch.answer(k, np.concatenate(got) if got else np.zeros(0, np.int64))
 
 
@@ -148,8 +157,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int
             total = np.zeros(len(table), np.int64)
             np.add.at(total, inverse, np.concatenate([c for _, c in pairs]))
             ends = np.cumsum([len(x) for x, _ in pairs])
-            back = [total[inverse[e - len(x) : e]].astype("<i8").tobytes() for (x, _), e in zip(pairs, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("batch", "n_order", "p")), pa.array(back, pa.binary())], names=["batch", "n_order", "p", "counts"])
+            back = [pack_counts(total[inverse[e - len(x) : e]]) for (x, _), e in zip(pairs, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("batch", "n_order", "p")), pa.array([len(x) for x, _ in pairs], pa.int64()), pa.array(back, pa.binary())], names=["batch", "n_order", "p", "n", "counts"])
 
     def counted(asked: DataFrame) -> DataFrame:
         # an order and a hash range make a group; every batch is one row of it
