@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN
 from tonewright.llm import bpe
-from tonewright.llm.shared import stored
+from tonewright.llm.shared import modest_batches, stored
 
 
 class RankEncoder:
@@ -66,6 +66,7 @@ class RankEncoder:
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one: (doc_id, part, at, n, ids): tokens with the end token, packed as bytes,
     and the document's first position within its partition.  Written to the shared folder."""
+    modest_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     spec = sc.broadcast(bpe.read_spec(tokenizer_path))
     end = end_id.to_bytes(4, "little")

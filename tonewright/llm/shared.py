@@ -36,6 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows for the rest of the session, where it has larger
+    ones: whole texts and their ids are long rows, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by `stored` that nothing reads any more."""
     path = getattr(df, "_scratch", None)
