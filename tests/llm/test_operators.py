@@ -279,8 +279,9 @@ def test_embeddings(spark):
 
 def test_collisions_are_window_counts():
     rng = np.random.default_rng(3)
-    p, q = rng.standard_normal((7, 5)), rng.standard_normal((9, 5))
-    assert (embeddings.collisions(p, q, 0.6) == (np.abs(p[:, None] - q[None]) <= 0.6).sum(2)).all()
+    for n, m in ((7, 9), (90, 70)):
+        p, q = rng.standard_normal((n, 5)), rng.standard_normal((m, 5))
+        assert (embeddings.collisions(p, q, 0.6) == (np.abs(p[:, None] - q[None]) <= 0.6).sum(2)).all()
 
 
 def near_docs():

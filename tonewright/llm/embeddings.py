@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,7 @@ class Plan:
                 break
         return cls(cosine, depth, tables, windows, width, window, least)
 
+    @lru_cache(maxsize=8)  # noqa: B019
     def directions(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng([self.seed, dim])
         cells = rng.standard_normal((dim, self.tables * self.depth))
@@ -110,7 +112,10 @@ def _vector(v) -> bytes | None:
 
 def collisions(p: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
     """How many projections of each pair (row of p, row of q) lie within the window: every
-    projection of q is sorted, and each query's window is a stretch of it."""
+    projection of q is sorted, and each query's window is a stretch of it.  In small cells
+    the same windows are compared at once, which costs less than sorting."""
+    if len(p) * len(q) <= 4096:
+        return (np.abs(p[:, None] - q[None]) <= window).sum(2)
     out = np.zeros((len(p), len(q) + 1), np.int16)
     rows = np.arange(len(p))
     for k in range(p.shape[1]):
