@@ -133,6 +133,24 @@ def test_diff_against_definition():
         assert [(k, w) for k, ws in diff.steps(a, b) for w in ws] == brute(a, b)
 
 
+def test_diff_of_many_rows_against_definition():
+    import random
+
+    r = random.Random(5)
+    for k in range(40):
+        a, b = ([r.choice("abcdefgh"[: 2 + k % 7]) for _ in range(r.randrange(60, 200))] for _ in range(2))
+        end = a[: k % 5]
+        assert [(x, w) for x, ws in diff.steps(a + end, b + end) for w in ws] == brute(a + end, b + end)
+
+
+def test_diff_of_long_texts(spark):
+    draft = [f"w{k}" for k in range(10_001)]
+    final = [f"new{k}" if k % 100 == 0 else w for k, w in enumerate(draft)]
+    (got,) = diff.diff(spark.createDataFrame([(" ".join(draft), " ".join(final))], "draft string, final string")).collect()
+    assert [(s["from"], s["to"]) for s in got.word_swaps] == [(f"w{k}", f"new{k}") for k in range(0, 10_001, 100)]
+    assert (got.removed, got.added, got.unchanged) == (101, 101, 9_900)
+
+
 def test_diff_summary(spark):
     df = spark.createDataFrame([("We simply leverage it now.", "We simply use it."), ("", "a b"), (None, None)], "draft string, final string")
     got = diff.diff(df).collect()

@@ -1,14 +1,17 @@
 """Word-level differences of a draft and its final text.
 
-The longest common subsequence is a dynamic programme over one pair of texts: an
-Arrow-batched function, with the rows of the table as numpy vectors and one byte of
-direction per cell.  Pairs over `MOST_CELLS` cells are refused with a null result."""
+The longest common subsequence is a dynamic programme over one pair of texts, in an
+Arrow-batched function.  A row of the table grows by 0 or 1 a column, so it is one integer
+with a bit per word (bit-parallel update, exact for every length).  About sqrt(n) rows are
+kept; the trace computes the rows between two of them again, so n and m words take
+O(m sqrt(n)) bits of memory.  No pair is refused."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +20,52 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from tonewright.functions import text as T
 from tonewright.sources.extract import strip_frontmatter
 
-MOST_CELLS = 100_000_000
+#: Memory for the kept masks of words, in bits.
+MASK_BITS = 1 << 29
 CHANGES = ArrayType(StructType([StructField("type", StringType()), StructField("tokens", ArrayType(StringType()))]))
 
 
+class Table:
+    """Lengths of common subsequences of the first p words of `x` and the first q of `y`: bit
+    q - 1 of row p is clear where the length grows at q."""
+
+    def __init__(self, x: list[str], y: list[str]):
+        self.x, self.full, self.step = x, (1 << len(y)) - 1, isqrt(len(x)) + 1
+        places: dict[str, list[int]] = {}
+        for q, w in enumerate(y):
+            places.setdefault(w, []).append(q)
+
+        def mask(w: str) -> int:
+            bits = bytearray(len(y) // 8 + 1)
+            for q in places.get(w, ()):
+                bits[q >> 3] |= 1 << (q & 7)
+            return int.from_bytes(bits, "little")
+
+        self.mask = lru_cache(max(1, MASK_BITS // max(1, len(y))))(mask)
+        self.kept, row = [self.full], self.full
+        for at in range(0, len(x), self.step):
+            for w in x[at : at + self.step]:
+                row = self.next(row, w)
+            self.kept.append(row)
+        self.block, self.rows = -1, []
+
+    def next(self, row: int, word: str) -> int:
+        hit = row & self.mask(word)
+        return (row + hit | row - hit) & self.full if hit else row
+
+    def row(self, p: int) -> int:
+        """Rows are asked for from the last to the first."""
+        if p // self.step != self.block:
+            self.block = p // self.step
+            self.rows = [self.kept[self.block]]
+            for w in self.x[self.block * self.step : (self.block + 1) * self.step - 1]:
+                self.rows.append(self.next(self.rows[-1], w))
+        return self.rows[p % self.step]
+
+
 def steps(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
     """Runs of equal, remove and add; where both continue as well, a removal comes first."""
-    ids: dict[str, int] = {}
-    x, y = (np.array([ids.setdefault(w, len(ids)) for w in s], np.int64) for s in (a, b))
-    n, m = len(x), len(y)
-    down = np.zeros((n + 1, m + 1), bool)  # whether the table below is at least the one to the right
-    row = np.zeros(m + 1, np.int64)
-    for i in range(n - 1, -1, -1):
-        new = row.copy()
-        new[:m] = np.where(y == x[i], row[1:] + 1, row[:m])
-        new = np.maximum.accumulate(new[::-1])[::-1]
-        down[i, :m] = row[:m] >= new[1:]
-        row = new
+    n, m, i, j = len(a), len(b), 0, 0
     out: list[tuple[str, list[str]]] = []
 
     def put(kind: str, word: str) -> None:
@@ -42,12 +74,41 @@ def steps(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
         else:
             out.append((kind, [word]))
 
-    i = j = 0
+    while i < min(n, m) and a[i] == b[i]:
+        put("equal", a[i])
+        i += 1
+    j = same = i
+    end = 0  # words of the common end; it adds the same to all lengths before it
+    while end < min(n, m) - same and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    p, q = n - end - i, m - end - j
+    if p and q:
+        table = Table(a[i : i + p][::-1], b[j : j + q][::-1])
+        length = lambda row, k: k - (row & (1 << k) - 1).bit_count()
+        here, above = table.row(p), table.row(p - 1)
+        now, up = length(here, q), length(above, q)
+        while p and q:
+            grows = not here >> (q - 1) & 1
+            equal = a[i] == b[j]
+            if equal or up >= now - grows:
+                put("equal" if equal else "remove", a[i])
+                i, p = i + 1, p - 1
+                if equal:
+                    j, q = j + 1, q - 1
+                if p:
+                    here, above = above, table.row(p - 1)
+                    now, up = length(here, q), length(above, q)
+            else:
+                put("add", b[j])
+                now, up = now - grows, up - (not above >> (q - 1) & 1)
+                j, q = j + 1, q - 1
+    # one side is at the common end, which is a subsequence of the other's rest: the first match is best
+    longer = n - i > m - j
     while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
+        if i < n and j < m and a[i] == b[j]:
             put("equal", a[i])
             i, j = i + 1, j + 1
-        elif j >= m or i < n and down[i, j]:
+        elif j >= m or i < n and longer:
             put("remove", a[i])
             i += 1
         else:
@@ -59,7 +120,7 @@ def steps(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
 @F.pandas_udf(CHANGES)
 def _changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([None if len(x) * len(y) > MOST_CELLS else [{"type": k, "tokens": w} for k, w in steps(list(x), list(y))] for x, y in zip(a, b, strict=True)])
+        yield pd.Series([[{"type": k, "tokens": w} for k, w in steps(list(x), list(y))] for x, y in zip(a, b, strict=True)])
 
 
 def measure(t: Column) -> dict[str, Column]:
