@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tonewright.llm import bpe, embeddings, hashing, jaccard, licenses, lm, media, packing, quality, secrets, toxicity
+from tonewright.llm import bpe, embeddings, hashing, jaccard, licenses, lm, media, packing, quality, queries, secrets, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string"
@@ -231,6 +231,26 @@ def test_backoff(spark, awkward, nothing):
     assert lm.backoff_scores(nothing).count() == 0
 
 
+def test_op2_counts_n_grams_seen_once(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice("the of a mill wheel x".split()) for _ in range(r.randrange(12)))) for k in range(40)] + [(90, "b c d"), (91, "b c e"), (92, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [(k, words_of(t)) for k, t in rows]
+    c = {n: Counter(tuple(w[i : i + n]) for _, w in texts for i in range(len(w) - n + 1)) for n in (1, 2, 3)}
+    total = sum(c[1].values())
+
+    def score(w):
+        grams = [tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w))]
+        s = sum(math.log(c[len(g)][g] / (c[len(g) - 1][g[:-1]] if len(g) > 1 else total)) for g in grams)
+        # a step down costs alpha where the longer n-gram could have been: never, as each occurs
+        return s
+
+    got = {x.doc_id: x for x in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    for k, w in texts:
+        assert got[k].n_words == len(w) and got[k].log_score == pytest.approx(score(w), abs=1e-6)
+        assert (got[k].n_order1, got[k].n_order2, got[k].n_order3) == (min(len(w), 1), min(max(len(w) - 1, 0), 1), max(len(w) - 2, 0))
+
+
 def test_pack_round_trip():
     h = np.sort(np.array([0, 5, 1 << 50, (1 << 64) - 1], np.uint64))
     c = np.array([1, 254, 255, 70000])

@@ -6,8 +6,14 @@ and sends each cut as one packed row.  A hash partition adds up its n-grams over
 batches: the count tables, partitioned by hash.  Its answer to a batch is the counts of
 the n-grams that the batch asked for, in the order asked, so hashes travel one way only.
 
-Orders: words and pairs are counted first; an n-gram of a higher order is asked for only
-if both its (n - 1)-grams were counted `cut` times or more, as no other can reach `cut`.
+Orders: with a `cut` of 1 every n-gram of every order is counted, all orders in one pass.
+With a larger one (n-grams seen less often count as unseen, so scores differ from stupid
+backoff) words and pairs are counted first, and an n-gram of a higher order is asked for
+only if both its (n - 1)-grams reached `cut`, as no other can.
+
+Rounds: the hash partitions are counted in `rounds` rounds, each over all texts, and the
+shuffle files of a round are removed when its counts are stored: all n-grams are counted,
+but only a share of them lies on disk at a time.
 
 Scoring: a batch meets its answers (a cogroup by batch) and each position takes the longest
 n-gram with `cut` or more occurrences: count / count of its history, times `alpha` for
@@ -24,14 +30,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm.hashing import U, by_group, chunks, ngrams, word_hashes
-from tonewright.llm.shared import stored
+from tonewright.llm.shared import discard, stored
 
 _PACKED = "p int, batch long, n_order int, packed binary"
 _ANSWER = "batch long, n_order int, p int, n long, counts binary"
@@ -86,7 +94,7 @@ class Batch:
         """Distinct hashes of order k that can reach `cut`, and their counts in the batch."""
         at = np.flatnonzero(self.whole[k])
         g, _ = ngrams(self.h, self.row, k)
-        if k > 2:
+        if k > 2 and cut > 1:
             low = self.count[k - 1]
             able = (low[at] >= cut) & (low[at - 1] >= cut)
             at, g = at[able], g[able]
@@ -118,7 +126,22 @@ def _answers(batch: Batch, table: pa.Table, upto: int, cut: int) -> None:
         batch.answer(k, np.concatenate(got) if got else np.zeros(0, np.int64))
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int = 2, batch_rows: int = 2000, partition_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the write that made them ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int = 2, batch_rows: int = 2000, partition_bytes: int = 8 << 20, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logarithms), mean_log_score and the number
     of words scored by each order (n_order1, ...)."""
     spark = docs.sparkSession
@@ -126,26 +149,32 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int
     size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
     batches = max(1, math.ceil(max(size.rows / batch_rows, (size.bytes or 0) / (16 << 20))))
     parts = max(1, math.ceil((size.bytes or 0) / partition_bytes))
+    rounds = min(rounds, parts)
     dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("long").alias("batch"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # orders that are asked for without the counts of shorter n-grams
+    free = order if cut <= 1 else min(order, 2)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(max(tasks, min(batches, 4 * tasks)), "batch")
 
-    def packed(batch: Batch, number: int, orders: range) -> Iterator[pa.RecordBatch]:
+    def packed(batch: Batch, number: int, orders: range, now: int) -> Iterator[pa.RecordBatch]:
         for k in orders:
             h, c = batch.ask(k, cut)
             at = _cuts(h, parts)
-            rows = [(p, pack(x, y)) for p, (x, y) in enumerate(zip(np.split(h, at), np.split(c, at), strict=True)) if len(x)]
+            rows = [(p, pack(x, y)) for p, (x, y) in enumerate(zip(np.split(h, at), np.split(c, at), strict=True)) if len(x) and p % rounds == now]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([k] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "batch", "n_order", "packed"])
 
-    def first(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(stream, 1):
-            yield from packed(Batch(t.column("text"), order), t.column(0)[0].as_py(), range(1, min(order, 2) + 1))
+    def first(now: int):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in by_group(stream, 1):
+                yield from packed(Batch(t.column("text"), order), t.column(0)[0].as_py(), range(1, free + 1), now)
 
-    def higher(k: int):
+        return run
+
+    def higher(k: int, now: int):
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             batch = Batch(left.column("text"), order)
             _answers(batch, right, k - 1, cut)
-            return pa.Table.from_batches(list(packed(batch, key[0].as_py(), range(k, k + 1))))
+            return pa.Table.from_batches(list(packed(batch, key[0].as_py(), range(k, k + 1), now)))
 
         return run
 
@@ -160,14 +189,15 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int
             back = [pack_counts(total[inverse[e - len(x) : e]]) for (x, _), e in zip(pairs, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("batch", "n_order", "p")), pa.array([len(x) for x, _ in pairs], pa.int64()), pa.array(back, pa.binary())], names=["batch", "n_order", "p", "n", "counts"])
 
-    def counted(asked: DataFrame) -> DataFrame:
+    held: list[DataFrame] = []
+
+    def counted(asked: list[DataFrame]) -> None:
         # an order and a hash range make a group; every batch is one row of it
-        return stored(asked.repartition(max(tasks, 1), "n_order", "p").select("n_order", "p", "batch", "packed").sortWithinPartitions("n_order", "p").mapInArrow(add, _ANSWER), "counts")
+        for x in asked:
+            held.append(stored(x.repartition(max(tasks, 1), "n_order", "p").select("n_order", "p", "batch", "packed").sortWithinPartitions("n_order", "p").mapInArrow(add, _ANSWER), "counts"))
 
-    answers = counted(dealt.sortWithinPartitions("batch").mapInArrow(first, _PACKED))
-    for k in range(3, order + 1):
-        asked = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(higher(k), _PACKED)
-        answers = answers.unionByName(counted(asked))
+    def answers() -> DataFrame:
+        return reduce(DataFrame.unionByName, held)
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         batch = Batch(left.column("text"), order)
@@ -190,7 +220,14 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int
         return pa.Table.from_arrays(cols, names=["doc_id", "n_words", "raw", *(f"n_order{k}" for k in range(1, order + 1))])
 
     schema = f"doc_id {kind}, n_words long, raw double, " + ", ".join(f"n_order{k} long" for k in range(1, order + 1))
-    rows = stored(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema), "scores")
+    with _shuffles_removed(spark):
+        counted([dealt.sortWithinPartitions("batch").mapInArrow(first(now), _PACKED) for now in range(rounds)])
+        for k in range(free + 1, order + 1):
+            known = answers().groupBy("batch")
+            counted([dealt.groupBy("batch").cogroup(known).applyInArrow(higher(k, now), _PACKED) for now in range(rounds)])
+        rows = stored(dealt.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(score, schema), "scores")
+        for x in held:
+            discard(x)
     total = rows.agg(F.sum("n_words")).first()[0] or 1
     log_score = F.col("raw") - F.col("n_order1") * math.log(total)
     return rows.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"), *(f"n_order{k}" for k in range(1, order + 1)))
