@@ -26,6 +26,21 @@ def test_samples(spark):
     }
 
 
+def test_yaml_trees(spark):
+    texts = {
+        "- Save your work\n- 'Undo it'\n": ["Save your work", "Undo it"],
+        "tips:\n  - Save early\n  - label: Save often\n": ["Save early", "Save often"],
+        "a: |\n  One line\n  Two line\nb: >-\n  folded\n  text\nc: |+\n  kept\n": ["One line Two line", "folded text", "kept"],
+        '"quoted key": Hello\nkey with space: There # note\n': ["Hello", "There"],
+        "a: &x Hello\nb: *x\n": ["&x Hello", "*x"],
+        "  a: Hello\nb: There\n": ["Hello", "There"],
+        'a: "bad \\q escape"\n': ["bad \\q escape"],
+        "": [],
+    }
+    rows = spark.createDataFrame([("yaml", t) for t in texts], "format string, raw string")
+    assert {r.raw: r.units for r in rows.withColumn("units", extract.extract_units(F.col("format"), F.col("raw"))).collect()} == texts
+
+
 def test_container_is_refused(spark):
     df = spark.createDataFrame([("docx", "x")], "format string, raw string")
     with pytest.raises(Exception, match="container"):
