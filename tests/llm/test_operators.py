@@ -64,6 +64,22 @@ def test_expressions_evaluate():
     assert labels == {"gpl-2.0"} and score > 0.4
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("SPDX-License-Identifier: MIT then text SPDX-License-Identifier: GPL-3.0-only", {"mit", "gpl-3.0-only"}, 0.4),
+        ("/* SPDX-License-Identifier: ISC */ x /* SPDX-License-Identifier: (MIT OR MPL-2.0) */ y // SPDX-License-Identifier: MPL-2.0", {"isc", "mit", "mpl-2.0"}, 0.7),
+        ("SPDX-License-Identifier: SPDX-License-Identifier: MIT", {"mit"}, 1.0),
+        ("SPDX-License-Identifier: (MIT or SPDX-License-Identifier: GPL-3.0-only", {"gpl-3.0-only"}, 0.4),
+        ("SPDX-License-Identifier: ISC or SPDX-License-Identifier: GPL-3.0-only", {"isc", "gpl-3.0-only"}, 0.4),
+        ("SPDX-License-Identifier: MIT\nOR GPL-3.0-only", {"mit"}, 1.0),
+    ],
+)
+def test_tags_on_one_line(text, labels, score):
+    got = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES).scan(text)
+    assert (got[2], got[3]) == (labels, score)
+
+
 def test_license_scan(spark, awkward, nothing):
     rows = [(1, "Under the MIT-License: x. Apache License, Version 2.0 CC BY NC cc by nc"), (2, "// SPDX-License-Identifier: MIT OR (GPL-2.0-only AND ISC)\ncode"), (3, "under the mit licenses"), (4, None)]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}

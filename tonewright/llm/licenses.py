@@ -19,6 +19,7 @@ other columns are not kept.  Nothing is shuffled, a row is one text.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import ahocorasick
@@ -55,8 +56,9 @@ PERMISSIVE = {
 }
 
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_TAG_TEXT = re.compile(r"(?i)spdx[\W_]*license[\W_]*identifier[^\w(\n]*([^\n]*)")
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+_TAG_TEXT = re.compile(r"(?i)spdx[\W_]*license[\W_]*identifier[^\w(\n]*")
+_TOKEN = re.compile(r"[^\S\n]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+_NAME = re.compile(r"[^\S\n]*([A-Za-z0-9.+\-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -67,11 +69,11 @@ def permissiveness(label: str) -> float:
     return 0.5
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: identifiers lower-cased, operators after their operands.  The
-    expression ends where the grammar ends; ``ValueError`` if it is malformed before."""
-    out, stack, want, at = [], [], True, 0
-    while m := _TOKEN.match(expression, at):
+def to_postfix(expression: str, at: int = 0, end: int = sys.maxsize) -> list[str]:
+    """Shunting-yard from `at` to `end`: identifiers lower-cased, operators after their operands.  The
+    expression ends where the grammar or the line ends; ``ValueError`` if it is malformed before."""
+    out, stack, want = [], [], True
+    while m := _TOKEN.match(expression, at, end):
         token = m[1].lower().rstrip(".") or m[1]
         if want:
             if token == "(":
@@ -113,12 +115,13 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
 
 
 def expressions(text: str) -> Iterator[tuple[set[str], float | None]]:
-    for m in _TAG_TEXT.finditer(text):
+    tags = [m.span() for m in _TAG_TEXT.finditer(text)]
+    for (_, at), (end, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
         try:
-            yield evaluate(to_postfix(m[1]))
+            yield evaluate(to_postfix(text, at, end))
         except ValueError:
-            names = re.split(r"[^A-Za-z0-9.+\-]+", m[1].strip())[:1]
-            yield {n.lower() for n in names if n and n.lower() not in _RANK}, None
+            name = _NAME.match(text, at, end)[1]
+            yield {name.lower()} - {"", *_RANK}, None
 
 
 class Scanner:
