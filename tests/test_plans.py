@@ -1,5 +1,6 @@
 import pytest
 
+from tonewright.operators import validate
 from tonewright.plans import markdown, report
 from tonewright.streaming import ingest
 
@@ -48,6 +49,16 @@ def test_config_and_profiles():
     assert markdown.profile(c, "maya") == {"name": "Maya", "primary_locale": "en", "locales": ["en"]}
 
 
+def test_absent_knowledge_base(spark, tmp_path):
+    for f in ("config.yml", "voice.md", "tone.md", "lexicon.md"):
+        (tmp_path / f[:-3]).mkdir()
+        (tmp_path / f[:-3] / f).write_text("locks: []\n")
+    roots = [str(tmp_path / x) for x in ("nowhere", "config.", "voice", "tone", "lexicon")]
+    bases = spark.createDataFrame([(r, markdown.read_kb(r)["exists"]) for r in roots], "root string, exists boolean")
+    got = sorted(map(tuple, validate.kb_checks(bases).collect()))
+    assert got == [("error", "E_NO_KB", roots[4]), ("error", "E_NO_KB", roots[0])]
+
+
 def test_read_kb_and_card(tmp_path):
     (tmp_path / "voice.md").write_text(VOICE)
     (tmp_path / "lexicon.md").write_text(LEXICON)

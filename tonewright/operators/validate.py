@@ -124,5 +124,10 @@ def heading_checks(unparsed: DataFrame) -> DataFrame:
     return found(unparsed, "W_UNPARSED_RULE_HEADING")
 
 
+def kb_checks(bases: DataFrame) -> DataFrame:
+    """`bases`: root, exists (of `read_kb`: any of config, voice and tone)."""
+    return found(bases.where("not exists"), "E_NO_KB", "root")
+
+
 def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
