@@ -10,7 +10,9 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = 0xD6E8FEB86659FD93
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_VALUE = _LOWER.astype(U) + U(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
@@ -51,8 +53,51 @@ def chunks(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarr
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order.  Long texts
+    are gone through in stretches of about `most` bytes, cut between words."""
+    n = len(data)
+    if n <= 2 * most:
+        return _stretch(data, offsets)
+    words, rows, at = [], [], 0
+    while at < n:
+        to = min(n, at + most)
+        # the cut: a start of a row or a blank
+        row = int(np.searchsorted(offsets, to, "right")) - 1
+        if to < n and offsets[row] != to:
+            blank = np.flatnonzero(_WHITE[data[max(at, int(offsets[row])) : to]])
+            if len(blank):
+                to = max(at, int(offsets[row])) + int(blank[-1]) + 1
+            elif offsets[row] > at:
+                to = int(offsets[row])
+            else:  # one word fills the stretch: it ends at the next blank, or its row
+                end = int(offsets[row + 1])
+                while to < end and not (blank := np.flatnonzero(_WHITE[data[to : min(end, to + most)]])).size:
+                    to = min(end, to + most)
+                to = to + int(blank[0]) if to < end else end
+                words.append(mix(np.array([_long_word(data[at:to], most)], U)))
+                rows.append(np.array([row]))
+                at = to
+                continue
+        inner = offsets[(offsets > at) & (offsets < to)]
+        h, r = _stretch(data[at:to], np.concatenate([[0], inner - at, [to - at]]))
+        words.append(h)
+        rows.append(np.searchsorted(offsets, np.concatenate([[at], inner]), "right")[r] - 1)
+        at = to
+    return np.concatenate(words), np.concatenate(rows)
+
+
+def _long_word(data: np.ndarray, most: int) -> int:
+    """The hash, before mixing, of one word of any length."""
+    power, _ = _tables(most)
+    total = 0
+    for at in range(0, len(data), most):
+        piece = _VALUE[data[at : at + most]]
+        total += int((piece * power[: len(piece)]).sum(dtype=U)) * pow(_BASE, at, 1 << 64)
+    return (total + (len(data) - 1) * _LENGTH) % (1 << 64)
+
+
+def _stretch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64)
@@ -66,25 +111,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start, end = np.flatnonzero(first), np.flatnonzero(last)
     power, inverse = _tables(n + 1)
     total = np.zeros(n + 1, U)
-    np.cumsum((_LOWER[data].astype(U) + U(1)) * power[:n], out=total[1:])
+    np.cumsum(_VALUE[data] * power[:n], out=total[1:])
     h = (total[end + 1] - total[start]) * inverse[start]
-    row = np.searchsorted(offsets, start, "right") - 1
-    return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93)), row
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return mix(h + (end - start).astype(U) * U(_LENGTH)), row
 
 
-def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each run of `n` words within a row; the k-th is the one that starts at
-    the k-th word that has n - 1 followers."""
-    if len(h) < n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    if n == 1:
-        return h, row
+def rolled(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of `n` words, by its first word, and whether it lies within a row."""
     m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, U), np.zeros(0, bool)
+    if n == 1:
+        return h, np.ones(m, bool)
     out = np.zeros(m, U)
     for k in range(n):
         out = (out + h[k : k + m]) * U(_BASE)
-    ok = row[:m] == row[n - 1 :]
-    return mix(out + U(n))[ok], row[:m][ok]
+    return mix(out + U(n)), row[:m] == row[n - 1 :]
+
+
+def ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each run of `n` words within a row; the k-th is the one that starts at
+    the k-th word that has n - 1 followers."""
+    out, ok = rolled(h, row, n)
+    return out[ok], row[: len(ok)][ok]
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -130,3 +180,33 @@ class Forest:
             return False
         self.up[max(a, b)] = min(a, b)
         return True
+
+
+class Names:
+    """Union-find over 64-bit names; forgets all when it holds more than `most`, which costs
+    repeated edges but no connection."""
+
+    def __init__(self, most: int = 500_000):
+        self.up: dict[int, int] = {}
+        self.most = most
+
+    def find(self, a: int) -> int:
+        up = self.up
+        while (b := up.setdefault(a, a)) != a:
+            up[a] = a = up[b]
+        return a
+
+    def joining(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Those of the edges (a, b) that connect what was not connected."""
+        if len(self.up) > self.most:
+            self.up.clear()
+        keep = []
+        for k in np.flatnonzero(a != b).tolist():
+            x, y = self.find(int(a[k])), self.find(int(b[k]))
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                keep.append(k)
+        return np.stack([a[keep], b[keep]], 1).astype(np.int64) if keep else np.zeros((0, 2), np.int64)
+
+    def roots(self, a: np.ndarray) -> np.ndarray:
+        return np.array([self.find(x) if x in self.up else x for x in a.tolist()], np.int64)

@@ -10,20 +10,29 @@ Documents with equal sets are one class.  The exact join of classes has three st
    share a signature are joined, and the connected components are the candidate groups:
    every link lies within a group, and text that many documents share hardly joins them
    because a whole bucket must agree.
-2. Signature trees.  A group's sets are cut into blocks of one size level and of bounded
-   size; for every two blocks whose sizes allow a link a tree each is built whose nodes hold the size range and the OR-combined token
-   bitmap of the sets below, with the most shingles that any of them has on each bit.  A
-   dual traversal prunes pairs of nodes by the largest overlap the bitmaps and sizes
+2. Signature trees.  A group's sets are cut into blocks of bounded size, a small group is
+   one block; of a block a tree is built whose nodes hold the size range and the OR-combined
+   token bitmap of the sets below, with the most shingles that any of them has on each bit.
+   A dual traversal prunes pairs of nodes by the largest overlap the bitmaps and sizes
    allow, and pairs that are connected already; what remains is verified exactly.
+   First every block is joined with itself and with a few pivot sets of the near blocks of
+   its group, which connects near copies across blocks.  Then, in groups that are not one
+   component yet, the sets are cut into blocks anew, those of a large component apart, and
+   every two blocks whose sizes allow a link meet, but for two of one component.
 3. Links found form the components.
 
-Bounds: signatures are 16 bytes a row and pre-aggregated per batch; blocks hold at most
-`block` sets; groups of any size are split into block pairs, so no group reaches one task.
-No pair list is ever made: a block pair emits at most one edge per set.
+Bounds: signatures are 16 bytes a row, one a batch and signature; edges are spanning
+forests of tasks, so their number follows the sets, not their pairs; blocks hold about
+`block` sets and `shingles` shingles at most (a longer set is a block of its own); groups of
+any size are split, so no group reaches one task.  A text travels once, and again only for
+what its group leaves unconnected.
 
 Defined results: with fewer words than n the whole sequence is one shingle; null or empty
-text has no shingles and links with nothing; repeated rows are a class of their own;
-documents of one id and different texts are separate sets; an empty table gives no rows.
+text has no shingles and links with nothing; a row without an id is not linked; repeated
+rows are a class of their own; documents of one id and different texts are separate sets of
+one id; a tie for a component's name goes to the smallest id; an empty table gives no rows;
+texts of any length are read whole, in stretches; other columns are not kept, whatever
+their names; ids are integers (others cannot be cast and end the job).
 """
 
 from __future__ import annotations
@@ -37,14 +46,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewright.llm.hashing import Forest, U, by_group, chunks, mix, ngrams, word_hashes
+from tonewright.llm.hashing import Forest, Names, U, by_group, chunks, mix, ngrams, word_hashes
 from tonewright.llm.shared import components, discard, stored
 
 BITS = 1024
 BLOCK = 256
 LEAF = 4
 LEVEL = 1.12  # the ratio of neighbouring size levels
-WIDE = 1 << 40  # blocks of a level, at most
+PIVOTS = 8  # a block's pivot sets, on average
+SHINGLES = 2_000_000  # a block's shingles, at most (but for one set)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,11 +202,14 @@ def _token_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Connecting links between sets of side 0 and side 1, or all, if there is one side."""
+def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Connecting links between sets of side 0 and side 1, or all, if there is one side; sets of
+    the same `known` root are connected already."""
     counts, sizes = _token_counts(sets), np.array([len(s) for s in sets])
     order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), int(sizes[i])))
-    forest = Forest(len(sets))
+    forest, of_root = Forest(len(sets)), {}
+    for i, root in enumerate(known or []):
+        forest.join(of_root.setdefault(root, i), i)
     sides = [[i for i in order if side[i] == k] for k in (0, 1)]
     if not sides[1] or not sides[0]:
         tree = build_tree(sides[0] or sides[1], sizes, counts)
@@ -204,7 +217,7 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) ->
     return list(join_trees(build_tree(sides[0], sizes, counts), build_tree(sides[1], sizes, counts), sets, counts, forest, num, den))
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """(doc_id, node, n_shingles, component_id): one row per row of `docs`; `node` is a
     128-bit digest of the set (null without shingles).  Ids are integers."""
     spark = docs.sparkSession
@@ -221,12 +234,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, rows), pa.array(node, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "node", "n_shingles"])
 
     every = stored(texts.mapInArrow(digest, "doc_id long, node binary, n_shingles long"), "sets")
-    short = F.xxhash64("node")
-    classes = stored(every.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")).withColumn("short", short), "classes")
+    classes = stored(every.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")).withColumn("short", F.xxhash64("node")), "classes")
+    held = [classes]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, a, b): rows with b null are signature a's... key = signature, a = row's set;
-        rows with b set are edges between sets that share a signature within the batch."""
+        """(key, a, b).  Sets of the batch that share signatures are connected by a forest:
+        rows with b.  Rows without b say that signature `key` occurs in the batch, among the
+        sets connected with a."""
         for batch in batches:
             for _, data, offsets in chunks(batch.column(1)):
                 g, r = shingle_sets(data, offsets, n)
@@ -235,70 +249,72 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
                 ends = np.cumsum(size)
                 name = np.array([_short_digest(g[e - s : e]) if s else 0 for s, e in zip(size.tolist(), ends.tolist(), strict=True)], np.int64)
                 s, a = sig.view(np.int64), name[row]
-                order = np.lexsort((a, s))
+                order = np.argsort(s, kind="stable")
                 s, a = s[order], a[order]
                 new = np.ones(len(s), bool)
                 new[1:] = s[1:] != s[:-1]
-                link = np.zeros(len(s), bool)
-                link[1:] = ~new[1:] & (a[1:] != a[:-1])
-                at = np.flatnonzero(link)
-                edges = np.unique(np.stack([a[at - 1], a[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+                at = np.flatnonzero(~new)
+                names = Names()
+                edges = names.joining(a[at - 1], a[at])
                 key = np.concatenate([s[new], edges[:, 0]])
-                left = np.concatenate([a[new], edges[:, 0]])
+                left = np.concatenate([names.roots(a[new]), edges[:, 0]])
                 right = np.concatenate([np.zeros(int(new.sum()), np.int64), edges[:, 1]])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(right, mask=np.arange(len(right)) < int(new.sum()))], names=["key", "a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_a = None, None
+        """The forests, and edges that connect what shares a signature."""
+        last, names = None, Names()
         for b in batches:
             if not b.num_rows:
                 continue
             edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
             key, a = b.column(0).to_numpy(), b.column(1).to_numpy()
-            right = b.column(2).fill_null(0).to_numpy()
-            out = [np.stack([a[edge], right[edge]], 1)]
+            known = np.stack([a[edge], b.column(2).fill_null(0).to_numpy()[edge]], 1)
             key, a = key[~edge], a[~edge]
+            if last is not None:
+                key, a = np.append(last[0], key), np.append(last[1], a)
             if len(key):
-                if last_key is not None and key[0] == last_key and a[0] != last_a:
-                    out.append(np.array([[last_a, a[0]]]))
-                same = (key[1:] == key[:-1]) & (a[1:] != a[:-1])
-                out.append(np.stack([a[:-1][same], a[1:][same]], 1))
-                last_key, last_a = key[-1], a[-1]
-            both = np.unique(np.concatenate(out), axis=0)
+                last = (key[-1:], a[-1:])
+            same = key[1:] == key[:-1]
+            both = np.concatenate([known, names.joining(a[:-1][same], a[1:][same])])
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long")
+    pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
     groups = components(pairs)
-    member = classes.join(groups.withColumnRenamed("node", "gnode"), F.col("short") == F.col("gnode"))
-    # Linked sets lie at most `reach` size levels apart, so only blocks of near levels meet.
+    # linked sets lie at most `reach` size levels apart, so only blocks of near levels meet
     step = math.log(LEVEL)
     reach = math.floor(math.log(den / num) / step + 1e-9) + 1
-    member = stored(member.select("node", "rep", F.col("root").alias("grp"), F.floor(F.log(F.col("size").cast("double")) / step).cast("long").alias("level")), "members")
-    cells = stored(member.groupBy("grp", "level").agg(F.ceil(F.count("*") / block).cast("long").alias("cuts")), "cells")
-    near = cells.select("grp", "level", "cuts", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)).alias("olevel"))
-    other = cells.select("grp", F.col("level").alias("olevel"), F.col("cuts").alias("ocuts"))
-    # at most 2 * reach + 1 entries
-    near = near.join(other, ["grp", "olevel"]).groupBy("grp", "level", "cuts").agg(F.collect_list(F.struct("olevel", "ocuts")).alias("others"))
-    cell = F.col("level") * WIDE + F.pmod(F.xxhash64("node"), F.col("cuts"))
-    placed = stored(member.join(near, ["grp", "level"]).select("grp", "node", "rep", cell.alias("cell"), "others"), "placed")
-    met = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda i: o["olevel"] * WIDE + i)))
-    # the members of groups have no size bound: never broadcast, at any size
-    tiles = (
-        texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep"))
-        .select("grp", "node", "rep", "cell", "text", F.explode(met).alias("other"))
-        .select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "rep", "text")
-    )
+    member = classes.join(groups.withColumnRenamed("node", "gnode"), F.col("short") == F.col("gnode"))
+    member = stored(member.select("node", "rep", "size", F.col("root").alias("grp"), F.floor(F.log(F.col("size").cast("double")) / step).cast("long").alias("level")), "members")
+    held.append(member)
+    cuts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / shingles)).cast("long").alias("cuts")
+
+    def near(cells: DataFrame, *more: str) -> DataFrame:
+        """Cells (grp, level, `more`, cuts) with the cells of near levels of their group."""
+        wide = cells.withColumn("olevel", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)))
+        other = cells.select("grp", F.col("level").alias("olevel"), *(F.col(c).alias(f"o{c}") for c in (*more, "cuts")))
+        # as many entries as the group has blocks in 2 * reach + 1 levels, at most
+        found = F.collect_list(F.struct("olevel", *(f"o{c}" for c in (*more, "cuts")))).alias("others")
+        return wide.join(other, ["grp", "olevel"]).groupBy("grp", "level", *more, "cuts").agg(found)
+
+    def meeting(placed: DataFrame) -> DataFrame:
+        """Links of `placed`: (grp, node, rep, root, cell, met), met the cells to be joined with."""
+        # the members of groups have no size bound: never broadcast, at any size
+        tiles = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("grp", "node", "rep", "root", "cell", "text", F.explode("met").alias("other"))
+        tiles = tiles.select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "rep", "root", "text")
+        return tiles.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(verify, "a long, b long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, 3):
             sets: list[np.ndarray] = []
             reps: list[int] = []
+            roots: list[int] = []
             side: list[int] = []
             known: set[bytes] = set()
             lo = t.column(1)[0].as_py()
-            node, rep, cells = t.column(4).to_pylist(), t.column(5).to_pylist(), t.column(3).to_pylist()
-            for at, data, offsets in chunks(t.column(6)):
+            cells, node, rep, root = (t.column(k).to_pylist() for k in range(3, 7))
+            for at, data, offsets in chunks(t.column(7)):
                 g, r = shingle_sets(data, offsets, n)
                 size = np.bincount(r, minlength=len(offsets) - 1)
                 ends = np.cumsum(size)
@@ -310,17 +326,48 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
                     known.add(node[at + k])
                     sets.append(own.copy())
                     reps.append(rep[at + k])
+                    roots.append(root[at + k])
                     side.append(int(cells[at + k] != lo))
             if len(sets) < 2:
                 continue
-            found = link_block(sets, np.array(side), num, den)
+            found = link_block(sets, np.array(side), num, den, roots)
             yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-    links = tiles.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(verify, "a long, b long")
+    # First: every block with itself and the pivots of near blocks.
+    whole = stored(member.groupBy("grp").agg(cuts, F.count("*").alias("sets")).select("grp", (F.col("cuts") <= 1).alias("single"), "sets"), "groups")
+    held.append(whole)
+    sized = member.join(whole.where("sets > 1"), "grp").withColumn("level", F.when(F.col("single"), F.lit(0)).otherwise(F.col("level")).cast("long"))
+    cells = near(stored(sized.groupBy("grp", "level").agg(cuts), "cells"))
+    place = lambda level, k: F.xxhash64(level, k)
+    each = F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda k: place(o["olevel"], k)))
+    pivot = ~F.col("single") & (F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.col("cuts") * (block // PIVOTS), F.lit(1))) == 0)
+    own = place(F.col("level"), F.pmod(F.xxhash64("node"), F.col("cuts")))
+    first = sized.join(cells, ["grp", "level"]).withColumn("own", own)
+    first = first.select("grp", "node", "rep", F.col("rep").alias("root"), F.explode(F.when(pivot, F.array_union(F.flatten(each), F.array("own"))).otherwise(F.array("own"))).alias("cell"))
+    links = stored(meeting(first.withColumn("met", F.array("cell"))), "links")
     roots = components(links).withColumnsRenamed({"node": "linked"})
+
+    # Then: blocks of groups that are not one component yet.
+    several = sized.where(~F.col("single")).join(roots, F.col("rep") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "rep"))
+    several = stored(several.select("grp", "level", "node", "rep", "size", "root"), "several")
+    open_ = several.groupBy("grp").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("grp")
+    counted = several.join(open_, "grp", "left_semi").groupBy("grp", "level", "root").agg(F.count("*").alias("n"), F.sum("size").alias("sum"))
+    # a component with half a block of sets in a level has blocks of its own there
+    counted = stored(counted.withColumn("part", F.when((F.col("n") >= block // 2) | (F.col("sum") >= shingles // 2), F.col("root"))), "counted")
+    cuts = F.ceil(F.greatest(F.sum("n") / block, F.sum("sum") / shingles)).cast("long").alias("cuts")
+    nobody = F.lit(-(1 << 63)).cast("long")  # the part of small components
+    cells = near(stored(counted.groupBy("grp", "level", F.coalesce("part", nobody).alias("part")).agg(cuts), "cells"), "part")
+    place = lambda level, part, k: F.xxhash64(level, part, k)
+    apart = F.filter("others", lambda o: (o["opart"] != F.col("part")) | (F.col("part") == nobody))
+    each = F.transform(apart, lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda k: place(o["olevel"], o["opart"], k)))
+    rest = several.join(counted.select("grp", "level", "root", F.coalesce("part", nobody).alias("part")), ["grp", "level", "root"]).join(cells, ["grp", "level", "part"])
+    rest = rest.select("grp", "node", "rep", "root", place(F.col("level"), F.col("part"), F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("cell"), F.flatten(each).alias("met"))
+    late = stored(meeting(stored(rest, "placed")), "links")
+    if late.limit(1).count():
+        roots = components(links.unionByName(late)).withColumnsRenamed({"node": "linked"})
     named = stored(classes.join(roots, F.col("rep") == F.col("linked"), "left").select(F.col("node").alias("cnode"), F.coalesce("root", "rep").alias("component")), "named")
     out = every.join(named, F.col("node") == F.col("cnode"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
-    for df in (member, cells, placed, classes):
+    for df in (*held, links, late, several, counted):
         discard(df)
     return out
 

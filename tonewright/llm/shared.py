@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder is set."""
+    """The shared folder of ``spark.checkpoint.dir``.  Where that is unset a temporary folder
+    is set on a local master (tests), and it is an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
             held = spark.sparkContext.getCheckpointDir()
         base = held
@@ -53,7 +55,7 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components: `edges` (a, b) to (node, root), root the smallest node of the
     component.  Nodes without an edge do not occur; no edges give no rows.
 
@@ -66,7 +68,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stored(both, "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
-    for _ in range(rounds):
+    while True:
         parent = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = stored(labels.join(parent, "root", "left").select("node", "root", F.coalesce("up", "root").alias("up")), "jumped")
         seen = both.join(jumped.select(F.col("node").alias("b"), F.col("up").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
@@ -80,7 +82,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after
         if done:
             break
-    else:
-        raise RuntimeError("components did not settle")
     discard(both)
     return labels.select("node", "root")
