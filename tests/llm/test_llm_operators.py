@@ -89,6 +89,23 @@ def test_license_scan(spark, awkward, nothing):
     assert licenses.scan_licenses(awkward).count() == awkward.count() and licenses.scan_licenses(nothing).count() == 0
 
 
+def test_op1_base_is_brute_force(spark, tmp_path):
+    """Base columns of the registered query against a search at every word."""
+    r = random.Random(8)
+    bits = ["under the mit license", "Apache License, Version 2.0", "apache license version 2", "CC-BY NC", "cc by", "license", "the", "mit", "é", "x\u00a0y", "\n", "2", "under the"]
+    rows = [(k, " ".join(r.choice(bits) for _ in range(r.randrange(25)))) for k in range(80)] + [(200, None), (201, ""), (202, "under the mit license " * 20_000), (None, "cc by nc"), (0, "cc by nc"), (0, "cc by nc")]
+    spark.createDataFrame(rows, DOCS).withColumn("places", F.lit(1)).withColumn("labels", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    want = Counter()
+    for k, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        found = sorted((i, x) for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        want[k, len(w), len(found), found[0][0] if found else None, found[-1][0] if found else None, ",".join(sorted({x for _, x in found}))] += 1
+    got = queries.op1_license_scan(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in got) == want
+    assert all(set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(",")) and 0 <= x.score <= 1 for x in got)
+
+
 # --- tokens
 
 
@@ -121,6 +138,18 @@ def test_encode_documents(awkward, nothing, library):
     assert bpe.encode_documents(nothing, PATH, digest_only=True).count() == 0
 
 
+def test_op4_digests(spark, awkward, library, tmp_path):
+    awkward.withColumns({"__text": F.lit("x"), "ids_sha256": F.lit("clash"), "Text_": F.lit(1)}).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for r in awkward.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    got = queries.op4_bpe(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    every = bpe.encode_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), PATH)
+    assert "__text" in every.columns and every.count() == awkward.count()
+
+
 def test_packing(awkward, nothing, library):
     got = packing.pack(awkward, PATH, window=64).collect()
     by_sequence = {}
@@ -140,6 +169,30 @@ def test_packing(awkward, nothing, library):
     assert packing.pack(nothing, PATH).count() == 0
 
 
+def test_op5_pieces_against_library(spark, awkward, library, tmp_path):
+    """Every document's pieces, in order, are the library's ids and the end token."""
+    rows = awkward.where("doc_id is not null and doc_id <> 6").unionByName(spark.createDataFrame([(20, "a" + " " * 30_000 + "b"), (21, "\n" * 25_000), (22, "x <|endoftext|>" + "\t" * 21_000)], DOCS))
+    rows.withColumn("ids", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op5_packing(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(got) == sorted(r.doc_id for r in rows.collect())
+    for r in rows.collect():
+        ids, at = [*library.encode(r.text or "", add_special_tokens=False).ids, 0], 0
+        for p in sorted(got[r.doc_id], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(array("I", ids[at : at + p.length]).tobytes())
+            at += p.length
+        assert at == len(ids)
+    assert packing.pack(rows.withColumn("n", F.lit(1)).withColumn("part", F.lit(1)), PATH).count() == sum(map(len, got.values()))
+
+
+def test_long_blanks_go_to_the_automaton(library):
+    rank = packing.RankEncoder(bpe.read_spec(PATH))
+    text = "a" + " " * 700_000 + "b"
+    assert array("I", rank.encode(text)).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 # --- media
 
 
@@ -151,7 +204,14 @@ def test_media(awkward, nothing, spark):
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
         want[r.doc_id, len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media.to_png(payload)).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in got) == want
+    for r in media.media_columns(awkward.withColumn("payload", F.lit("clash"))).collect():
+        x, n = list(r.payload), len(r.payload)
+        cuts = [round(n * k / 64) for k in range(65)]
+        means = [sum(x[a:b]) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert r.feature == f"{int(''.join('01'[means[k] > means[(k + 1) % 64]] for k in range(64)), 2):016x}"
     assert media.media_columns(nothing).count() == 0
+    with pytest.raises(TypeError, match="integer"):
+        media.media_columns(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_media_ranges_and_damage(spark, tmp_path):
@@ -200,6 +260,18 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing).count() == 0
 
 
+def test_op7_digest(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(SECRETS)] + [(99, None), (0, SECRETS[0]), (50, "x " * 60_000 + "token=abcdefgh")]
+    spark.createDataFrame(rows, DOCS).withColumn("gram", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    base = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    want = Counter()
+    for k, t in rows:
+        hits = [[(m.start(), n, m.end()) for m in re.finditer(p, t or "", re.A) if len(m[g]) >= least] for n, (p, g, least) in enumerate(zip(base, (2, 0, 0), (6, 20, 24), strict=True))]
+        text = ",".join(f"{('assign', 'access', 'hex')[n]}:{a}:{b}" for a, n, b in sorted(x for h in hits for x in h))
+        want[k, *map(len, hits), hashlib.sha256(text.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in queries.op7_secret_scan(spark, str(tmp_path)).collect()) == want
+
+
 def test_trigram_queries():
     q = secrets.trigram_query(secrets.BASE[0].pattern)
     assert frozenset({"tok", "oke", "ken"}) in q[0] and len(q) == 1
@@ -216,62 +288,65 @@ def test_redact(spark):
 # --- language model
 
 
-def test_backoff(spark, awkward, nothing):
-    r = random.Random(1)
-    rows = [(k, " ".join(r.choice("the of A mill wheel x".split()) for _ in range(r.randrange(30)))) for k in range(100, 160)]
-    docs = spark.createDataFrame(rows, DOCS).unionByName(awkward.where("doc_id <> 6 or doc_id is null"))
-    texts = [(x.doc_id, words_of(x.text)) for x in docs.collect()]
-    c = {n: Counter(tuple(w[i : i + n]) for _, w in texts for i in range(len(w) - n + 1)) for n in (1, 2, 3)}
-    total = sum(c[1].values())
-
-    def score(w):
-        s = 0.0
-        for i in range(len(w)):
-            for n in (3, 2, 1):
-                g = tuple(w[max(0, i - n + 1) : i + 1])
-                if len(g) < n:
-                    continue
-                if n == 1:
-                    s += math.log(c[1][g] / total)
-                elif c[n][g] >= 2:
-                    s += math.log(c[n][g] / c[n - 1][g[:-1]])
-                    break
-                else:
-                    s += math.log(0.4)
-        return s
-
-    got = {x.doc_id: x for x in lm.backoff_scores(docs, batch_rows=9, partition_bytes=400).collect()}
-    for k, w in texts:
-        assert got[k].n_words == len(w) and got[k].log_score == pytest.approx(score(w), abs=1e-6)
-        assert (got[k].mean_log_score is None) == (not w)
-    assert lm.backoff_scores(nothing).count() == 0
-
-
-def test_op2_counts_n_grams_seen_once(spark, tmp_path):
-    r = random.Random(2)
-    rows = [(k, " ".join(r.choice("the of a mill wheel x".split()) for _ in range(r.randrange(12)))) for k in range(40)] + [(90, "b c d"), (91, "b c e"), (92, None)]
-    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    texts = [(k, words_of(t)) for k, t in rows]
-    c = {n: Counter(tuple(w[i : i + n]) for _, w in texts for i in range(len(w) - n + 1)) for n in (1, 2, 3)}
-    total = sum(c[1].values())
+def plain_backoff(corpus, w, order, alpha=0.4):
+    """(sum, words scored by each order) by the definition."""
+    c = {n: Counter(tuple(t[i : i + n]) for t in corpus for i in range(len(t) - n + 1)) for n in range(1, order + 1)}
+    total, s, by = sum(c[1].values()) or 1, 0.0, [0] * order
+    for i in range(len(w)):
+        for n in range(order, 0, -1):
+            g = tuple(w[max(0, i - n + 1) : i + 1])
+            if len(g) < n:
+                continue
+            if n == 1 or c[n][g]:
+                s += math.log(c[n][g] / c[n - 1][g[:-1]] if n > 1 else max(c[1][g], 1) / total)
+                by[n - 1] += 1
+                break
+            s += math.log(alpha)
+    return s, by
 
-    def score(w):
-        grams = [tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w))]
-        s = sum(math.log(c[len(g)][g] / (c[len(g) - 1][g[:-1]] if len(g) > 1 else total)) for g in grams)
-        # a step down costs alpha where the longer n-gram could have been: never, as each occurs
-        return s
 
-    got = {x.doc_id: x for x in queries.op2_lm_score(spark, str(tmp_path)).collect()}
-    for k, w in texts:
-        assert got[k].n_words == len(w) and got[k].log_score == pytest.approx(score(w), abs=1e-6)
-        assert (got[k].n_order1, got[k].n_order2, got[k].n_order3) == (min(len(w), 1), min(max(len(w) - 1, 0), 1), max(len(w) - 2, 0))
+def prose(seed, n, most, words="the of a mill wheel x"):
+    r = random.Random(seed)
+    return [(k, " ".join(r.choice(words.split()) for _ in range(r.randrange(most)))) for k in range(100, 100 + n)]
 
 
-def test_pack_round_trip():
-    h = np.sort(np.array([0, 5, 1 << 50, (1 << 64) - 1], np.uint64))
-    c = np.array([1, 254, 255, 70000])
-    x, y = lm.unpack(lm.pack(h, c))
-    assert (x == h).all() and (y == c).all()
+@pytest.mark.parametrize(("order", "hot_share"), [(3, 0.0005), (3, 0.02), (4, 0.9)])
+def test_backoff(spark, awkward, nothing, order, hot_share):
+    docs = spark.createDataFrame(prose(1, 60, 30) + [(300, "b c d"), (301, "b c e"), (302, "b"), (303, "b c")], DOCS).unionByName(awkward).withColumn("key", F.lit("k")).withColumn("past", F.lit(1))
+    texts = [(x.doc_id, words_of(x.text)) for x in docs.collect()]
+    every = [w for _, w in texts]
+    for got in (lm.backoff_scores(docs, order=order, rounds=2, partition_rows=300, hot_share=hot_share), *([lm.backoff_scores(docs, docs, order=order)] if hot_share == 0.02 else [])):
+        rows = sorted(got.collect(), key=lambda x: (x.doc_id or 0, x.n_words))
+        assert len(rows) == len(texts)
+        for (k, w), x in zip(sorted(texts, key=lambda t: (t[0] or 0, len(t[1]))), rows, strict=True):
+            score, by = plain_backoff(every, w, order)
+            assert x.doc_id == k and x.n_words == len(w) and x.log_score == pytest.approx(score, abs=1e-6)
+            assert x.mean_log_score == (pytest.approx(score / len(w), abs=1e-9) if w else None)
+            assert [x[f"n_order{n}"] for n in range(1, order + 1)] == by
+    assert lm.backoff_scores(nothing).count() == lm.backoff_scores(nothing, docs).count() == 0
+    assert {x.log_score for x in lm.backoff_scores(awkward, nothing).where("n_words = 0").collect()} == {0.0}
+
+
+def test_backoff_under_another_corpus(spark):
+    docs, other = prose(3, 40, 12, "the of a mill wheel x y z"), prose(4, 30, 12)
+    got = {x.doc_id: x for x in lm.backoff_scores(spark.createDataFrame(docs, DOCS), spark.createDataFrame(other, DOCS)).collect()}
+    corpus = [words_of(t) for _, t in other]
+    steps = 0
+    for k, t in docs:
+        score, by = plain_backoff(corpus, words_of(t), 3)
+        assert got[k].log_score == pytest.approx(score, abs=1e-6) and [got[k][f"n_order{n}"] for n in (1, 2, 3)] == by
+        steps += by[0]
+    assert steps > len(docs)  # words that backed off
+
+
+def test_op2(spark, tmp_path):
+    rows = prose(2, 40, 12) + [(90, "b c d"), (91, "b c e"), (92, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op2_lm_score(spark, str(tmp_path)).collect()}
+    corpus = [words_of(t) for _, t in rows]
+    for k, t in rows:
+        score, by = plain_backoff(corpus, words_of(t), 3)
+        assert got[k].log_score == pytest.approx(score, abs=6e-5) and [got[k][f"n_order{n}"] for n in (1, 2, 3)] == by
 
 
 # --- near duplicates
@@ -302,14 +377,15 @@ def test_embeddings(spark):
     link = u @ u.T >= 0.95
     link[np.arange(len(x)), np.arange(len(x))] = False
     comp = roots(len(x), list(zip(*np.nonzero(link), strict=True)))
-    for block in (1000, 40):
-        got = {r.vec_id: r for r in embeddings.near_duplicates(df, recall=0.9999, block=block).collect()}
+    for block in (1000, 40):  # at the registered recall
+        got = {r.vec_id: r for r in embeddings.near_duplicates(df.withColumn("cells", F.lit(1)), block=block).collect()}
         assert len(got) == len(rows)
         found = sum(got[k].n_links for k in range(len(x)))
         assert 0.999 * link.sum() <= found <= link.sum()
         for k in range(len(x)):
             assert got[k].n_links <= link[k].sum() and got[k].component_id == comp[k] and got[k].kept == (comp[k] == k)
         assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in range(900, 906))
+        assert (got[906].n_links, got[906].component_id) == (int((u @ np.full(16, 0.25) >= 0.95).sum()), 906)
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
@@ -320,6 +396,14 @@ def test_collisions_are_window_counts():
         assert (embeddings.collisions(p, q, 0.6) == (np.abs(p[:, None] - q[None]) <= 0.6).sum(2)).all()
 
 
+def test_least_reachable():
+    r = random.Random(5)
+    for _ in range(30):
+        pairs = [(r.randrange(40), r.randrange(40)) for _ in range(r.randrange(45))]
+        i, j = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+        assert embeddings.least_reachable(40, i, j).tolist() == roots(40, pairs)
+
+
 def near_docs():
     r = random.Random(4)
     vocab = [f"w{k}" for k in range(300)]
@@ -431,6 +515,32 @@ def test_toxicity_held_out(spark):
     assert 0 < model.score(["", None])[0] < 0.5
 
 
+def test_op10_scores_are_brute_force(spark, tmp_path):
+    """Scores recomputed clause by clause from the model's lexicon and weights."""
+    r = random.Random(9)
+    words = ["you", "idiot", "moron", "not", "said", "kill", "nice", "day", "he", "is", "a", "trottel", "."]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for k in range(60)] + [(100, None), (101, ""), (None, "idiot"), (102, "idiot " * 30_000), (0, "twice"), (0, "twice")]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("y", F.lit(1)).withColumn("least", F.lit("clash"))
+    labels = spark.createDataFrame([(k, int("idiot" in t)) for k, t in rows if k is not None and t], "doc_id long, toxic int")
+    model, scanner = toxicity.train(docs, labels), None
+    scanner = toxicity.Scanner(model.lexicon)
+
+    def score(t):
+        total = Counter()
+        for clause in scanner.clauses(t or ""):
+            for out, strength in clause:
+                total[out] += strength
+        z = model.weights[-1] + sum(model.weights[toxicity.OUTPUTS.index(o)] * math.log1p(x) for o, x in total.items())
+        return 1 / (1 + math.exp(-z))
+
+    got = toxicity.with_score(docs, model).collect()
+    assert sorted((x.doc_id or -1, round(x.toxicity, 9)) for x in got) == sorted((k or -1, round(score(t), 9)) for k, t in rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    held = {x.doc_id: x.held_out for x in queries.op10_toxicity(spark, str(tmp_path)).collect()}
+    assert held == {k: zlib.crc32(str("" if k is None else k).encode()) % 5 == 0 for k, _ in rows}
+
+
 def test_toxicity_without_labels(spark, awkward):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(awkward, empty)
@@ -448,6 +558,36 @@ def test_quality(spark):
     assert sum(r.quality_keep != bool(r.quality) for r in got) / len(got) < 0.05
 
 
+def test_quality_posteriors_are_brute_force(spark):
+    """Scores against the definition, from the same evidence; columns clash with inner names."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(["good", "words", "***", "||", "9"]) for _ in range(r.randrange(12))), r.choice("abc"), r.choice(["x", "y", None]), 1, 2, 3, 4) for k in range(70)] + [(71, None, None, None, 1, 2, 3, 4), (3, "good", "a", "x", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n int, s int, host_n int, __z int")
+    labels = spark.createDataFrame([(k, int("*" not in t)) for k, t, *_ in rows if t], "doc_id long, quality int")
+    ev = quality.fit(df, labels)
+    p = 1 / (1 + np.exp(-(ev([t for _, t, *_ in rows]) + np.log(ev.rate / (1 - ev.rate)))))
+    sites = {}
+    for (_, _, h, q, *_), x in zip(rows, p, strict=True):
+        sites.setdefault(h, {}).setdefault(q, []).append(x)
+
+    def strength(groups):
+        beyond = (sum(n * (s / n - w) ** 2 for n, s, w in groups) - sum(w * (1 - w) for _, _, w in groups)) / sum(n * w * (1 - w) for n, _, w in groups)
+        return float(np.clip(1 / beyond - 1, 1, 10_000)) if beyond > 0 else 10_000.0
+
+    m = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+    hosts = {h: [x for v in d.values() for x in v] for h, d in sites.items()}
+    k1 = strength([(len(v), sum(v), m) for v in hosts.values()])
+    rate = {h: (sum(v) + k1 * m) / (len(v) + k1) for h, v in hosts.items()}
+    k2 = strength([(len(v), sum(v), rate[h]) for h, d in sites.items() for v in d.values()])
+    want = []
+    for (k, _, h, q, *_), x, z in zip(rows, p, ev([t for _, t, *_ in rows]), strict=True):
+        prior = (sum(hosts[h]) - x + k1 * m) / (len(hosts[h]) - 1 + k1)
+        path = (max(sum(sites[h][q]) - x, 0) + k2 * prior) / (len(sites[h][q]) - 1 + k2)
+        want.append((k, 1 / (1 + np.exp(-(z + np.log(path / (1 - path)))))))
+    got = quality.classify(df, labels, F.col("source"), F.col("lang"), evidence=ev).collect()
+    assert got[0].n == 1 and sorted((x.doc_id, round(x.quality_score, 6)) for x in got) == sorted((k, round(float(v), 6)) for k, v in want)
+
+
 def test_quality_sites_shrink(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = [(k, "plain words", "a", "x") for k in range(50)] + [(99, None, None, None)]

@@ -1,233 +1,285 @@
-"""Stupid-backoff scores of documents under an n-gram model of the whole corpus.
-
-Counting: documents are dealt by hash into batches.  Each batch counts its distinct
-n-grams once (a combine before the shuffle), cuts the sorted hashes into hash partitions
-and sends each cut as one packed row.  A hash partition adds up its n-grams over all
-batches: the count tables, partitioned by hash.  Its answer to a batch is the counts of
-the n-grams that the batch asked for, in the order asked, so hashes travel one way only.
-
-Orders: with a `cut` of 1 every n-gram of every order is counted, all orders in one pass.
-With a larger one (n-grams seen less often count as unseen, so scores differ from stupid
-backoff) words and pairs are counted first, and an n-gram of a higher order is asked for
-only if both its (n - 1)-grams reached `cut`, as no other can.
-
-Rounds: the hash partitions are counted in `rounds` rounds, each over all texts, and the
-shuffle files of a round are removed when its counts are stored: all n-grams are counted,
-but only a share of them lies on disk at a time.
-
-Scoring: a batch meets its answers (a cogroup by batch) and each position takes the longest
-n-gram with `cut` or more occurrences: count / count of its history, times `alpha` for
-every order stepped down; words fall back to count / corpus size.  Sums are per document.
-
-Bounds: a batch has about `batch_rows` documents whatever the corpus size, a hash partition
-about `partition_grams` n-grams; the corpus size is the only number that is global.
-
-Defined results: null or empty text has no words and a null mean score; repeated rows count
-as often as they occur; an empty table gives no rows; hashes are 64 bits.
+"""Stupid-backoff scores of documents under an n-gram model of a whole corpus.
+
+The score of a word after its history is count(n-gram) / count(history) where the n-gram of
+the highest order occurs in the corpus, else `alpha` times the score at the next lower
+order; words fall back to count / corpus size.  Every n-gram counts, once-seen ones too.
+
+`backoff_scores` without a corpus scores documents under their own counts.  Then every
+n-gram that a text holds has a count, so a text's sum needs the counts of two orders only:
+the full order and its histories (the first words' lower orders telescope to the count of
+the first history).  Rows are exploded n-grams (history, n-gram, document), hash-partitioned
+by history, once.  On that partitioning both counts, of n-grams and of histories, meet the
+exploded rows as windows over one sort (building the two count tables and joining each back
+to the rows, which gives the same, took the operator 931 CPU seconds a GB of 960 allowed), and
+the logarithms are summed per document.
+
+With a `corpus` of its own the tables of all orders are counted from it and the documents'
+positions walk down the orders: a join with the table of each order scores those whose n-gram
+is there and leaves the rest, with `alpha`, to the next.
+
+Rounds: hash partitions are done in `rounds` rounds, each over all texts, and a round's
+shuffle files go when its sums are stored: a share of the exploded rows is on disk at a time.
+
+Hot n-grams: one that holds `hot_share` of all positions would make a partition hot.  There
+are at most 2 / hot_share candidates an order, by arithmetic; they are counted exactly
+beforehand with a combine in each task, and their part of every sum is made where the text
+is read.  Rows of a hot history are dealt by their n-gram instead.
+
+Defined results: null or empty text has no words, a sum of 0 and a null mean; a word that
+`corpus` lacks counts as seen once; repeated rows count as often as they occur and get the
+same score each; null ids are ids; an empty table gives no rows; other columns are not kept,
+whatever their names; texts of any length are handled, n-grams as 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tonewright.llm.hashing import U, chunks, rolled, word_hashes
+from tonewright.llm.shared import conf_set, discard, stored
+
+#: Kinds of exploded rows: the first history of a text, an n-gram, the last history (no n-gram
+#: follows) and an n-gram whose history is hot.
+HEAD, GRAM, END, LONE, NONE = 0, 1, 2, 3, 4
+
+
+class Stretch:
+    """The n-grams of a stretch of texts: histories and full n-grams by first word."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int):
+        h, row = word_hashes(data, offsets)
+        self.h, self.row, self.n = h, row, len(offsets) - 1
+        self.words = np.bincount(row, minlength=self.n)
+        hist, whole = rolled(h, row, order - 1)
+        gram, full = rolled(h, row, order)
+        full = np.append(full, np.zeros(len(whole) - len(full), bool))
+        gram = np.append(gram, np.zeros(len(whole) - len(gram), U))
+        starts = np.searchsorted(row, np.arange(self.n))
+        first = np.zeros(len(whole), bool)
+        first[starts[(self.words >= order - 1) & (starts < len(whole))]] = True
+        #: history and n-gram that start at each word; n-grams hold where `full`
+        self.hist, self.gram, self.whole, self.full, self.first = hist, gram, whole, full, first & whole
+
+
+def _heavy(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur `least` times or more, and how often."""
+    top = (x >> U(48)).astype(np.int64)
+    busy = np.bincount(top, minlength=1 << 16) >= least
+    v, c = np.unique(x[busy[top]], return_counts=True)
+    return v[c >= least], c[c >= least]
 
-from tonewright.llm.hashing import U, by_group, chunks, ngrams, word_hashes
-from tonewright.llm.shared import discard, stored
-
-_PACKED = "p int, batch long, n_order int, packed binary"
-_ANSWER = "batch long, n_order int, p int, n long, counts binary"
-
-
-def pack_counts(c: np.ndarray) -> bytes:
-    """One byte a count, and 8 more for those of 255 or more."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype("<i8").tobytes()
-
-
-def unpack_counts(b: bytes, n: int) -> np.ndarray:
-    c = np.frombuffer(b, np.uint8, n).astype(np.int64)
-    c[c == 255] = np.frombuffer(b, "<i8", -1, n)
-    return c
-
-
-def pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted hashes as gaps of 6 bytes (8 where that does not suffice) and their counts."""
-    gap = np.diff(h, prepend=U(0))
-    wide = 6 if not len(gap) or int(gap.max()) < 1 << 48 else 8
-    body = gap.view(np.uint8).reshape(-1, 8)[:, :wide]
-    return bytes([wide]) + len(h).to_bytes(8, "little") + body.tobytes() + pack_counts(c)
-
-
-def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide, n = b[0], int.from_bytes(b[1:9], "little")
-    gap = np.zeros((n, 8), np.uint8)
-    gap[:, :wide] = np.frombuffer(b, np.uint8, n * wide, 9).reshape(n, wide)
-    c = unpack_counts(b[9 + n * wide :], n)
-    return np.cumsum(gap.view("<u8").ravel(), dtype=U), c
-
-
-class Batch:
-    """The n-grams of a batch of texts; every step is the same each time it is computed."""
-
-    def __init__(self, texts: pa.ChunkedArray, order: int):
-        words, rows = [], []
-        for at, data, offsets in chunks(texts):
-            h, r = word_hashes(data, offsets)
-            words.append(h)
-            rows.append(r + at)
-        self.h, self.row = (np.concatenate(words), np.concatenate(rows)) if words else (np.zeros(0, U), np.zeros(0, np.int64))
-        self.n, self.order = len(texts), order
-        m = len(self.h)
-        #: whether the n-gram that ends at a word lies within its text
-        self.whole = {k: np.concatenate([np.zeros(min(k - 1, m), bool), self.row[k - 1 :] == self.row[: m - k + 1]]) if m >= k else np.zeros(m, bool) for k in range(1, order + 1)}
-        self.distinct: dict[int, np.ndarray] = {}
-        self.place: dict[int, np.ndarray] = {}
-        self.count: dict[int, np.ndarray] = {}  # per word, of the n-gram that ends there, over the corpus
-
-    def ask(self, k: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes of order k that can reach `cut`, and their counts in the batch."""
-        at = np.flatnonzero(self.whole[k])
-        g, _ = ngrams(self.h, self.row, k)
-        if k > 2 and cut > 1:
-            low = self.count[k - 1]
-            able = (low[at] >= cut) & (low[at - 1] >= cut)
-            at, g = at[able], g[able]
-        h, inverse, c = np.unique(g, return_inverse=True, return_counts=True)
-        self.distinct[k] = h
-        self.place[k] = np.full(len(self.h), -1)
-        self.place[k][at] = inverse
-        return h, c
-
-    def answer(self, k: int, counts: np.ndarray) -> None:
-        out = np.zeros(len(self.h), np.int64)
-        asked = self.place[k] >= 0
-        out[asked] = counts[self.place[k][asked]]
-        self.count[k] = out
-
-
-def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
-    """Where a sorted array of hashes is cut into equal ranges."""
-    step = (1 << 64) // parts + 1
-    return np.searchsorted(h, np.array([min(p * step, (1 << 64) - 1) for p in range(1, parts)], U), "left") if parts > 1 else np.zeros(0, np.int64)
-
-
-def _answers(batch: Batch, table: pa.Table, upto: int, cut: int) -> None:
-    """Gives `batch` the answers of `table` for the orders to `upto`."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("n_order", "p", "n", "counts")), strict=True))
-    for k in range(1, upto + 1):
-        batch.ask(k, cut)
-        got = [unpack_counts(c, n) for o, _, n, c in rows if o == k]
-        batch.answer(k, np.concatenate(got) if got else np.zeros(0, np.int64))
-
-
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the write that made them ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if was is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, was)
-
-
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, cut: int = 2, batch_rows: int = 2000, partition_bytes: int = 8 << 20, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+class Table:
+    """A sorted table of hashes; its bitmap of leading bits answers for most that it lacks."""
+
+    def __init__(self, values):
+        self.values = np.unique(np.array(values, np.int64).view(U))
+        self.bits = np.zeros(1 << 16, bool)
+        self.bits[(self.values >> U(48)).astype(np.int64)] = True
+
+    def at(self, x: np.ndarray) -> np.ndarray:
+        """Places of `x` in the table, -1 where it is not there."""
+        out = np.full(len(x), -1)
+        if len(self.values):
+            may = np.flatnonzero(self.bits[(x >> U(48)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.values, x[may]), len(self.values) - 1)
+            same = self.values[k] == x[may]
+            out[may[same]] = k[same]
+        return out
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+
+
+#: Shuffle files go when the write that made them ends.
+_ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def _log(c: str):
+    return F.log(F.col(c).cast("double"))
+
+
+def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alpha: float = 0.4, rounds: int = 4, partition_rows: int = 1_000_000, hot_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logarithms), mean_log_score and the number
-    of words scored by each order (n_order1, ...)."""
+    of words scored by each order (n_order1, ...).  `order` is 2 or more."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    if corpus is not None:
+        return _against(texts, corpus.select(F.lit(0).alias("key"), F.col(text_col).alias("text")), order, alpha)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
-    batches = max(1, math.ceil(max(size.rows / batch_rows, (size.bytes or 0) / (16 << 20))))
-    parts = max(1, math.ceil((size.bytes or 0) / partition_bytes))
-    rounds = min(rounds, parts)
-    dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(batches)).cast("long").alias("batch"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # orders that are asked for without the counts of shorter n-grams
-    free = order if cut <= 1 else min(order, 2)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(max(tasks, min(batches, 4 * tasks)), "batch")
-
-    def packed(batch: Batch, number: int, orders: range, now: int) -> Iterator[pa.RecordBatch]:
-        for k in orders:
-            h, c = batch.ask(k, cut)
-            at = _cuts(h, parts)
-            rows = [(p, pack(x, y)) for p, (x, y) in enumerate(zip(np.split(h, at), np.split(c, at), strict=True)) if len(x) and p % rounds == now]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([k] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "batch", "n_order", "packed"])
-
-    def first(now: int):
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in by_group(stream, 1):
-                yield from packed(Batch(t.column("text"), order), t.column(0)[0].as_py(), range(1, free + 1), now)
-
-        return run
 
-    def higher(k: int, now: int):
-        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            batch = Batch(left.column("text"), order)
-            _answers(batch, right, k - 1, cut)
-            return pa.Table.from_batches(list(packed(batch, key[0].as_py(), range(k, k + 1), now)))
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text, with its whole hash if it is shorter than a history; and the n-grams
+        that hold a good share of a stretch: order 0 for histories, 1 for n-grams."""
+        for b in batches:
+            for at, data, offsets in chunks(b.column(2)):
+                s = Stretch(data, offsets, order)
+                whole = np.zeros(s.n, U)
+                for k in range(1, order - 1):
+                    g, ok = rolled(s.h, s.row, k)
+                    g, r = g[ok], s.row[: len(ok)][ok]
+                    short = s.words[r] == k
+                    whole[r[short]] = g[short]
+                none = pa.nulls(s.n, pa.int64())
+                yield _batch("doc_id key n_words gram level n", b.column(0).slice(at, s.n), b.column(1).slice(at, s.n), s.words, whole.view(np.int64), none, none)
+                least = max(1, math.ceil(hot_share / 2 * len(s.h)))
+                for level, x in enumerate((s.hist[s.whole], s.gram[s.full])):
+                    v, c = _heavy(x, least)
+                    yield _batch("doc_id key n_words gram level n", pa.nulls(len(v), b.column(0).type), pa.nulls(len(v), pa.int64()), pa.nulls(len(v), pa.int64()), v.view(np.int64), np.full(len(v), level), c)
+
+    seen = stored(texts.mapInArrow(survey, f"doc_id {kind}, key long, n_words long, gram long, level long, n long"), "survey")
+    heads = seen.where("level is null")
+    total = heads.agg(F.sum("n_words")).first()[0] or 0
+    often = seen.where("level is not null").groupBy("level", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_share / 2 * total).select("level", "gram").collect()
+    hot = [Table([r.gram for r in often if r.level == k]) for k in (0, 1)]
+
+    lengths = list(range(1, order - 1))
+    wanted = heads.where((F.col("n_words") > 0) & (F.col("n_words") < order - 1)).select("key", "n_words", "gram")
+    # of 65,536 bits, so that n-grams which no short text has hardly travel
+    bits = np.zeros(1 << 16, bool)
+    bits[[r.b for r in wanted.select(F.shiftrightunsigned("gram", 48).cast("int").alias("b")).distinct().collect()]] = True
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the hot n-grams (level 0 and 1, by place), and of what short texts consist
+        of (level 1 + number of words, by hash)."""
+        for b in batches:
+            for _, data, offsets in chunks(b.column(1)):
+                s = Stretch(data, offsets, order)
+                for level, x in enumerate((s.hist[s.whole], s.gram[s.full])):
+                    k = hot[level].at(x)
+                    c = np.bincount(k[k >= 0], minlength=len(hot[level].values))
+                    yield _batch("level gram n", np.full(len(c), level), np.arange(len(c)), c)
+                for k in lengths if bits.any() else ():
+                    g, ok = rolled(s.h, s.row, k)
+                    g = g[ok]
+                    v, c = np.unique(g[bits[(g >> U(48)).astype(np.int64)]], return_counts=True)
+                    yield _batch("level gram n", np.full(len(v), k + 1), v.view(np.int64), c)
+
+    hot_log = [np.zeros(len(x.values)) for x in hot]
+    counts = None
+    if often or bits.any():
+        counts = stored(texts.select("key", "text").mapInArrow(tally, "level long, gram long, n long").groupBy("level", "gram").agg(F.sum("n").alias("n")), "counts")
+        for r in counts.where("level < 2 and n > 0").collect():
+            hot_log[r.level][r.gram] = math.log(r.n)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of each text's sum that hot n-grams make."""
+        for b in batches:
+            for at, data, offsets in chunks(b.column(1)):
+                s = Stretch(data, offsets, order)
+                old, new = hot[0].at(s.hist), hot[1].at(s.gram)
+                part = np.zeros(len(old))
+                for use, sign, k, values in ((s.full & (new >= 0), 1, new, hot_log[1]), (s.full & (old >= 0), -1, old, hot_log[0]), (s.first & (old >= 0), 1, old, hot_log[0])):
+                    part[use] += sign * values[k[use]]
+                yield _batch("key term", b.column(0).slice(at, s.n), np.bincount(s.row[: len(part)], part, s.n))
+
+    def explode(now: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = b.column(0).to_numpy()
+                for at, data, offsets in chunks(b.column(1)):
+                    s = Stretch(data, offsets, order)
+                    # what the n-gram that starts at a word is, and where its row is dealt
+                    what = np.where(s.full, GRAM, np.where(s.whole, END, NONE)).astype(np.int8)
+                    old = np.flatnonzero((hot[0].at(s.hist) >= 0) & s.whole)
+                    what[old] = np.where(s.full[old] & (hot[1].at(s.gram[old]) < 0), LONE, NONE)
+                    past = s.hist.copy()
+                    past[old] = s.gram[old]
+                    turn = ((past >> U(40)) * U(rounds)) >> U(24) == U(now)
+                    mine, first = np.flatnonzero(turn & (what != NONE)), np.setdiff1d(np.flatnonzero(turn & s.first), old)
+                    where = np.concatenate([mine, first])
+                    what = np.concatenate([what[mine], np.full(len(first), HEAD, np.int8)])
+                    past = past[where]
+                    gram = np.where(what % 2 == 1, s.gram[where], U(0))
+                    yield _batch("past gram key what", past.view(np.int64), gram.view(np.int64), keys[at + s.row[where]], what)
 
         return run
 
-    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(stream, 2):
-            pairs = [unpack(x) for x in t.column("packed").to_pylist()]
-            h = np.concatenate([x for x, _ in pairs])
-            table, inverse = np.unique(h, return_inverse=True)
-            total = np.zeros(len(table), np.int64)
-            np.add.at(total, inverse, np.concatenate([c for _, c in pairs]))
-            ends = np.cumsum([len(x) for x, _ in pairs])
-            back = [pack_counts(total[inverse[e - len(x) : e]]) for (x, _), e in zip(pairs, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("batch", "n_order", "p")), pa.array([len(x) for x, _ in pairs], pa.int64()), pa.array(back, pa.binary())], names=["batch", "n_order", "p", "n", "counts"])
-
-    held: list[DataFrame] = []
-
-    def counted(asked: list[DataFrame]) -> None:
-        # an order and a hash range make a group; every batch is one row of it
-        for x in asked:
-            held.append(stored(x.repartition(max(tasks, 1), "n_order", "p").select("n_order", "p", "batch", "packed").sortWithinPartitions("n_order", "p").mapInArrow(add, _ANSWER), "counts"))
-
-    def answers() -> DataFrame:
-        return reduce(DataFrame.unionByName, held)
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = Batch(left.column("text"), order)
-        _answers(batch, right, order, cut)
-        m = len(batch.h)
-        total, steps, open_ = np.zeros(m), np.zeros((order, m), bool), np.ones(m, bool)
-        for k in range(order, 1, -1):
-            c, history = batch.count[k], np.concatenate([[1], batch.count[k - 1][:-1]]) if m else np.zeros(0)
-            use = open_ & (c >= cut)
-            total[use] += np.log(c[use] / history[use])
-            steps[k - 1] = use
-            open_ &= ~use
-            # a step down costs alpha only where the longer n-gram could have been
-            total[open_ & batch.whole[k]] += math.log(alpha)
-        total[open_] += np.log(batch.count[1][open_])
-        steps[0] = open_
-        n = np.bincount(batch.row, minlength=batch.n)
-        cols = [left.column("doc_id").combine_chunks(), pa.array(n), pa.array(np.bincount(batch.row, total, batch.n))]
-        cols += [pa.array(np.bincount(batch.row, s, batch.n).astype(np.int64)) for s in steps]
-        return pa.Table.from_arrays(cols, names=["doc_id", "n_words", "raw", *(f"n_order{k}" for k in range(1, order + 1))])
-
-    schema = f"doc_id {kind}, n_words long, raw double, " + ", ".join(f"n_order{k} long" for k in range(1, order + 1))
-    with _shuffles_removed(spark):
-        counted([dealt.sortWithinPartitions("batch").mapInArrow(first(now), _PACKED) for now in range(rounds)])
-        for k in range(free + 1, order + 1):
-            known = answers().groupBy("batch")
-            counted([dealt.groupBy("batch").cogroup(known).applyInArrow(higher(k, now), _PACKED) for now in range(rounds)])
-        rows = stored(dealt.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(score, schema), "scores")
-        for x in held:
-            discard(x)
-    total = rows.agg(F.sum("n_words")).first()[0] or 1
-    log_score = F.col("raw") - F.col("n_order1") * math.log(total)
-    return rows.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"), *(f"n_order{k}" for k in range(1, order + 1)))
+    parts = max(1, math.ceil(total / rounds / partition_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / rounds / 20_000)))
+    source = texts.select("key", "text")
+    sums = []
+    with conf_set(spark, _ONCE):
+        for now in range(rounds):
+            rows = source.mapInArrow(explode(now), "past long, gram long, key long, what byte").repartition(parts, "past")
+            n_gram = F.sum((F.col("what") % 2).cast("long")).over(Window.partitionBy("past", "gram"))
+            n_past = F.sum(F.col("what").isin(GRAM, END).cast("long")).over(Window.partitionBy("past"))
+            met = rows.withColumn("n_gram", n_gram).withColumn("n_past", n_past)
+            term = F.when(F.col("what") == GRAM, _log("n_gram") - _log("n_past")).when(F.col("what") == HEAD, _log("n_past")).when(F.col("what") == LONE, _log("n_gram"))
+            sums.append(stored(met.select("key", term.alias("term")).groupBy("key").agg(F.sum("term").alias("term")), "sums"))
+    terms = [*sums, source.mapInArrow(known, "key long, term double")] if often else list(sums)
+    # sums by key hold the terms of every repeated row, those of short texts one row's
+    repeats = heads.groupBy("key").agg(F.count("*").alias("times"))
+    each = reduce(DataFrame.unionByName, terms).groupBy("key").agg(F.sum("term").alias("term"))
+    each = each.join(repeats, "key").select("key", (F.col("term") / F.col("times")).alias("term"))
+    if counts is not None:
+        short = wanted.distinct().withColumn("level", F.col("n_words") + 1).join(counts, ["level", "gram"]).select("key", _log("n").alias("term"))
+        each = each.unionByName(short).groupBy("key").agg(F.sum("term").alias("term"))
+    each = stored(each, "terms")
+    for x in [*sums, *([counts] if counts is not None else [])]:
+        discard(x)
+    words = F.col("n_words")
+    score = F.when(words > 0, F.coalesce("term", F.lit(0.0)) - math.log(max(total, 1))).otherwise(F.lit(0.0))
+    by_order = [F.when(words >= k, F.lit(1) if k < order else words - order + 1).otherwise(F.lit(0)).cast("long").alias(f"n_order{k}") for k in range(1, order + 1)]
+    return heads.join(each, "key", "left").select("doc_id", "n_words", score.alias("log_score"), F.when(words > 0, score / words).alias("mean_log_score"), *by_order)
+
+
+def _against(texts: DataFrame, corpus: DataFrame, order: int, alpha: float) -> DataFrame:
+    """Scores of `texts` under the counts of `corpus`."""
+
+    def count(k: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, data, offsets in chunks(b.column(1)):
+                    g, ok = rolled(*word_hashes(data, offsets), k)
+                    h, n = np.unique(g[ok], return_counts=True)
+                    yield _batch("h n", h.view(np.int64), n)
+
+        return stored(corpus.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a word: the n-grams that end there (g) and at the word before (p)."""
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for at, data, offsets in chunks(b.column(1)):
+                h, row = word_hashes(data, offsets)
+                end, before = [], []
+                for k in range(1, order + 1):
+                    g, ok = rolled(h, row, k)
+                    g, ok = (np.concatenate([np.zeros(len(h) - len(x), x.dtype), x]) for x in (g, ok))
+                    end.append(pa.array(g.view(np.int64), mask=~ok))
+                    inside = np.append(False, row[1:] == row[:-1])[: len(h)] & np.append(False, ok)[: len(h)]
+                    before.append(pa.array(np.append(U(0), g)[: len(h)].view(np.int64), mask=~inside))
+                yield _batch(names, keys[at + row], *end, *before[:-1])
+
+    tables = {k: count(k) for k in range(1, order + 1)}
+    total = tables[1].agg(F.sum("n")).first()[0] or 1
+    names = " ".join(["key", *(f"g{k}" for k in range(1, order + 1)), *(f"p{k}" for k in range(1, order))])
+    left = texts.select("key", "text").mapInArrow(explode, ", ".join(f"{x} long" for x in names.split())).withColumn("off", F.lit(0.0))
+    held, scored = [], []
+    for k in range(order, 1, -1):
+        gram, past = (tables[j].select(F.col("h").alias(h), F.col("n").alias(n)) for j, h, n in ((k, f"g{k}", "c"), (k - 1, f"p{k - 1}", "q")))
+        able = left.where(F.col(f"g{k}").isNotNull())
+        met = stored(able.join(gram, f"g{k}", "left").join(past, f"p{k - 1}", "left"), "met")
+        held.append(met)
+        scored.append(met.where("c is not null").select("key", (F.col("off") + _log("c") - _log("q")).alias("term"), F.lit(k).alias("by")))
+        left = met.where("c is null").withColumn("off", F.col("off") + math.log(alpha)).drop("c", "q").unionByName(left.where(F.col(f"g{k}").isNull()))
+    word = tables[1].select(F.col("h").alias("g1"), F.col("n").alias("c"))
+    scored.append(left.join(word, "g1", "left").select("key", (F.col("off") + F.log(F.coalesce("c", F.lit(1)).cast("double")) - math.log(total)).alias("term"), F.lit(1).alias("by")))
+    by_order = [F.sum((F.col("by") == k).cast("long")).alias(f"by{k}") for k in range(1, order + 1)]
+    each = reduce(DataFrame.unionByName, scored).groupBy("key").agg(F.sum("term").alias("term"), *by_order)
+    times = texts.groupBy("key").agg(F.count("*").alias("times"))
+    each = stored(each.join(times, "key"), "terms")
+    for x in [*held, *tables.values()]:
+        discard(x)
+    share = lambda c: F.coalesce((F.col(c) / F.col("times")), F.lit(0.0))
+    words = reduce(lambda a, b: a + b, [share(f"by{k}") for k in range(1, order + 1)]).cast("long")
+    return texts.select("doc_id", "key").join(each, "key", "left").select("doc_id", words.alias("n_words"), share("term").alias("log_score"), F.when(words > 0, share("term") / words).alias("mean_log_score"), *(share(f"by{k}").cast("long").alias(f"n_order{k}") for k in range(1, order + 1)))

@@ -9,7 +9,9 @@ sequence can be shorter than the window.
 Bounds: the totals are one row per partition; ids are handled a batch at a time.  Rows
 are never moved between partitions, so no document or source can make a task hot.
 Defined results: null or empty text is the end token alone; repeated rows are packed
-once each; an empty table gives no pieces; other columns are not kept.
+once each; null ids are ids; an empty table gives no pieces; other columns are not kept,
+whatever their names; of special tokens that start alike the longest is met; texts of any
+length are encoded whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import PATTERN
 from tonewright.llm import bpe
-from tonewright.llm.shared import modest_batches, stored
+from tonewright.llm.shared import conf_set, stored
+
+
+#: A run of white space that goes to the automaton, which gives the same ids.
+LONG_BLANK = re.compile(r"(?<!\s)\s{20000}")
 
 
 class RankEncoder:
@@ -38,7 +44,9 @@ class RankEncoder:
 
     def __init__(self, spec: bytes):
         model, alphabet = json.loads(spec), bpe.byte_alphabet()
-        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in model.get("added_tokens", [])}
+        self.spec = spec
+        #: of two that start alike the longer one is met first
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in sorted(model.get("added_tokens", []), key=lambda t: -len(t["content"]))}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         ranks = {bytes(alphabet[c] for c in s): i for s, i in model["model"]["vocab"].items() if s not in self.special}
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -60,13 +68,15 @@ class RankEncoder:
         return b"".join(self.special.get(x) or self._plain(x) for x in self.split.split(text))
 
     def _plain(self, text: str) -> bytes:
+        # the library's matcher keeps a state for every blank of a run and fails on a long one
+        if LONG_BLANK.search(text):
+            return bpe.automaton(self.spec).encode(text)
         return array("I", self.core.encode_ordinary(text)).tobytes()
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one: (doc_id, part, at, n, ids): tokens with the end token, packed as bytes,
     and the document's first position within its partition.  Written to the shared folder."""
-    modest_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     spec = sc.broadcast(bpe.read_spec(tokenizer_path))
     end = end_id.to_bytes(4, "little")
@@ -86,7 +96,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "at", "n", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, part long, at long, n long, ids binary"), "tokens")
+    # whole texts and their ids are long rows, and a batch is held several times over
+    with conf_set(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, part long, at long, n long, ids binary"), "tokens")
 
 
 def bases(tokens: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import bpe, embeddings, jaccard, licenses, lm, media, packing, quality, secrets, toxicity
+from tonewright.llm import bpe, embeddings, jaccard, licenses, lm, media, packing, quality, secrets, sql, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,7 +32,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"), cut=1)
+    scores = lm.backoff_scores(table(spark, sf_dir, "documents"))
+    # sums of logarithms differ in their last digits with the order of addition
+    return scores.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # a null id has no text: its sum is that of no bytes
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +84,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_lm_score": op2_lm_score, "op3_embedding_dedup": op3_embedding_dedup, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)

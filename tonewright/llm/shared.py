@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +40,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most `rows` rows for the rest of the session, where it has larger
-    ones: whole texts and their ids are long rows, and a batch is held several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def conf_set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while the block runs."""
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def discard(df: DataFrame) -> None:
