@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewright.llm.shared import unused
+
 #: Words and table states kept per Python worker; a full table is emptied, results do not change.
 CACHE_WORDS, CACHE_STATES = 300_000, 150_000
 _STOPS = frozenset(".,;:!?|&%$#*)")
@@ -292,14 +294,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
     new = [tokens_col, "ids_sha256", "decoded_sha256"] if digest_only else [tokens_col, ids_col]
     keep = [c for c in docs.columns if c not in new and not (digest_only and c == text_col)]
-    src = docs.select(*keep, F.col(text_col).alias("__text")) if text_col in docs.columns else docs
+    hidden = unused(docs, "text")
+    src = docs.select(*keep, F.col(text_col).alias(hidden))
     kinds = {tokens_col: "long", ids_col: "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{c}` {kinds[c]}" for c in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(spec.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.schema.get_field_index(hidden))
             for at in range(0, max(batch.num_rows, 1), 1000):
                 part = batch.slice(at, 1000)
                 ids = [auto.encode(t or "") for t in texts.slice(at, 1000).to_pylist()]

@@ -138,10 +138,13 @@ class Scanner:
         words = text.encode("utf-8", "surrogatepass").translate(_KEPT).split()
         flat = " " + b" ".join(words).decode("latin-1") + " "
         places, labels, scores, tagged = [], set(), [], False
+        at, word = 0, 0  # the words before `at` are counted on from the place before
         for end, phrase in self.automaton.iter(flat):
             if phrase in self.base:
-                start = flat.count(" ", 0, end - len(phrase) - 1)
-                places.append((start, self.base[phrase]))
+                to = end - len(phrase) - 1
+                word += flat.count(" ", at, to) if to >= at else -flat.count(" ", to, at)
+                at = to
+                places.append((word, self.base[phrase]))
                 labels.add(self.base[phrase])
                 scores.append(permissiveness(self.base[phrase]))
             elif phrase == TAG:

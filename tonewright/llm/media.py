@@ -9,7 +9,9 @@ offset, and streams batches through Arrow.
 
 Paths are URIs that pyarrow.fs or the local file system can open; the folder must be
 shared by driver and executors.  Defined results: null or empty text is stored as 64 zero
-bytes; equal texts have equal stored bytes; a member that stays unreadable after the
+bytes; equal texts have equal stored bytes; null ids and repeated rows are members of their
+own; ids that are no integers are refused with a TypeError before anything runs; other columns
+are not kept, whatever their names; texts of any length are one member each; a member that stays unreadable after the
 retries raises, it is never skipped; an empty table leaves an empty folder and no rows.
 """
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructType
 
 from tonewright.llm.shared import scratch_path
 
@@ -179,12 +181,21 @@ class _Reader(DataSourceReader):
         sizes = sorted(zip(listing.column("archive").to_pylist(), listing.column("size").to_pylist(), strict=True))
         return [_Range(name, low, low + self.size) for name, size in sizes for low in range(0, size, self.size)]
 
-    def _index(self, f, name: str, low: int, high: int) -> np.ndarray:
-        start, n, magic = struct.unpack("<QQ8s", f.read_at(24, f.size() - 24))
-        if magic != _MAGIC:
-            raise ValueError(f"{name}: no index")
-        index = np.frombuffer(zlib.decompress(f.read_at(n, start)), np.int64).reshape(-1, 6)
-        return index[(index[:, 0] >= low) & (index[:, 0] < high)]
+    def _index(self, name: str, low: int, high: int) -> np.ndarray:
+        """The index rows of a range, read again as often as `retries` says."""
+        for attempt in range(self.retries + 1):
+            try:
+                fs, p = _filesystem(name)
+                with fs.open_input_file(p) as f:
+                    start, n, magic = struct.unpack("<QQ8s", f.read_at(24, f.size() - 24))
+                    if magic != _MAGIC:
+                        raise OSError(f"{name}: no index")
+                    index = np.frombuffer(zlib.decompress(f.read_at(n, start)), np.int64).reshape(-1, 6)
+                return index[(index[:, 0] >= low) & (index[:, 0] < high)]
+            except (OSError, ValueError, struct.error, zlib.error) as e:
+                error: Exception = e
+            time.sleep(0.05 * 2**attempt)
+        raise error
 
     def _member(self, name: str, start: int, size: int, crc: int) -> bytes:
         """One member by its own offset, as often as `retries` says."""
@@ -207,8 +218,9 @@ class _Reader(DataSourceReader):
         fs, p = _filesystem(partition.archive)
         rows: list[tuple] = []
         held = 0
+        index = self._index(partition.archive, partition.low, partition.high)
         with fs.open_input_file(p) as f:
-            for start, size, crc, n_bytes, null, doc_id in self._index(f, partition.archive, partition.low, partition.high).tolist():
+            for start, size, crc, n_bytes, null, doc_id in index.tolist():
                 try:
                     media = f.read_at(size, start)
                 except OSError:
@@ -252,6 +264,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Stores `docs`, reads the archives back and adds the features: doc_id, n_bytes,
     payload, media, feature."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col}: the archive's index holds integer ids")
     folder = folder or scratch_path(spark, "media")
     store(docs, folder, id_col, text_col)
     return with_feature(read(spark, folder))

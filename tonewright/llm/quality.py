@@ -13,7 +13,9 @@ over all documents by grouped sums with map-side combining, one row per site.
 
 Defined results: null text is empty; null hosts or paths are a site of their own; without
 labels of both kinds the evidence is 0 and everything is kept; repeated rows count as
-often as they occur; an empty table gives no rows.
+often as they occur; equal texts of one site score alike; texts of any length are measured
+whole; other columns pass through, whatever their names, but for those of the results,
+which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.learning import labelled_sample, logistic
-from tonewright.llm.shared import discard, stored
+from tonewright.llm.shared import discard, stored, unused
 
 SAMPLE_ROWS = 12_000
 _SYMBOL_RUN = re.compile(rb"[*&%$#|!?=~^+<>@_-]{2,}")
@@ -159,20 +161,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     (columns of these names are replaced)."""
     new = ["evidence", "host_posterior", "path_posterior", "quality_score", "quality_keep"]
     evidence = evidence or fit(docs, labels, keep, text_col=text_col)
-    rows = docs.drop(*new).withColumns({"__host": host, "__path": path})
-    scored = with_evidence(rows, evidence, text_col)
-    sites, c = site_posteriors(with_evidence(rows.select("__host", "__path", text_col), evidence, text_col), evidence.rate)
+    h, p, z, hs, ps, site = (unused(docs, f"__{c}") for c in ("host", "path", "z", "site_host", "site_path", "site"))
+    rows = docs.drop(*new).withColumns({h: host, p: path})
+    scored = with_evidence(rows, evidence, text_col, z)
+    bare = rows.select(F.col(h).alias("__host"), F.col(p).alias("__path"), F.col(text_col).alias("text"))
+    sites, c = site_posteriors(with_evidence(bare, evidence, "text"), evidence.rate)
     m, k, k2 = c["rate"], c["host_strength"], c["path_strength"]
-    own = 1 / (1 + F.exp(-(F.col("__z") + float(np.log(evidence.rate / (1 - evidence.rate))))))
-    host_rate = (F.greatest(F.col("host_s") - own, F.lit(0.0)) + k * m) / (F.col("host_n") - 1 + k)
-    path_rate = (F.greatest(F.col("s") - own, F.lit(0.0)) + k2 * F.col("host_posterior")) / (F.col("n") - 1 + k2)
-    sites = sites.withColumnsRenamed({"__host": "__h", "__path": "__p"})
+    own = 1 / (1 + F.exp(-(F.col(z) + float(np.log(evidence.rate / (1 - evidence.rate))))))
+    host_rate = (F.greatest(F.col(site)["host_s"] - own, F.lit(0.0)) + k * m) / (F.col(site)["host_n"] - 1 + k)
+    path_rate = (F.greatest(F.col(site)["s"] - own, F.lit(0.0)) + k2 * F.col("host_posterior")) / (F.col(site)["n"] - 1 + k2)
+    sites = sites.select(F.col("__host").alias(hs), F.col("__path").alias(ps), F.struct("n", "s", "host_n", "host_s").alias(site))
     return (
-        scored.join(sites, F.col("__host").eqNullSafe(F.col("__h")) & F.col("__path").eqNullSafe(F.col("__p")))
+        scored.join(sites, F.col(h).eqNullSafe(F.col(hs)) & F.col(p).eqNullSafe(F.col(ps)))
         .withColumn("host_posterior", host_rate)
         .withColumn("path_posterior", path_rate)
-        .withColumn("evidence", F.col("__z"))
-        .withColumn("quality_score", 1 / (1 + F.exp(-(F.col("__z") + logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior"))))))))
+        .withColumn("evidence", F.col(z))
+        .withColumn("quality_score", 1 / (1 + F.exp(-(F.col(z) + logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior"))))))))
         .withColumn("quality_keep", F.col("quality_score") >= threshold)
         .select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *new)
     )

@@ -15,7 +15,10 @@ learned on two thirds of them and the weights on the rest.
 
 Defined results: null or empty text scores as a text without a match; no labels at all
 leave the seed lexicon with its default weights; equal texts score alike; other columns
-are not inputs.  A row is one text, nothing is shuffled when scoring.
+are not inputs and pass through, whatever their names, but for the score's, which is
+replaced; null ids are not learned from and are scored; repeated rows are scored each; texts
+of any length are read whole; an empty table gives no rows.  A row is one text, nothing is
+shuffled when scoring.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ from tonewright.llm.learning import labelled_sample, logistic, sigmoid
 from tonewright.llm.shared import discard
 
 SAMPLE_ROWS = 12_000
-LEXICON_SIZE = 5_000
 #: Seeds in the languages of the corpus.
 INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clown imbecile idiota imbécil basura estúpido dummkopf abschaum trottel idioten ordure crétin imbécile connard".split()
 THREATS = "kill hurt destroy murder strangle töten umbringen vernichten tuer frapper détruire matar destruir golpear".split()
@@ -193,8 +195,8 @@ def seeds() -> dict[str, float]:
 
 
 def learn_lexicon(sample: DataFrame, min_docs: int = 6, min_precision: float = 0.8) -> dict[str, float]:
-    """Units of toxic texts with a precision of `min_precision` or more, strongest first,
-    at most `LEXICON_SIZE`.  Texts with the same least three-word hash count once, so that
+    """Units of toxic texts with a precision of `min_precision` or more: all of them, as many as
+    the bounded sample has.  Texts with the same least three-word hash count once, so that
     a group of copies does not make its words toxic."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +233,6 @@ def learn_lexicon(sample: DataFrame, min_docs: int = 6, min_precision: float = 0
         .where((F.col("t") >= min_docs) & (F.col("t") >= min_precision * (F.col("t") + F.col("c"))))
         .withColumn("odds", F.log(odds))
         .where("odds > 2")
-        .orderBy(F.desc("odds"), "unit")
-        .limit(LEXICON_SIZE)
     )
     found = {r.unit: min(2.0, r.odds / 3) for r in strong.collect()}
     # a word or beginning that a shorter beginning already covers adds nothing
