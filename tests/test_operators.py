@@ -179,3 +179,14 @@ def test_speaker_offset(spark):
     off = tone.speaker_offset(house, tone.default_dials(F.col("md")))
     got = df.select(*[c.alias(k) for k, c in off.items()]).collect()
     assert tuple(got[0]) == (-1, 0, 1, -1, 1, 1) and tuple(got[1]) == (None,) * 6
+
+
+def test_entry_numbers_are_numbers(spark):
+    rows = [("a", "f999", "x", [], "file", "en", "used", []), ("b", "f1000", "x", [], "file", "en", "used", [])]
+    got = index.classify(spark.createDataFrame(rows, IDX), spark.createDataFrame([("x", "c", "en")], "origin string, sha256 string, locale string")).first()
+    assert got.entry_id == "f1000" and got["class"] == "stale"
+    many = spark.createDataFrame([(f"s{k}", f"f{k:03d}", f"o{k}", [], "file", "en", "used", ["V1"]) for k in range(1, 1200)], IDX)
+    cls = index.classify(many, many.select("origin", index.F.concat("sha256", index.F.lit("!")).alias("sha256"), "locale"))
+    new, _ = index.supersede(many, cls)
+    ids = {r.entry_id for r in new.collect()}
+    assert ids == {f"f{k}" for k in range(1200, 2399)}

@@ -87,3 +87,22 @@ def test_register(spark, tmp_path):
 
 def test_numeric_entities(spark):
     assert spark.range(1).select(extract.decode_entities(F.lit("&#8217;&#x1F600; &amp;lt; &nope;"))).first()[0] == "’😀 &lt; &nope;"
+
+
+def test_bad_input_ends_no_job(spark):
+    texts = [
+        ("html", "<p>&#99999999; &#xD800; &#99999999999999999999; &#0065;</p>", ["&#99999999; &#xD800; &#99999999999999999999; A"]),
+        ("rtf", "{\\rtf1 a\\u-10179?\\u-8704?b\\u99999999?c\\u-10179?}", ["a😀b�c�"]),
+        ("json", "[" * 5000 + '"Save it"' + "]" * 5000, ["Save it"]),
+        ("json", '{"a": ["Pair \\ud83d\\ude00 and \\ud83d half"]}', ["Pair 😀 and � half"]),
+        ("json", "[" * 5000, []),
+        ("markdown", "~~~\nno\n~~~\n<!-- a\nb --> Kept\nimport x from 'y'\n```\nopen fence", ["Kept", "```", "open fence"][:1] + ["open fence"]),
+    ]
+    df = spark.createDataFrame([(k, f, t) for k, (f, t, _) in enumerate(texts)], "k int, format string, raw string")
+    got = {r.k: r.u for r in df.select("k", extract.extract_units(F.col("format"), F.col("raw")).alias("u")).collect()}
+    assert got == {k: u for k, (_, _, u) in enumerate(texts)}
+
+
+def test_reach_of_globs():
+    assert files.reach(["content/**/*.md", "content/x/*.md", "docs/a.txt"]) == (["content", "docs"], "{*.md,a.txt}")
+    assert files.reach(["**/*.md", "a/b"]) == ([""], "{*.md,b}") and files.reach(["a/**"]) == (["a"], None)

@@ -39,8 +39,9 @@ def unit_stats(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "locale"))
     """Counters of each unit (columns strings array<string>, headings array<string>, locale)."""
     english = F.lower("locale").startswith("en")
     base = units.select(*keep, "strings", "headings", F.array_join("strings", "\n\n").alias("t"), F.lower("locale").startswith("en").alias("has_english"), F.lower(F.substring("locale", 1, 2)).alias("lang"))
-    cut = base.select("*", T.words(F.col("t")).alias("w"), F.flatten(F.transform("strings", T.sentences)).alias("s"), T.paragraphs(F.col("t")).alias("p"))
-    cut = cut.select("*", F.transform("w", F.lower).alias("lw"), F.transform("s", lambda s: _long(F.regexp_count(s, F.lit(V.WORD)))).alias("n"))
+    # sentences as lines of one text, so that what is asked of each is one pass over the text
+    cut = base.select("*", T.words(F.col("t")).alias("w"), T.marked_sentences(F.col("strings")).alias("m"), T.paragraphs(F.col("t")).alias("p"))
+    cut = cut.select("*", F.transform("w", F.lower).alias("lw"), T.words_per_line(F.col("m")).alias("n"))
     when_en = lambda c: F.when(F.col("has_english"), c).otherwise(F.lit(0).cast("long"))
 
     def person(lists: dict[str, tuple[str, ...]]) -> Column:
@@ -51,25 +52,26 @@ def unit_stats(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "locale"))
 
     multi = F.filter(F.transform("headings", T.words), lambda h: F.size(h) >= 2)
     title = F.filter(multi, lambda h: F.forall(F.filter(h, lambda x, i: (i == 0) | ~F.lower(x).isin(*V.MINOR_WORDS)), lambda x: x.rlike(r"^[\p{Lu}\p{N}]")))
-    passive = rf"(?i)(?<![A-Za-z0-9_])(?:{V.BE_VERBS})\s+(?:[A-Za-z0-9_]+ed|{V.PARTICIPLES})(?![A-Za-z0-9_])"
+    passive = rf"(?imd)^.*?(?<![A-Za-z0-9_])(?:{V.BE_VERBS}) (?:[A-Za-z0-9_]+ed|{V.PARTICIPLES})(?![A-Za-z0-9_]).*$"
+    opener = rf"(?md)^[^\p{{L}}\p{{N}}\n]*(?:{'|'.join(V.OPENERS)})(?![\p{{L}}\p{{N}}]|['’\-][\p{{L}}\p{{N}}])"
     contraction = rf"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]+['’](?:{V.CONTRACTION_TAIL})(?![A-Za-z0-9_])"
     lists = F.regexp_extract_all("t", F.lit(V.SERIAL_LIST), F.lit(0))
     hist = {name: _long(F.size(F.filter("n", (lambda lo, hi: lambda x: (x >= lo) if hi is None else (x >= lo) & (x <= hi))(lo, hi)))) for name, lo, hi, _ in V.HISTOGRAM}
-    cut = cut.withColumn("syl", F.when(english, T.syllable_counts(F.col("w"))))
+    cut = cut.withColumn("syl", F.when(english, T.syllable_marks(F.col("w"))))
     # without blank lines inside, the strings are the paragraphs
     split_inside = F.exists("strings", lambda x: x.rlike(r"\n[ \t]*\n"))
-    per_paragraph = F.when(split_inside, _total(F.col("p"), lambda p: F.size(T.sentences(p)))).otherwise(_long(F.size("s")))
+    per_paragraph = F.when(split_inside, _total(F.col("p"), lambda p: F.size(T.sentences(p)))).otherwise(_long(F.size("n")))
     values = {
         "strings": _long(F.size("strings")),
         "words": _long(F.size("w")),
-        "sentences": _long(F.size("s")),
+        "sentences": _long(F.size("n")),
         "paragraphs": _long(F.size("p")),
-        "sum_word_len": _total(F.col("w"), F.length),
+        "sum_word_len": _long(F.length(F.array_join("w", ""))),
         "sum_sent_len": _total(F.col("n"), lambda x: x),
         "sum_sent_len_sq": _total(F.col("n"), lambda x: x * x),
         "sum_para_sent": per_paragraph,
-        "exclamations": _long(F.size(F.filter("s", lambda s: s.rlike(r"!\p{P}*$")))),
-        "questions": _long(F.size(F.filter("s", lambda s: s.rlike(r"\?\p{P}*$")))),
+        "exclamations": _long(F.regexp_count("m", F.lit(r"(?md)!\p{P}*$"))),
+        "questions": _long(F.regexp_count("m", F.lit(r"(?md)\?\p{P}*$"))),
         "emoji": _long(F.regexp_count("t", F.lit(V.EMOJI))),
         "em_dash": _long(F.regexp_count("t", F.lit(r"—|\s-\s"))),
         "semicolon": _long(F.regexp_count("t", F.lit(";"))),
@@ -80,15 +82,15 @@ def unit_stats(units: DataFrame, keep: tuple[str, ...] = ("unit_id", "locale"))
         **hist,
         "person_markers": F.col("lang").isin(*V.FIRST_PERSON),
         "has_english": F.col("has_english"),
-        "syllables": when_en(_total(F.col("syl"), lambda x: x)),
+        "syllables": when_en(_long(F.length(F.translate("syl", " ", "")))),
         "contractions": when_en(_long(F.regexp_count("t", F.lit(contraction)))),
-        "passive_sentences": when_en(_long(F.size(F.filter("s", lambda s: s.rlike(passive))))),
-        "imperative_openers": when_en(_long(F.size(F.filter("s", lambda s: F.lower(F.regexp_extract(s, V.WORD, 0)).isin(*V.OPENERS))))),
+        "passive_sentences": when_en(_long(F.regexp_count("m", F.lit(passive)))),
+        "imperative_openers": when_en(_long(F.regexp_count(F.lower("m"), F.lit(opener)))),
         "hedges": when_en(_among(F.col("lw"), V.HEDGES)),
         "intensifiers": when_en(_among(F.col("lw"), V.INTENSIFIERS)),
         "oxford_lists": when_en(_long(F.size(lists))),
         "oxford_hits": when_en(_long(F.size(F.filter(lists, lambda x: x.rlike(V.OXFORD))))),
-        "long_words": when_en(_long(F.size(F.filter("syl", lambda x: x > 3)))),
+        "long_words": when_en(_long(F.regexp_count("syl", F.lit("1{4,}")))),
     }
     return cut.select(*keep, *[c.alias(k) for k, c in values.items()])
 

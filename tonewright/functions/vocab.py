@@ -70,3 +70,14 @@ CONTEXT_OFFSETS = {
 }
 #: Metrics watched for drift.
 DRIFT_METRICS = ("mean_sentence_length", "median_sentence_length", "mean_word_length", "exclamation_rate", "question_rate", "emoji_per_1000", "contraction_per_1000", "reading_grade", "passive_rate")
+
+#: Typography by locale: quotes, date, thousands, decimal, currency.
+LOCALE_SEED = {
+    "en-US": ('" "', "MM/DD/YYYY", ",", ".", "before: $9.99"),
+    "en-GB": ('" "', "DD/MM/YYYY", ",", ".", "before: GBP 9.99"),
+    "cs": ("low-high double quotes", "D. M. YYYY", "space", ",", "after: 9,99 CZK"),
+    "de": ("low-high double quotes", "DD.MM.YYYY", ".", ",", "after: 9,99 EUR"),
+    "fr": ("guillemets, spaced", "DD/MM/YYYY", "space", ",", "after: 9,99 EUR"),
+    "es": ('guillemets or " "', "DD/MM/YYYY", ".", ",", "after: 9,99 EUR"),
+    "pl": ("low-high double quotes", "DD.MM.YYYY", "space", ",", "after: 9,99 PLN"),
+}

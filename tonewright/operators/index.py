@@ -6,13 +6,29 @@ status, locale, produced; others pass through."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tonewright.functions import vocab as V
 
 
+def entry_number(c: str) -> Column:
+    """The number of an entry id (f007: 7); null for an id of another form."""
+    return F.regexp_extract(c, "^[a-z]([0-9]{1,18})$", 1).try_cast("long")
+
+
+def entry_order(c: str = "entry_id") -> Column:
+    """Entries by number, then by name: f1000 comes after f999."""
+    return F.struct(F.coalesce(entry_number(c), F.lit(-1)), F.col(c))
+
+
+def entry_name(number: Column, prefix: str = "f", width: int = 3) -> Column:
+    """A number as an entry id, padded to `width` digits and never cut."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
+
+
 def known_paths(index: DataFrame) -> DataFrame:
     """(sha256, path): the origin and aliases of every entry."""
     return index.select("sha256", F.explode(F.array_union(F.array("origin"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("path")).distinct()
@@ -23,9 +39,9 @@ def classify(index: DataFrame, resolved: DataFrame) -> DataFrame:
 
     The hash decides first; then the origin (the entry with the greatest id holds a repeated
     origin).  Adds `entry_id` of the entry met."""
-    by_hash = index.groupBy("sha256").agg(F.max("entry_id").alias("hash_entry"))
+    by_hash = index.groupBy("sha256").agg(F.max_by("entry_id", entry_order()).alias("hash_entry"))
     paths = known_paths(index).select(F.col("sha256").alias("psha"), "path", F.lit(True).alias("known_path"))
-    by_origin = index.groupBy("origin").agg(F.max("entry_id").alias("origin_entry"))
+    by_origin = index.groupBy("origin").agg(F.max_by("entry_id", entry_order()).alias("origin_entry"))
     out = resolved.join(by_hash, "sha256", "left").join(paths, (F.col("sha256") == F.col("psha")) & (F.col("origin") == F.col("path")), "left").join(by_origin, "origin", "left")
     kind = F.when(F.col("hash_entry").isNotNull(), F.when(F.col("known_path"), "known").otherwise("duplicate")).when(F.col("origin_entry").isNotNull(), "stale").otherwise("fresh")
     return out.withColumns({"class": kind, "entry_id": F.coalesce("hash_entry", "origin_entry")}).drop("psha", "path", "known_path", "hash_entry", "origin_entry")
@@ -61,27 +77,26 @@ def upsert(index: DataFrame, entries: DataFrame) -> DataFrame:
 
 def supersede(index: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stale entries replaced by entries with new ids and nothing produced; and the displaced
-    entries, whose rules reopen.  New numbers follow the greatest one, by origin: numbering is
-    a running count over partitions of ranges, not one global window."""
+    entries, whose rules reopen.  New numbers follow the greatest one in the order of the digest of
+    the origin: a running count over ranges of digests, not one global window."""
     stale = classified.where("class = 'stale'").select(F.col("entry_id").alias("old_id"), F.col("sha256").alias("new_sha"))
     displaced = index.join(stale, index.entry_id == stale.old_id, "left_semi")
-    number = F.regexp_extract("entry_id", "([0-9]+)$", 1).cast("long")
-    top = index.agg(F.coalesce(F.max(number), F.lit(0)).alias("top"))
+    top = index.agg(F.coalesce(F.max(entry_number("entry_id")), F.lit(0)).alias("top"))
     moved = index.join(stale, index.entry_id == stale.old_id).drop("sha256", "old_id", "produced").withColumnRenamed("new_sha", "sha256")
     moved = number_rows(moved, "origin").crossJoin(F.broadcast(top))  # one row
-    moved = moved.withColumns({"entry_id": F.concat(F.lit("f"), F.lpad((F.col("top") + F.col("n")).cast("string"), 3, "0")), "produced": F.array().cast("array<string>"), "status": F.lit("used")}).drop("top", "n")
+    moved = moved.withColumns({"entry_id": entry_name(F.col("top") + F.col("n")), "produced": F.array().cast("array<string>"), "status": F.lit("used")}).drop("top", "n")
     rest = index.join(stale, index.entry_id == stale.old_id, "left_anti")
     return rest.unionByName(moved.select(*index.columns)), displaced
 
 
-def number_rows(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """Adds n: 1, 2, ... in the order of (hash bucket of `key`, key): buckets are numbered in
-    parallel and shifted by the sums of the buckets before."""
-    b = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    counts = b.groupBy("__b").agg(F.count("*").alias("__c"))  # at most `buckets` rows
-    shifts = counts.withColumn("__s", F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).select(F.col("__b").alias("__k"), "__s")
-    n = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return b.withColumn("__r", n).join(F.broadcast(shifts), F.col("__b") == F.col("__k")).withColumn("n", F.col("__r") + F.col("__s")).drop("__b", "__r", "__s", "__k")
+def number_rows(df: DataFrame, key: str) -> DataFrame:
+    """Adds n: 1, 2, ... in the order of the MD5 digest of `key`.  The 256 ranges of digests
+    are numbered in parallel and shifted by the counts of the ranges before."""
+    b = df.withColumn("__d", F.md5(key)).withColumn("__b", F.substring("__d", 1, 2))
+    counts = b.groupBy("__b").agg(F.count("*").alias("__c"))  # at most 256 rows
+    shifts = counts.select(F.col("__b").alias("__k"), (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__s"))
+    n = F.row_number().over(Window.partitionBy("__b").orderBy("__d"))
+    return b.withColumn("__r", n).join(F.broadcast(shifts), F.col("__b") == F.col("__k")).withColumn("n", F.col("__r") + F.col("__s")).drop("__b", "__d", "__r", "__s", "__k")
 
 
 def mark_missing(index: DataFrame, gone: DataFrame) -> DataFrame:

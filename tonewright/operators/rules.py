@@ -46,18 +46,20 @@ def hits_per_unit(units: DataFrame, rules: DataFrame, text: str = "t") -> DataFr
     """Hits of every rule in every unit: the rule base travels to the units, whose text is
     read once for all rules; nothing is shuffled before the hits are summed.
 
-    The rule base is hand-written and bounded; it is collected to one array of patterns."""
+    The rule base is hand-written; its patterns are collected, and the text is read once for
+    every `RULES_A_PASS` of them."""
     spark = units.sparkSession
-    held = [(r.id, r.pattern) for r in rules.where("pattern is not null").select("id", "pattern").limit(MOST_RULES + 1).collect()]
-    if len(held) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
-    if not held:
-        return spark.createDataFrame([], "unit_id string, id string, hits long")
-    counts = F.array(*[F.struct(F.lit(i).alias("id"), F.regexp_count(text, F.lit(p)).cast("long").alias("hits")) for i, p in held])
-    return units.select("unit_id", F.inline(F.filter(counts, lambda x: x["hits"] > 0)))
+    held = [(r.id, r.pattern) for r in rules.where("pattern is not null").select("id", "pattern").collect()]
+    out = spark.createDataFrame([], "unit_id string, id string, hits long") if not held else None
+    for k in range(0, len(held), RULES_A_PASS):
+        counts = F.array(*[F.struct(F.lit(i).alias("id"), F.regexp_count(text, F.lit(p)).cast("long").alias("hits")) for i, p in held[k : k + RULES_A_PASS]])
+        found = units.select("unit_id", F.inline(F.filter(counts, lambda x: x["hits"] > 0)))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-MOST_RULES = 2000
+#: An expression of more patterns outgrows what the JVM compiles at once.
+RULES_A_PASS = 1000
 
 
 def hits(units: DataFrame, rules: DataFrame, text: str = "t") -> DataFrame:
@@ -107,9 +109,14 @@ def corroborated(swaps: DataFrame, least: int = V.THRESHOLDS["corroboration"]) -
     return swaps.groupBy("from_word", "to_word").agg(F.countDistinct("draft").alias("drafts")).where(F.col("drafts") >= least)
 
 
-def health(counted: DataFrame, evidence: DataFrame, now: Column, stale_months: int = V.THRESHOLDS["stale_months"]) -> DataFrame:
-    """dead (never hit), stale (never hit and its newest evidence is old), disputed or live."""
+def health(counted: DataFrame, evidence: DataFrame, now: Column, stale_months: int = V.THRESHOLDS["stale_months"], kept: DataFrame | None = None, often: int = 2) -> DataFrame:
+    """dead (never hit), stale (never hit and its newest evidence is old), overridden (its hits
+    were kept `often` times or more; `kept`: id, times), disputed or live."""
     newest = evidence.groupBy(F.col("id").alias("eid")).agg(F.max("date").alias("newest"))
     old = F.months_between(now, F.col("newest")) > stale_months
     verdict = F.when(F.col("confidence") == "disputed", "disputed").when((F.col("hits") == 0) & F.coalesce(old, F.lit(False)), "stale").when(F.col("hits") == 0, "dead").otherwise("live")
-    return counted.join(newest, F.col("id") == F.col("eid"), "left").select("id", "confidence", "hits", "newest", verdict.alias("health"))
+    out = counted.join(newest, F.col("id") == F.col("eid"), "left").withColumn("health", verdict)
+    if kept is not None:
+        often_kept = kept.groupBy(F.col("id").alias("kid")).agg(F.sum("times").alias("times")).where(F.col("times") >= often)
+        out = out.join(often_kept, F.col("id") == F.col("kid"), "left").withColumn("health", F.when((F.col("health") == "live") & (F.col("hits") > 0) & F.col("kid").isNotNull(), "overridden").otherwise(F.col("health")))
+    return out.select("id", "confidence", "hits", "newest", "health")

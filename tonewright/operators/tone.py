@@ -54,7 +54,8 @@ def matrix(spark: SparkSession, states: DataFrame, contexts: DataFrame, authored
     sv = states.select("state", *[F.col(d).alias(f"s_{d}") for d in V.DIALS])
     co = contexts.select("context", *[F.col(d).alias(f"c_{d}") for d in V.DIALS])
     names = spark.createDataFrame([(c, s) for c in V.CONTEXTS for s in V.STATES], "context string, state string")
-    first = authored.groupBy("context", "state").agg(F.first(F.struct(*V.DIALS)).alias("cell"))
+    pos = F.col("pos") if "pos" in authored.columns else F.monotonically_increasing_id()
+    first = authored.withColumn("__pos", pos).groupBy("context", "state").agg(F.min_by(F.struct(*V.DIALS), "__pos").alias("cell"))
     grid = names.join(F.broadcast(sv), "state", "left").join(F.broadcast(co), "context", "left").join(F.broadcast(first), ["context", "state"], "left")
     is_authored = F.col("cell").isNotNull()
     gated = F.col("state").isin(*V.HUMOR_FREE_STATES)

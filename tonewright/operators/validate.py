@@ -95,7 +95,7 @@ def speaker_checks(speakers: DataFrame, house: DataFrame, overlay: DataFrame) ->
     voiced = overlay.where("id like 'V%'").select("slug").distinct()
     silent = speakers.join(voiced, "slug", "left_anti").unionByName(speakers.where("not has_dials")).select("slug").distinct()
     new = overlay.join(house.select("id"), "id", "left_anti").where(number("id") != "").withColumn("prefix", F.substring("id", 1, 1)).where("prefix <> 'V'")
-    close = new.join(F.broadcast(top), "prefix").where(number("id").cast("int") < (F.floor(F.col("top") / 10) + 1) * 10)
+    close = new.join(top, "prefix").where(number("id").cast("int") < (F.floor(F.col("top") / 10) + 1) * 10)
     bare = overlay.join(house.select("id"), "id", "left_semi").where("id not like 'V%' and size(evidence) = 0")
     return union([found(silent, "W_SPEAKER_NO_VOICE", "slug"), found(close, "W_ID_RANGE_COLLISION_RISK"), found(bare, "W_OVERRIDE_UNEVIDENCED")])
 
@@ -107,14 +107,14 @@ def index_checks(index: DataFrame, known: DataFrame, rules: DataFrame, evidence:
     cited = links(rules).join(source, "ev", "left_semi").select("id").distinct()
     double = index.withColumn("n", F.row_number().over(Window.partitionBy("sha256").orderBy("entry_id"))).where("n > 1")
     counted = index.where(F.col("status").isin(*V.CONTRIBUTING))
-    old = index.join(F.broadcast(libraries.select(F.col("name").alias("extractor"), F.col("version").alias("now"))), "extractor").where("version <> now")
+    old = index.join(libraries.select(F.col("name").alias("extractor"), F.col("version").alias("now")), "extractor").where("version <> now")
     return union(
         [
             found(made.join(known.select("id").distinct(), "id", "left_anti"), "E_DANGLING_PRODUCED_ID", F.concat_ws(":", "entry_id", "id")),
             found(cited.join(made.select("id").distinct(), "id", "left_anti"), "E_SOURCE_NOT_INDEXED"),
             found(double, "E_DUPLICATE_SHA", "entry_id"),
             found(counted.where("not has_stats"), "E_NO_STATS", "entry_id"),
-            found(index.where("locale is not null").join(F.broadcast(locales.select("locale").distinct()), "locale", "left_anti"), "W_LOCALE_NOT_ACTIVE", "entry_id"),
+            found(index.where("locale is not null").join(locales.select("locale").distinct(), "locale", "left_anti"), "W_LOCALE_NOT_ACTIVE", "entry_id"),
             found(old, "W_STALE_EXTRACTOR", "entry_id"),
         ]
     )

@@ -193,9 +193,9 @@ def gate_escalation(spark, d):
 # --- source index: the index holds all documents; on resolving them again German texts have
 # changed in place, Spanish files have moved, French files have moved and changed
 
-_IDX = """idx AS (SELECT 'f' || lpad(CAST(doc_id + 1 AS VARCHAR), 9, '0') AS entry_id, sha256(coalesce(text, '')) AS sha256, source || '/' || doc_id || '.txt' AS origin, 'file' AS kind, lang AS locale, 'used' AS status, ['V' || (doc_id % 7), 'L' || (doc_id % 11)] AS produced FROM documents),
+_IDX = """idx AS (SELECT 'f' || CASE WHEN doc_id < 99 THEN lpad(CAST(doc_id + 1 AS VARCHAR), 3, '0') ELSE CAST(doc_id + 1 AS VARCHAR) END AS entry_id, doc_id AS number, sha256(coalesce(text, '')) AS sha256, source || '/' || doc_id || '.txt' AS origin, 'file' AS kind, lang AS locale, 'used' AS status, ['V' || (doc_id % 7), 'L' || (doc_id % 11)] AS produced FROM documents),
 res AS (SELECT sha256(CASE WHEN lang IN ('de', 'fr') THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS sha256, CASE WHEN lang IN ('es', 'fr') THEN 'moved/' ELSE '' END || source || '/' || doc_id || '.txt' AS origin, CASE WHEN source = 'src3' THEN 'cs' ELSE lang END AS locale FROM documents)"""
-_CLASS = _IDX + """, by_hash AS (SELECT sha256, max(entry_id) AS he FROM idx GROUP BY 1), by_origin AS (SELECT origin, max(entry_id) AS oe FROM idx GROUP BY 1),
+_CLASS = _IDX + """, by_hash AS (SELECT sha256, arg_max(entry_id, number) AS he FROM idx GROUP BY 1), by_origin AS (SELECT origin, arg_max(entry_id, number) AS oe FROM idx GROUP BY 1),
 cls AS (SELECT r.origin, r.sha256, r.locale, CASE WHEN h.he IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM idx i WHERE i.sha256 = r.sha256 AND i.origin = r.origin) THEN 'known' ELSE 'duplicate' END WHEN o.oe IS NOT NULL THEN 'stale' ELSE 'fresh' END AS class, coalesce(h.he, o.oe) AS entry_id FROM res r LEFT JOIN by_hash h ON r.sha256 = h.sha256 LEFT JOIN by_origin o ON r.origin = o.origin),
 gone AS (SELECT * FROM idx WHERE kind <> 'url' AND sha256 NOT IN (SELECT sha256 FROM cls WHERE class IN ('known', 'duplicate')) AND entry_id NOT IN (SELECT entry_id FROM cls WHERE class = 'stale'))"""
 
@@ -203,7 +203,7 @@ gone AS (SELECT * FROM idx WHERE kind <> 'url' AND sha256 NOT IN (SELECT sha256
 def index_and_resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     origin = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
-    idx = docs.select(F.concat(F.lit("f"), F.lpad((F.col("doc_id") + 1).cast("string"), 9, "0")).alias("entry_id"), F.sha2("text", 256).alias("sha256"), origin.alias("origin"), F.array().cast("array<string>").alias("aliases"), F.lit("file").alias("kind"), F.col("lang").alias("locale"), F.lit("used").alias("status"), F.array(F.concat(F.lit("V"), F.col("doc_id") % 7), F.concat(F.lit("L"), F.col("doc_id") % 11)).alias("produced"))
+    idx = docs.select(index.entry_name(F.col("doc_id") + 1).alias("entry_id"), F.sha2("text", 256).alias("sha256"), origin.alias("origin"), F.array().cast("array<string>").alias("aliases"), F.lit("file").alias("kind"), F.col("lang").alias("locale"), F.lit("used").alias("status"), F.array(F.concat(F.lit("V"), F.col("doc_id") % 7), F.concat(F.lit("L"), F.col("doc_id") % 11)).alias("produced"))
     changed = F.when(F.col("lang").isin("de", "fr"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     moved = F.when(F.col("lang").isin("es", "fr"), F.concat(F.lit("moved/"), origin)).otherwise(origin)
     res = docs.select(F.sha2(changed, 256).alias("sha256"), moved.alias("origin"), F.when(F.col("source") == "src3", "cs").otherwise(F.col("lang")).alias("locale"))
@@ -222,11 +222,11 @@ def index_missing(spark, d):
     return index.mark_missing(idx, gone).select("entry_id", "origin", "locale", "status")
 
 
-@query("index_supersede", f"WITH {_CLASS} SELECT c.origin, c.sha256, i.entry_id AS displaced, array_to_string(i.produced, ',') AS reopened FROM cls c JOIN idx i ON c.entry_id = i.entry_id WHERE c.class = 'stale'")
+@query("index_supersede", f"WITH {_CLASS} SELECT c.origin, c.sha256, i.entry_id AS displaced, 'f' || ((SELECT max(number) + 1 FROM idx) + row_number() OVER (ORDER BY md5(c.origin))) AS entry_id, array_to_string(i.produced, ',') AS reopened FROM cls c JOIN idx i ON c.entry_id = i.entry_id WHERE c.class = 'stale'")
 def index_supersede(spark, d):
     idx, res = index_and_resolved(spark, d)
     new, displaced = index.supersede(idx, index.classify(idx, res))
-    fresh = new.where(F.size("produced") == 0).select("origin", "sha256")
+    fresh = new.where(F.size("produced") == 0).select("origin", "sha256", "entry_id")
     return displaced.select("origin", F.col("entry_id").alias("displaced"), F.array_join("produced", ",").alias("reopened")).join(fresh, "origin")
 
 
@@ -486,7 +486,9 @@ def word_diff(spark, d):
 
 @query("corroboration")
 def corroboration(spark, d):
-    swaps = diff.diff(draft_pairs(spark, d)).select(F.concat_ws("/", "conv_id", "turn").alias("draft"), F.inline("word_swaps").alias("from_word", "to_word"))
+    seeded = spark.createDataFrame([("x1", 1, "We utilize it now", "We use it now"), ("x2", 1, "Please utilize the tool", "Please use the tool"), ("x3", 1, "Kindly wait", "Please wait")], "conv_id string, turn int, draft string, final string")
+    pairs = draft_pairs(spark, d).withColumn("conv_id", F.col("conv_id").cast("string")).unionByName(seeded.withColumn("turn", F.col("turn").cast(dict(draft_pairs(spark, d).dtypes)["turn"])))
+    swaps = diff.diff(pairs).select(F.concat_ws("/", "conv_id", "turn").alias("draft"), F.inline("word_swaps").alias("from_word", "to_word"))
     return rules.corroborated(swaps)
 
 
@@ -587,7 +589,7 @@ _STATE = f"""{_HITS}, st AS (SELECT (SELECT count(*) FROM documents) AS docs, (S
 @query("gaps_ranked", f"WITH {_STATE} SELECT id, severity, CAST(leverage AS INTEGER) AS leverage FROM (SELECT 'G03' AS id, 'blocker' AS severity, 4 AS leverage, true AS hit FROM st UNION ALL SELECT 'G06', 'warning', 3, true FROM st UNION ALL SELECT 'G10', 'warning', 2, disputed > 0 FROM st UNION ALL SELECT 'G11', 'warning', 2, stale > 0 FROM st UNION ALL SELECT 'G12', 'nit', 3, true FROM st UNION ALL SELECT 'G16', 'nit', 1, true FROM st) WHERE hit")
 def gaps_ranked(spark, d):
     docs = table(spark, d, "documents")
-    copies = docs.agg((F.count("*") - F.countDistinct("text")).alias("stale_sources"))
+    copies = docs.agg((F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("stale_sources"))
     ruled = counted_rules(spark, d).agg(F.count("*").alias("rules"), F.count_if(F.col("confidence") == "disputed").alias("disputed"), F.count_if(F.col("confidence") == "assumed").alias("assumed"))
     words = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
@@ -619,8 +621,26 @@ SAMPLES = [
 ]
 
 
-@query("extract_samples")
+#: What each sample holds, by hand.
+SAMPLE_UNITS = {
+    "a.md": ("markdown", ["Hello World", "first link", "done", "A", "Bee", "One cell", "Tail text"]),
+    "b.html": ("html", ["A photo", "Big & bold", "It's A &copy;"]),
+    "c.txt": ("text", ["First para still first.", "Second para."]),
+    "d.po": ("po", ["Hallo", "Long text"]),
+    "e.vtt": ("subtitles", ["Hello there you", "Bye"]),
+    "f.csv": ("csv", ["name", "count", 'Say "hi", now', "two lines", "x"]),
+    "g.yml": ("yaml", ["Hello there", "Save it"]),
+    "h.json": ("json", ["Save changes", "Undo"]),
+    "i.rtf": ("rtf", ["Hello world", "café –dash"]),
+    "k.xyz": (None, [None]),
+}
+
+
+@query("extract_samples", f"SELECT path, CAST(format AS VARCHAR) AS format, CAST(unit AS VARCHAR) AS unit FROM {_values([(p, f, u) for p, (f, us) in SAMPLE_UNITS.items() for u in us])} t(path, format, unit)")
 def extract_samples(spark, d):
     s = spark.createDataFrame(SAMPLES, "path string, raw string").withColumn("format", extract.format_of(F.col("path")))
     text_only = s.where(~F.coalesce(extract.is_container(F.col("format")), F.lit(False)))
     return text_only.select("path", "format", F.explode_outer(extract.extract_units(F.col("format"), F.col("raw"))).alias("unit"))
+
+
+from tonewright import catalogue  # noqa: E402, F401  its queries register themselves

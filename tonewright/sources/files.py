@@ -38,15 +38,35 @@ def pruned(directory: str, exclude: list[str]) -> bool:
     return False
 
 
+def reach(include: list[str]) -> tuple[list[str], str | None]:
+    """The folders that globs can take files of, none within another, and a glob of the names."""
+    folders, lasts = set(), set()
+    for p in include:
+        parts = p.split("/")
+        plain = next((k for k, x in enumerate(parts[:-1]) if re.search(r"[*?{\[]", x)), len(parts) - 1)
+        folders.add("/".join(parts[:plain]))
+        lasts.add(parts[-1])
+    top = sorted(f for f in folders if not any(f != g and (g == "" or f.startswith(g + "/")) for g in folders))
+    if not lasts or any(re.search(r"\*\*|[{}\[\],\\]", x) for x in lasts):
+        return top, None
+    return top, "{" + ",".join(sorted(lasts)) + "}"
+
+
 def is_inside(parent: str, target: str) -> bool:
     rel = os.path.relpath(os.path.realpath(target), os.path.realpath(parent))
     return rel != ".." and not rel.startswith(".." + os.sep) and not os.path.isabs(rel)
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """(rel, format, bytes, modified, content) of the files that the globs take, by path.
-    Exclusion wins; no include takes nothing.  The path decides before content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(rel, format, bytes, modified, content) of the files that the globs take.  Exclusion
+    wins; no include takes nothing.  Only folders that an include names, and in them only
+    names that its last part takes, are listed and read."""
+    where, names = reach(include)
+    here = [p for p in (os.path.join(root, w) if w else root for w in where) if os.path.isdir(p) and not (p != root and pruned(os.path.relpath(p, root), exclude))]
+    if not here:
+        return spark.createDataFrame([], "rel string, bytes long, modified timestamp, content binary, format string")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(here)
     base = re.escape(root.rstrip("/")) + "/"
     rel = F.regexp_replace("path", "^(?:file:(?://)?)?" + base, "")
     listed = files.select(rel.alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
@@ -54,8 +74,9 @@ def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """Adds `raw`: UTF-8, without byte order mark, line ends folded."""
-    return files.withColumn("raw", T.normalize_eol(F.decode("content", "UTF-8")))
+    """Adds `raw`: UTF-8 (other bytes as replacement characters), without byte order mark, line
+    ends folded."""
+    return files.withColumn("raw", T.normalize_eol(F.make_valid_utf8(F.col("content").cast("string"))))
 
 
 def load_register(config: dict) -> list[dict]:
@@ -98,10 +119,10 @@ def resolve_register(spark: SparkSession, register: list[dict], project: str, kb
             root, include = os.path.dirname(root), [os.path.basename(root)]
         f = scan_files(spark, root, include, exclude)
         prefix = "" if e["kind"] == "project" else f"{e['id']}:"
-        frames.append(f.select(F.lit(e["id"]).alias("register_id"), F.lit(e["kind"]).alias("kind"), F.concat(F.lit(prefix), F.col("rel")).alias("origin"), "rel", "format", "bytes", "content", F.lit(e.get("profile") or "default").alias("profile")))
+        frames.append(f.select(F.lit(e["id"]).alias("register_id"), F.lit(e["kind"]).alias("kind"), F.concat(F.lit(prefix), F.col("rel")).alias("origin"), "rel", "format", "bytes", "modified", "content", F.lit(e.get("profile") or "default").alias("profile")))
         notes.append({"id": e["id"], "missing": False, "empty": f.limit(1).count() == 0})
     if not frames:
-        schema = "register_id string, kind string, origin string, rel string, format string, bytes long, content binary, profile string"
+        schema = "register_id string, kind string, origin string, rel string, format string, bytes long, modified timestamp, content binary, profile string"
         return spark.createDataFrame([], schema), notes
     out = frames[0]
     for f in frames[1:]:

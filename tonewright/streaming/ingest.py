@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tonewright.operators import index
 from tonewright.sources.extract import format_of
+from tonewright.sources.files import locale_of
 
 INDEX = "sha256 string, entry_id string, origin string, aliases array<string>, kind string, locale string, status string, produced array<string>"
 
@@ -22,7 +23,7 @@ def read_index(spark: SparkSession, base: str, version: int) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{base}/v{version}")
 
 
-def fold_batch(spark: SparkSession, files: DataFrame, base: str, version: int, locale: str = "en") -> DataFrame:
+def fold_batch(spark: SparkSession, files: DataFrame, base: str, version: int, locales: tuple[str, ...] = (), primary: str = "en") -> DataFrame:
     """The index after a batch of (origin, sha256): new hashes get an entry named by their
     hash, known hashes gain aliases, changed files replace their entry."""
     now = read_index(spark, base, version - 1)
@@ -31,16 +32,20 @@ def fold_batch(spark: SparkSession, files: DataFrame, base: str, version: int, l
     kept = now.join(gone, "entry_id", "left_anti").select(*now.columns)
     none = F.array().cast("array<string>")
     folded = index.fold_aliases(files)
-    new = folded.select("sha256", F.concat(F.lit("f"), F.substring("sha256", 1, 16)).alias("entry_id"), "origin", "aliases", F.lit("file").alias("kind"), F.lit(locale).alias("locale"), F.lit("used").alias("status"), none.alias("produced"))
+    new = folded.select("sha256", F.concat(F.lit("f"), F.substring("sha256", 1, 16)).alias("entry_id"), "origin", "aliases", F.lit("file").alias("kind"), locale_of(F.col("origin"), list(locales), primary).alias("locale"), F.lit("used").alias("status"), none.alias("produced"))
     return index.upsert(kept, new).select(*now.columns)
 
 
-def start(spark: SparkSession, folder: str, base: str, checkpoint: str, glob: str = "*.txt") -> StreamingQuery:
+def start(spark: SparkSession, folder: str, base: str, checkpoint: str, glob: str = "*.txt", locales: tuple[str, ...] = (), primary: str = "en") -> StreamingQuery:
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
     files = stream.select(F.col("path").alias("origin"), F.sha2("content", 256).alias("sha256"), format_of(F.col("path")).alias("format")).where("format is not null").select("origin", "sha256")
 
     def one(batch: DataFrame, number: int) -> None:
-        fold_batch(batch.sparkSession, batch, base, number).write.mode("overwrite").parquet(f"{base}/v{number}")
+        session = batch.sparkSession
+        fold_batch(session, batch, base, number, locales, primary).write.mode("overwrite").parquet(f"{base}/v{number}")
+        # a batch that runs again needs the version before it, and no older one
+        old = session._jvm.org.apache.hadoop.fs.Path(f"{base}/v{number - 2}")
+        old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
