@@ -310,7 +310,7 @@ def prose(seed, n, most, words="the of a mill wheel x"):
     return [(k, " ".join(r.choice(words.split()) for _ in range(r.randrange(most)))) for k in range(100, 100 + n)]
 
 
-@pytest.mark.parametrize(("order", "hot_share"), [(3, 0.0005), (3, 0.02), (4, 0.9)])
+@pytest.mark.parametrize(("order", "hot_share"), [(3, 0.02), (4, 0.9)])
 def test_backoff(spark, awkward, nothing, order, hot_share):
     docs = spark.createDataFrame(prose(1, 60, 30) + [(300, "b c d"), (301, "b c e"), (302, "b"), (303, "b c")], DOCS).unionByName(awkward).withColumn("key", F.lit("k")).withColumn("past", F.lit(1))
     texts = [(x.doc_id, words_of(x.text)) for x in docs.collect()]
