@@ -183,12 +183,13 @@ class Forest:
 
 
 class Names:
-    """Union-find over 64-bit names; forgets all when it holds more than `most`, which costs
-    repeated edges but no connection."""
+    """Union-find over 64-bit names, the least of a set being its root."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self):
         self.up: dict[int, int] = {}
-        self.most = most
+
+    def __len__(self) -> int:
+        return len(self.up)
 
     def find(self, a: int) -> int:
         up = self.up
@@ -196,17 +197,16 @@ class Names:
             up[a] = a = up[b]
         return a
 
-    def joining(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Those of the edges (a, b) that connect what was not connected."""
-        if len(self.up) > self.most:
-            self.up.clear()
-        keep = []
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
         for k in np.flatnonzero(a != b).tolist():
             x, y = self.find(int(a[k])), self.find(int(b[k]))
             if x != y:
                 self.up[max(x, y)] = min(x, y)
-                keep.append(k)
-        return np.stack([a[keep], b[keep]], 1).astype(np.int64) if keep else np.zeros((0, 2), np.int64)
 
     def roots(self, a: np.ndarray) -> np.ndarray:
         return np.array([self.find(x) if x in self.up else x for x in a.tolist()], np.int64)
+
+    def stars(self) -> np.ndarray:
+        """An edge (root, name) for every name that is no root."""
+        out = [(r, x) for x in list(self.up) if (r := self.find(x)) != x]
+        return np.array(out, np.int64).reshape(-1, 2)

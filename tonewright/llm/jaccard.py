@@ -21,8 +21,8 @@ Documents with equal sets are one class.  The exact join of classes has three st
    every two blocks whose sizes allow a link meet, but for two of one component.
 3. Links found form the components.
 
-Bounds: signatures are 16 bytes a row, one a batch and signature; edges are spanning
-forests of tasks, so their number follows the sets, not their pairs; blocks hold about
+Bounds: signatures are 16 bytes a row, one a batch and signature; edges are stars of what a
+task connects, so their number follows the sets, not their pairs, and paths are short; blocks hold about
 `block` sets and `shingles` shingles at most (a longer set is a block of its own); groups of
 any size are split, so no group reaches one task.  A text travels once, and again only for
 what its group leaves unconnected.
@@ -255,29 +255,39 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
                 new[1:] = s[1:] != s[:-1]
                 at = np.flatnonzero(~new)
                 names = Names()
-                edges = names.joining(a[at - 1], a[at])
+                names.join(a[at - 1], a[at])
+                edges = names.stars()
                 key = np.concatenate([s[new], edges[:, 0]])
                 left = np.concatenate([names.roots(a[new]), edges[:, 0]])
                 right = np.concatenate([np.zeros(int(new.sum()), np.int64), edges[:, 1]])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(right, mask=np.arange(len(right)) < int(new.sum()))], names=["key", "a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The forests, and edges that connect what shares a signature."""
+        """Stars of what the task's signatures connect; they are given out when there are many,
+        which costs repeated edges but no connection."""
         last, names = None, Names()
+
+        def out() -> pa.RecordBatch:
+            both = names.stars()
+            names.up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
             key, a = b.column(0).to_numpy(), b.column(1).to_numpy()
-            known = np.stack([a[edge], b.column(2).fill_null(0).to_numpy()[edge]], 1)
+            names.join(a[edge], b.column(2).fill_null(0).to_numpy()[edge])
             key, a = key[~edge], a[~edge]
             if last is not None:
                 key, a = np.append(last[0], key), np.append(last[1], a)
             if len(key):
                 last = (key[-1:], a[-1:])
             same = key[1:] == key[:-1]
-            both = np.concatenate([known, names.joining(a[:-1][same], a[1:][same])])
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            names.join(a[:-1][same], a[1:][same])
+            if len(names) > 500_000:
+                yield out()
+        yield out()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
@@ -331,7 +341,10 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
             if len(sets) < 2:
                 continue
             found = link_block(sets, np.array(side), num, den, roots)
-            yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], names=["a", "b"])
+            names = Names()
+            names.join(np.array([reps[i] for i, _ in found], np.int64), np.array([reps[j] for _, j in found], np.int64))
+            both = names.stars()
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     # First: every block with itself and the pivots of near blocks.
     whole = stored(member.groupBy("grp").agg(cuts, F.count("*").alias("sets")).select("grp", (F.col("cuts") <= 1).alias("single"), "sets"), "groups")
