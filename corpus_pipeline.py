@@ -28,32 +28,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go.  Null and empty texts score as texts without a match and
+    stay; a null id is scored like any other, a repeated row each time; very long texts are read
+    whole; columns besides those of `documents` are dropped; an empty table gives no rows."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
     return toxicity.with_score(docs, model).where("toxicity < 0.5").select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is under 0.5 go; sites are source and language."""
+    """Documents whose quality score is under 0.5 go; sites are source and, within it, language.
+    A null text is measured as empty, a null source or language is a site of its own; repeated
+    rows count and are decided each; other columns are dropped; an empty table gives no rows."""
     return quality.classify(docs, _labels(spark, sf_dir), F.col("source"), F.col("lang")).where("quality_keep").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the
-    one with the smallest id stays, repeated rows once."""
+    one with the smallest id stays, repeated rows (same id and text) once.  Texts without a
+    word, and rows without an id, are linked with nothing and stay.  Where an id repeats with
+    other texts, all texts of the kept id stay: none of them is known to be the copy.  Long
+    texts are compared whole; other columns are dropped; an empty table gives no rows."""
     groups = jaccard.jaccard_groups(docs, n=5, num=80, den=100)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; no document goes."""
+    """Secrets are replaced in the texts and n_chars is counted anew; no document goes.  Texts
+    without a secret, null ones too, are unchanged; overlapping spans are replaced once;
+    repeated rows each; other columns are dropped; an empty table gives no rows."""
     clean = secrets.redact(secrets.scan(docs))
     return clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 1,024."""
+    """The pieces of token sequences of 1,024.  A null or empty text is its end token; repeated
+    rows and null ids are packed each; long texts are cut, never shortened; other columns are
+    not kept; an empty table gives no pieces."""
     return packing.pack(docs, TOKENIZER, with_ids=False)
 
 
