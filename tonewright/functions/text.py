@@ -32,22 +32,6 @@ def sentences(t: Column) -> Column:
     return F.filter(F.split(marked, "\n"), lambda s: F.length(F.trim(s)) > 0)
 
 
-def marked_sentences(strings: Column) -> Column:
-    """The sentences of all strings, one a line; empty without a sentence."""
-    marked = F.transform(strings, lambda s: F.regexp_replace(collapse(s), _BOUNDARY, "$1\n"))
-    return F.array_join(F.filter(marked, lambda s: s != ""), "\n")
-
-
-def lines(marked: Column) -> Column:
-    return F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(marked, "\n"))
-
-
-def words_per_line(marked: Column) -> Column:
-    """Words of every line, by two passes over the text instead of one regex a line."""
-    dots = F.regexp_replace(F.regexp_replace(marked, V.WORD, "\x01"), "[^\x01\n]+", "")
-    return F.when(marked == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(dots, "\n", -1), lambda x: F.length(x).cast("long")))
-
-
 def words(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(V.WORD), F.lit(0))
 
@@ -67,17 +51,6 @@ def syllables(word: Column) -> Column:
     return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(core, F.lit("[aeiouy]{1,2}"))))
 
 
-def syllable_marks(words_: Column) -> Column:
-    """`syllables` of every word as so many digits 1, by passes over the joined words: words
-    are apart by spaces, one without a letter is empty."""
-    letters = F.regexp_replace(F.lower(F.array_join(words_, " ")), "[^a-z ]", "")
-    short = F.regexp_replace(letters, "(?<![^ ])[a-z]{1,3}(?![^ ])", "1")
-    long = F.regexp_replace(short, "(?<![^ ])(?=[a-z])", "#")
-    core = F.regexp_replace(F.regexp_replace(long, "(?:[^laeiouy# ]es|[^laeiouy# ]ed|[^laeiouy# ]e)(?= |$)", ""), "#y", "#")
-    groups = F.translate(F.regexp_replace(core, "[aeiouy]{1,2}", "1"), "bcdfghjklmnpqrstvwxz", "")
-    return F.regexp_replace(F.regexp_replace(groups, "#(?!1)", "1"), "#", "")
-
-
 def syllable_counts(words_: Column) -> Column:
     """`syllables` of every word of an array, by passes over the joined words instead of
     four regexes a word."""
