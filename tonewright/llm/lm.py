@@ -180,7 +180,7 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int
                 part = np.zeros(len(old))
                 for use, sign, k, values in ((s.full & (new >= 0), 1, new, hot_log[1]), (s.full & (old >= 0), -1, old, hot_log[0]), (s.first & (old >= 0), 1, old, hot_log[0])):
                     part[use] += sign * values[k[use]]
-                yield _batch("key term", b.column(0).slice(at, s.n), np.bincount(s.row[: len(part)], part, s.n))
+                yield _batch("key term", b.column(0).slice(at, s.n), np.bincount(s.row[: len(part)], part, s.n).astype(float))
 
     def explode(now: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s.s, 0.0), 4) A
   CAST(least(len(w), 1) AS BIGINT) AS n_order1, CAST(CASE WHEN len(w) > 1 THEN 1 ELSE 0 END AS BIGINT) AS n_order2, CAST(greatest(len(w) - 2, 0) AS BIGINT) AS n_order3 FROM d LEFT JOIN s ON d.r = s.r"""
 
 OP9 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d WHERE len(w) > 0)),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
