@@ -8,10 +8,9 @@ order; words fall back to count / corpus size.  Every n-gram counts, once-seen o
 n-gram that a text holds has a count, so a text's sum needs the counts of two orders only:
 the full order and its histories (the first words' lower orders telescope to the count of
 the first history).  Rows are exploded n-grams (history, n-gram, document), hash-partitioned
-by history, once.  On that partitioning both counts, of n-grams and of histories, meet the
-exploded rows as windows over one sort (building the two count tables and joining each back
-to the rows, which gives the same, took the operator 931 CPU seconds a GB of 960 allowed), and
-the logarithms are summed per document.
+by history, once.  On that partitioning the two count tables, of n-grams and of histories,
+are built and each is joined to the exploded rows (as hash joins where a part of the table is
+known to be small, else as merges), and the logarithms are summed per document.
 
 With a `corpus` of its own the tables of all orders are counted from it and the documents'
 positions walk down the orders: a join with the table of each order scores those whose n-gram
@@ -41,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tonewright.llm.hashing import U, chunks, rolled, word_hashes
 from tonewright.llm.shared import conf_set, discard, stored
@@ -100,15 +98,21 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
-#: Shuffle files go when the write that made them ends.
-_ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Shuffle files go when the write that made them ends.  Count tables and exploded rows are read
+#: from one shuffle: it keeps all columns for either use, and rows dealt by their history alone
+#: count as dealt for a join on history and n-gram.
+_ONCE = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.ColumnPruning",
+}
 
 
 def _log(c: str):
     return F.log(F.col(c).cast("double"))
 
 
-def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alpha: float = 0.4, rounds: int = 4, partition_rows: int = 1_000_000, hot_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alpha: float = 0.4, rounds: int = 4, partition_rows: int = 1_000_000, hashed_rows: int = 4_000_000, hot_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logarithms), mean_log_score and the number
     of words scored by each order (n_order1, ...).  `order` is 2 or more."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
@@ -206,13 +210,16 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, order: int
 
     parts = max(1, math.ceil(total / rounds / partition_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / rounds / 20_000)))
     source = texts.select("key", "text")
+    # a count table's part is hashed in memory where neither an average part nor the heaviest history can be large
+    how = "shuffle_hash" if max(total / rounds / parts, hot_share * total) <= hashed_rows else "merge"
     sums = []
     with conf_set(spark, _ONCE):
         for now in range(rounds):
-            rows = source.mapInArrow(explode(now), "past long, gram long, key long, what byte").repartition(parts, "past")
-            n_gram = F.sum((F.col("what") % 2).cast("long")).over(Window.partitionBy("past", "gram"))
-            n_past = F.sum(F.col("what").isin(GRAM, END).cast("long")).over(Window.partitionBy("past"))
-            met = rows.withColumn("n_gram", n_gram).withColumn("n_past", n_past)
+            rows = source.mapInArrow(explode(now), "past long not null, gram long not null, key long not null, what byte not null").repartition(parts, "past")
+            # the two count tables, on the partitioning of the exploded rows, each joined to them
+            grams = rows.groupBy("past", "gram").agg(F.sum(F.col("what") % 2).alias("n_gram"))
+            pasts = rows.groupBy("past").agg(F.sum(F.col("what").isin(GRAM, END).cast("long")).alias("n_past"))
+            met = rows.join(grams.hint(how), ["past", "gram"]).join(pasts.hint(how), "past")
             term = F.when(F.col("what") == GRAM, _log("n_gram") - _log("n_past")).when(F.col("what") == HEAD, _log("n_past")).when(F.col("what") == LONE, _log("n_gram"))
             sums.append(stored(met.select("key", term.alias("term")).groupBy("key").agg(F.sum("term").alias("term")), "sums"))
     terms = [*sums, source.mapInArrow(known, "key long, term double")] if often else list(sums)
