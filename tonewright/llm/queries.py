@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewright.llm import bpe, embeddings, jaccard, licenses, lm, media, packing, quality, secrets, sql, toxicity
+from tonewright.llm import bpe, embeddings, jaccard, licenses, lm, media, packing, quality, secrets, spelling, sql, topk, toxicity, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,5 +83,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_lm_score": op2_lm_score, "op3_embedding_dedup": op3_embedding_dedup, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_media": op6_media, "op7_secret_scan": op7_secret_scan, "op8_quality": op8_quality, "op9_jaccard_join": op9_jaccard_join, "op10_toxicity": op10_toxicity}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_license_scan, op2_lm_score, op3_embedding_dedup, op4_bpe, op5_packing, op6_media, op7_secret_scan, op8_quality, op9_jaccard_join, op10_toxicity, op11_spelling_variants, op12_topk_search, op13_whitening)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = dict(sql.ORACLES)

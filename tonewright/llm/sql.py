@@ -1,8 +1,8 @@
 """SQL forms of the registered queries, for DuckDB on the same tables, where there is one.
 
-Op1, op4 to op8 and op10 have none for all of their columns (labels of the method, tokenizers,
-archives, trained scores) and are tested against brute force.  Op3 and op9 compare all pairs,
-which is fit for small tables only."""
+Op1, op4 to op8, op10 and op13 have none for all of their columns (labels of the method,
+tokenizers, archives, trained scores, eigenvectors) and are tested against brute force.  Op3,
+op9 and op12 compare all pairs, which is fit for small tables only."""
 
 from __future__ import annotations
 
@@ -33,4 +33,24 @@ reach(node, root) AS (SELECT a, a FROM link UNION SELECT e.b, r.root FROM reach
 c AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(coalesce(c.root, v.vec_id), v.vec_id) AS component_id, coalesce(c.root, v.vec_id) >= v.vec_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.node = v.vec_id"""
 
-ORACLES = {"op2_lm_score": OP2, "op3_embedding_dedup": OP3, "op9_jaccard_join": OP9}
+_BYTES = "flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, ord(c) - 64] END))"
+
+OP11 = f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295) AS h FROM r, tab),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS s FROM (SELECT word, n, CAST(unnest(range(length(word))) AS BIGINT) AS i FROM v)),
+near AS (SELECT a.word AS word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.s = b.word UNION SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.s = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk(word, root, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN last ON last.word = f.word"""
+
+OP12 = """WITH v AS (SELECT DISTINCT vec_id, list_transform(x, lambda c: CAST(floor(256 * c) AS BIGINT)) AS x FROM (SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 THEN CAST(embedding AS DOUBLE[]) END AS x FROM embeddings) WHERE x IS NOT NULL AND vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM s)
+SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM k WHERE nth <= 5"""
+
+ORACLES = {"op2_lm_score": OP2, "op3_embedding_dedup": OP3, "op9_jaccard_join": OP9, "op11_spelling_variants": OP11, "op12_topk_search": OP12}
