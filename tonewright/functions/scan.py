@@ -27,10 +27,9 @@ import pyarrow as pa
 from tonewright.functions import vocab as V
 
 MOST = 1 << 20
-LETTER, NUMBER, CAPITAL, SPACE, PUNCT, EMOJI, CODE, TOKEN = (1 << k for k in range(8))
+LETTER, NUMBER, CAPITAL, SPACE, PUNCT, EMOJI, CODE, TOKEN, JOINT, STOP, CLOSER, BLANK = (1 << k for k in range(12))
 #: What stands between two units: a code point that is no character and has no class.
 _GAP = 0x10FFFF
-_BLANK = (9, 10, 11, 12, 13, 32)
 _FLAGS = ("syllables", "long", "hedge", "intensifier", "opener", "minor", "upper", "first_en", "first_cs", "first_de", "second_en", "second_cs", "second_de")
 
 
@@ -51,7 +50,7 @@ def _members(body: str) -> Iterable[int]:
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """The classes of every code point; past the fourth plane none has any."""
-    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    out = np.zeros(sys.maxunicode + 1, np.uint16)
     by_category = {"L": LETTER, "N": NUMBER, "P": PUNCT}
     for c in range(0x40000):
         kind = unicodedata.category(chr(c))
@@ -60,7 +59,8 @@ def classes() -> np.ndarray:
     out[list(_members(V.EMOJI.strip("[]")))] |= EMOJI
     word = [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"]
     out[word] |= CODE | TOKEN
-    out[[ord(c) for c in "'’-"]] |= TOKEN
+    for kind, members in ((TOKEN | JOINT, "'’-"), (STOP, ".!?"), (CLOSER, "\"')]»”’"), (BLANK, " \t\n\v\f\r")):
+        out[[ord(c) for c in members]] |= kind
     return out
 
 
@@ -96,7 +96,8 @@ class Words:
     """What is known of distinct words, kept from batch to batch up to `most` of them."""
 
     def __init__(self, most: int = 200_000):
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(_FLAGS)), np.int32)
         self.most = most
         self.hedges, self.intensifiers, self.openers, self.minor = map(frozenset, (V.HEDGES, V.INTENSIFIERS, V.OPENERS, V.MINOR_WORDS))
         self.persons = [frozenset(v[k]) for v in (V.FIRST_PERSON, V.SECOND_PERSON) for k in ("en", "cs", "de")]
@@ -105,13 +106,16 @@ class Words:
         """A row of `_FLAGS` per word."""
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
+        known, fresh = self.known, []
         for w in words:
             if w not in known:
+                known[w] = len(known)
                 low, n = w.lower(), syllables_of(w)
                 sets = (low in self.hedges, low in self.intensifiers, low in self.openers, low in self.minor, unicodedata.category(w[0])[0] == "N" or unicodedata.category(w[0]) == "Lu")
-                known[w] = (n, n > 3, *sets, *(low in p for p in self.persons))
-        return np.array([known[w] for w in words], np.int64).reshape(len(words), len(_FLAGS))
+                fresh.append((n, n > 3, *sets, *(low in p for p in self.persons)))
+        if fresh:
+            self.rows = np.concatenate([self.rows[: len(known) - len(fresh)], np.array(fresh, np.int32)])
+        return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
 
 class Text:
@@ -155,7 +159,7 @@ class Text:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Starts, ends, places in the dictionary and the dictionary of the words."""
         body = self.has(LETTER | NUMBER)
-        joint = np.isin(self.cp, [ord(c) for c in "'’-"])
+        joint = self.has(JOINT)
         inside = body.copy()
         inside[1:-1] |= joint[1:-1] & body[:-2] & body[2:]
         start, end = runs(inside)
@@ -170,10 +174,10 @@ class Text:
         """Runs of up to 8 code points of ASCII as numbers, lower-cased; longer ones are 0."""
         out = np.zeros(len(start), np.uint64)
         size = end - start
-        few = size <= 8
+        few = np.flatnonzero(size <= 8)
         for k in range(8):
-            mine = few & (size > k)
-            out[mine] |= (self.lower[start[mine] + k] & 0xFF).astype(np.uint64) << np.uint64(8 * k)
+            few = few[size[few] > k]
+            out[few] |= (self.lower[start[few] + k] & 0xFF).astype(np.uint64) << np.uint64(8 * k)
         return out
 
 
@@ -183,11 +187,9 @@ def named(words: Iterable[str]) -> np.ndarray:
 
 def sentence_ends(t: Text, content: np.ndarray) -> np.ndarray:
     """Places of the last code point of sentences that another one of their string follows."""
-    stop = np.isin(t.cp, [ord(c) for c in ".!?"])
-    close = np.isin(t.cp, [ord(c) for c in "\"')]»”’"])
-    start, end = runs(stop)
+    start, end = runs(t.has(STOP))
     # closers right after the run belong to it
-    c_start, c_end = runs(close)
+    c_start, c_end = runs(t.has(CLOSER))
     k = np.searchsorted(c_start, end)
     with_closers = (k < len(c_start)) & (c_start[np.minimum(k, len(c_start) - 1)] == end) if len(c_start) else np.zeros(len(end), bool)
     last = end - 1
@@ -223,7 +225,7 @@ def serial_lists(t: Text) -> tuple[np.ndarray, np.ndarray]:
     start, end = runs(t.has(TOKEN))
     if len(start) < 4:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    blank = np.isin(t.cp, _BLANK)
+    blank = t.has(BLANK)
     comma = t.cp == ord(",")
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     blanks, commas = count(blank), count(comma)
@@ -283,8 +285,9 @@ def count(units: list[list[str]], headings: list[list[str]], locales: list[str |
 
     # words
     w_start, w_end, code, names = t.words()
-    facts = words.facts(names)[code] if len(code) else np.zeros((0, len(_FLAGS)), np.int64)
-    fact = lambda name: t.per_unit(w_start, facts[:, _FLAGS.index(name)])
+    facts, w_unit = words.facts(names), t.unit_at(w_start)
+    known = lambda name: facts[:, _FLAGS.index(name)][code]
+    fact = lambda name: np.bincount(w_unit, known(name), n).astype(np.int64)
     of_sentence = np.searchsorted(begin, w_start, "right") - 1
     per_sentence = np.bincount(of_sentence, minlength=len(begin)) if len(begin) else np.zeros(0, np.int64)
     leads = np.append(True, of_sentence[1:] != of_sentence[:-1])[: len(of_sentence)]
@@ -307,7 +310,7 @@ def count(units: list[list[str]], headings: list[list[str]], locales: list[str |
     passive = np.unique(np.searchsorted(begin, a_start[be], "right") - 1)
 
     # dashes between blanks: two that share a blank are one
-    blank = np.isin(t.cp, _BLANK)
+    blank = t.has(BLANK)
     dash = np.flatnonzero(t.cp == ord("-"))
     dash = dash[blank[dash - 1] & blank[np.minimum(dash + 1, len(blank) - 1)]]
     dash = dash[every_other(np.ones(len(dash), bool), np.append(False, np.diff(dash) == 2)[: len(dash)])]
@@ -316,7 +319,7 @@ def count(units: list[list[str]], headings: list[list[str]], locales: list[str |
     # headings
     h = Text(headings)
     h_start, _, h_code, h_names = h.words()
-    h_facts = words.facts(h_names)[h_code] if len(h_code) else np.zeros((0, len(_FLAGS)), np.int64)
+    h_facts = words.facts(h_names)[h_code]
     of_heading = h.string_at(h_start)
     many = np.bincount(of_heading, minlength=len(h.start)) >= 2
     leading = np.append(True, of_heading[1:] != of_heading[:-1])[: len(of_heading)]
@@ -329,10 +332,10 @@ def count(units: list[list[str]], headings: list[list[str]], locales: list[str |
     only = lambda x: np.where(english, x, 0)
     return {
         "strings": np.array([len(u) for u in units], np.int64) if n else zero,
-        "words": t.per_unit(w_start),
+        "words": np.bincount(w_unit, minlength=n).astype(np.int64),
         "sentences": sentences,
         "paragraphs": paragraphs,
-        "sum_word_len": t.per_unit(w_start, w_end - w_start),
+        "sum_word_len": np.bincount(w_unit, w_end - w_start, n).astype(np.int64),
         "sum_sent_len": t.per_unit(begin, per_sentence),
         "sum_sent_len_sq": t.per_unit(begin, per_sentence * per_sentence),
         "sum_para_sent": paragraphs + t.per_unit(ends[inner]),
@@ -350,7 +353,7 @@ def count(units: list[list[str]], headings: list[list[str]], locales: list[str |
         "syllables": only(fact("syllables")),
         "contractions": only(t.per_unit(a_start[:-1][contracted])),
         "passive_sentences": only(t.per_unit(begin[passive])),
-        "imperative_openers": only(t.per_unit(w_start[leads], facts[leads, _FLAGS.index("opener")])),
+        "imperative_openers": only(np.bincount(w_unit[leads], known("opener")[leads], n).astype(np.int64)),
         "hedges": only(fact("hedge")),
         "intensifiers": only(fact("intensifier")),
         "oxford_lists": only(t.per_unit(lists)),

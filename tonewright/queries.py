@@ -40,11 +40,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: A Parquet row group, the least that a task reads, holds this many bytes by default.
+ROW_GROUP = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Text functions are heavy per row: a table in fewer partitions than there are cores (one
-    small file) is dealt to all of them; a large table stays as it is."""
+    """Text functions are heavy per row, and one task reads a row group whole, however small the
+    splits: a table of fewer files than cores, and of less than a row group a core, is dealt to
+    all cores; a larger one stays as it is, and its text is never shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= cores * ROW_GROUP:
+        return df
+    return df.repartition(cores)
 
 
 def document_units(spark: SparkSession, d: str) -> DataFrame:
