@@ -595,3 +595,13 @@ def test_quality_sites_shrink(spark, nothing):
     got = quality.classify(df, labels, F.col("source"), F.col("lang")).collect()
     assert len(got) == 51 and all(r.quality_keep for r in got)
     assert quality.classify(df.where("false"), labels, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_secret_scan_passes_any_column(spark):
+    """Columns named as those of the plan come back as they were."""
+    names = ["__cid", "__chash", "__for_assign", "__text", "__row", "__id", "__hash", "__low", "gram", "a b", "x.y", "Secrets"]
+    rows = [(1, "token=abcdefgh", *range(12)), (2, None, *range(12))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r.doc_id: r.asDict() for r in secrets.scan(df).collect()}
+    assert all(got[k][n] == v for k in (1, 2) for v, n in enumerate(names) if n != "Secrets")
+    assert len(got[1]["secrets"]) == 1 and got[1]["text"] == "token=abcdefgh" and got[2]["text"] is None and "Secrets" not in got[1]

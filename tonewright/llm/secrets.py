@@ -9,10 +9,11 @@ by the regex.  Rules without a mandatory trigram scan every document.
 Spans are code points, leftmost and not overlapping per kind.  The document join is keyed
 by id and text hash, so repeated rows and null ids are joined rightly, and its
 candidate side is stored first, so that adaptive execution can split a hot key.
+A row's own columns travel as one struct, apart from those of the join.
 
 Defined results: null text is empty and has no spans; repeated rows are repeated;
-an empty table gives no rows; other columns pass through `scan` unchanged (names that
-begin with ``__`` are reserved).  Whole texts are searched, whatever their length.
+an empty table gives no rows; other columns pass through `scan` unchanged, whatever their
+names (`secrets` is replaced).  Whole texts are searched, whatever their length.
 """
 
 from __future__ import annotations
@@ -170,13 +171,16 @@ def spans(text: Column, rule: Rule, number: int, when: Column | None) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `secrets`: array of (start, number, end, kind), by start then rule."""
-    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumns({"__id": F.col(id_col), "__hash": F.xxhash64("__text")})
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("__row"), F.coalesce(quoted(text_col), F.lit("")).alias("__text"), quoted(id_col).alias("__id"))
+    rows = rows.withColumn("__hash", F.xxhash64("__text"))
     found, gated = candidates(rows, rules, F.col("__text"))
     found = stored(found, "candidates")
     keyed = found.withColumnsRenamed({"__id": "__cid", "__hash": "__chash"})
     joined = rows.join(keyed, (F.col("__hash") == F.col("__chash")) & F.col("__id").eqNullSafe(F.col("__cid")), "left")
     each = [spans(F.col("__text"), r, k, F.col(f"__for_{r.kind}") if r.kind in gated else None) for k, r in enumerate(rules)]
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secrets"], F.array_sort(F.concat(*each)).alias("secrets"))
+    own = [F.col("__row").getField(c).alias(c) for c in docs.columns if c.lower() != "secrets"]
+    return joined.select(*own, F.array_sort(F.concat(*each)).alias("secrets"))
 
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[redacted]", spans_col: str = "secrets") -> DataFrame:
