@@ -12,6 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonewright.llm import jaccard, packing, quality, secrets, toxicity
 from tonewright.llm.shared import scratch_path
@@ -44,13 +45,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles the
-    one with the smallest id stays, repeated rows (same id and text) once.  Texts without a
-    word, and rows without an id, are linked with nothing and stay.  Where an id repeats with
-    other texts, all texts of the kept id stay: none of them is known to be the copy.  Long
-    texts are compared whole; other columns are dropped; an empty table gives no rows."""
+    one with the smallest id stays, repeated rows (same id and text) once: the first by
+    language, source and n_chars, nulls first.  Texts without a word, and rows without an id,
+    are linked with nothing and stay.  Where an id repeats with other texts, all texts of the
+    kept id stay: none of them is known to be the copy.  Long texts are compared whole; other
+    columns are dropped; an empty table gives no rows."""
     groups = jaccard.jaccard_groups(docs, n=5, num=80, den=100)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    stay = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    # repeats meet by a digest of the text, on the partitioning of the join
+    stay = stay.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull().alias("none"))
+    first = Window.partitionBy("doc_id", "digest", "none").orderBy("lang", "source", "n_chars")
+    return stay.withColumn("nth", F.row_number().over(first)).where("nth = 1").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
