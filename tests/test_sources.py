@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonewright.queries import extract_samples
-from tonewright.sources import extract, files
+from tonewright.sources import extract, files, tree
 
 
 def test_samples(spark):
@@ -103,6 +103,50 @@ def test_bad_input_ends_no_job(spark):
     assert got == {k: u for k, (_, _, u) in enumerate(texts)}
 
 
-def test_reach_of_globs():
-    assert files.reach(["content/**/*.md", "content/x/*.md", "docs/a.txt"]) == (["content", "docs"], "{*.md,a.txt}")
-    assert files.reach(["**/*.md", "a/b"]) == ([""], "{*.md,b}") and files.reach(["a/**"]) == (["a"], None)
+@pytest.mark.parametrize(
+    ("folder", "globs", "holds"),
+    [("", ["a/*.md"], True), ("a", ["a/*.md"], True), ("a/b", ["a/*.md"], False), ("a/b/c", ["a/**/*.md"], True), ("x", ["a/**/*.md", "x?/y"], False), ("xy", ["x?/y"], True), ("docs", ["docs"], False), ("a", ["**"], True), ("q", ["{p,q}/*"], True), ("r", ["{p,q}/*"], False), ("a", [], False)],
+)
+def test_folders_that_may_hold(folder, globs, holds):
+    assert tree.may_hold(folder, globs) is holds
+
+
+def grown(root):
+    for name in ("a.md", "docs/b.md", "docs/deep/c.md", "docs/deep/node_modules/x/d.md", "node_modules/e.md", "docs/no.txt", "docs/[x] {y}*?.md", "docs/_index.md", "docs/sp ace/%41.md", "_drafts/f.md", "docs/é.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "docs/link.md").symlink_to(root / "a.md")
+    (root / "loop").symlink_to(root)
+
+
+TAKEN = {"a.md", "docs/b.md", "docs/deep/c.md", "docs/[x] {y}*?.md", "docs/_index.md", "docs/sp ace/%41.md", "_drafts/f.md", "docs/é.md"}
+
+
+def test_tree_lists_nothing_excluded(spark, tmp_path, monkeypatch):
+    grown(tmp_path)
+    listed, plain = [], tree.Tree.list
+    monkeypatch.setattr(tree.Tree, "list", lambda self, rel: (listed.append(rel), plain(self, rel))[1])
+    got = files.scan_files(spark, str(tmp_path), ["**/*.md"], ["**/node_modules/**"])
+    assert {r.rel: bytes(r.content).decode() for r in got.collect()} == {x: x for x in TAKEN}
+    assert sorted(listed) == ["", "_drafts", "docs", "docs/deep", "docs/sp ace"]
+    listed.clear()
+    assert [r.rel for r in files.scan_files(spark, str(tmp_path), ["docs/deep/*.md"], []).collect()] == ["docs/deep/c.md"]
+    assert sorted(listed) == ["", "docs", "docs/deep"]
+    assert all(r.modified is not None and r.bytes == len(r.content) for r in got.collect())
+
+
+def test_tree_takes_uris(spark, tmp_path):
+    """A path that only Hadoop opens gives the rows of the plain one; what is absent is an error."""
+    grown(tmp_path)
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}")
+    rows = lambda root: sorted((r.rel, bytes(r.content), r.bytes, r.format) for r in files.scan_files(spark, root, ["**/*.md"], ["**/node_modules/**", "**/_*"]).collect())
+    assert rows(str(tmp_path)) == rows(f"file://{tmp_path}") == rows(f"file:{tmp_path}/") == rows("viewfs://shelf/in")
+    assert [r[0] for r in rows(str(tmp_path))] == sorted(TAKEN - {"docs/_index.md"})
+    for gone in (str(tmp_path / "gone"), f"file://{tmp_path}/gone", "viewfs://shelf/in/gone"):
+        with pytest.raises(FileNotFoundError):
+            files.scan_files(spark, gone, ["**"], [])
+    entries = [{"id": "s01", "kind": "local", "path": f"file://{tmp_path}/docs"}, {"id": "s02", "kind": "local", "path": "viewfs://shelf/in/a.md"}, {"id": "s03", "kind": "local", "path": "viewfs://shelf/in/gone"}, {"id": "s04", "kind": "local", "path": f"file://{tmp_path}/docs", "include": ["*.rst"]}]
+    got, notes = files.resolve_register(spark, entries, str(tmp_path), str(tmp_path))
+    assert {"s01:b.md", "s02:a.md"} <= {r.origin for r in got.collect()}
+    assert [(n["missing"], n["empty"]) for n in notes] == [(False, False), (False, False), (True, False), (False, True)]

@@ -10,67 +10,26 @@ from pyspark.sql import functions as F
 
 from tonewright.functions import text as T
 from tonewright.functions import vocab as V
+from tonewright.sources import tree
 from tonewright.sources.extract import format_of
-
-
-def glob_regex(pattern: str) -> str:
-    """`*` and `?` within a segment, `**/` over any number of segments, `{a,b}`; anchored."""
-    token = re.compile(r"\*\*/|\*\*|\*|\?|\{[^}]*\}|.", re.S)
-    to = {"**/": "(?:[^/]*/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    parts = [to.get(t) or ("(?:" + "|".join(map(re.escape, t[1:-1].split(","))) + ")" if t[0] == "{" and t[-1] == "}" and len(t) > 1 else re.escape(t)) for t in token.findall(pattern)]
-    return "^" + "".join(parts) + "$"
+from tonewright.sources.tree import glob_regex, pruned  # noqa: F401
 
 
 def matches_any(path: Column, patterns: list[str]) -> Column:
     return F.lit(False) if not patterns else path.rlike("|".join(f"(?:{glob_regex(p)})" for p in patterns))
 
 
-def pruned(directory: str, exclude: list[str]) -> bool:
-    """Whether a directory need not be listed: its pattern has a literal last segment that
-    matches it, or a wildcard that matches a child and a grandchild alike."""
-    for p in exclude:
-        rx, last = re.compile(glob_regex(p)), p.rsplit("/", 1)[-1]
-        if not re.search(r"[*?{]", last):
-            if rx.match(directory):
-                return True
-        elif rx.match(f"{directory}/x") and rx.match(f"{directory}/x/y"):
-            return True
-    return False
-
-
-def reach(include: list[str]) -> tuple[list[str], str | None]:
-    """The folders that globs can take files of, none within another, and a glob of the names."""
-    folders, lasts = set(), set()
-    for p in include:
-        parts = p.split("/")
-        plain = next((k for k, x in enumerate(parts[:-1]) if re.search(r"[*?{\[]", x)), len(parts) - 1)
-        folders.add("/".join(parts[:plain]))
-        lasts.add(parts[-1])
-    top = sorted(f for f in folders if not any(f != g and (g == "" or f.startswith(g + "/")) for g in folders))
-    if not lasts or any(re.search(r"\*\*|[{}\[\],\\]", x) for x in lasts):
-        return top, None
-    return top, "{" + ",".join(sorted(lasts)) + "}"
-
-
 def is_inside(parent: str, target: str) -> bool:
     rel = os.path.relpath(os.path.realpath(target), os.path.realpath(parent))
     return rel != ".." and not rel.startswith(".." + os.sep) and not os.path.isabs(rel)
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """(rel, format, bytes, modified, content) of the files that the globs take.  Exclusion
-    wins; no include takes nothing.  Only folders that an include names, and in them only
-    names that its last part takes, are listed and read."""
-    where, names = reach(include)
-    here = [p for p in (os.path.join(root, w) if w else root for w in where) if os.path.isdir(p) and not (p != root and pruned(os.path.relpath(p, root), exclude))]
-    if not here:
-        return spark.createDataFrame([], "rel string, bytes long, modified timestamp, content binary, format string")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", names) if names else reader).load(here)
-    base = re.escape(root.rstrip("/")) + "/"
-    rel = F.regexp_replace("path", "^(?:file:(?://)?)?" + base, "")
-    listed = files.select(rel.alias("rel"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
-    return listed.where(matches_any(F.col("rel"), include) & ~matches_any(F.col("rel"), exclude)).withColumn("format", format_of(F.col("rel")))
+    """(rel, bytes, modified, content, format) of the files that the globs take, of a root that
+    is a path or a URI.  Exclusion wins; no include takes nothing; a root that is no folder is
+    an error.  Excluded folders are never listed, links are not followed."""
+    at = tree.Tree(spark, root)
+    return at.read(list(at.walk(include, exclude))).withColumn("format", format_of(F.col("rel")))
 
 
 def read_text(files: DataFrame) -> DataFrame:
@@ -111,16 +70,21 @@ def resolve_register(spark: SparkSession, register: list[dict], project: str, kb
             root = os.path.join(kb, e["path"])
             if not is_inside(kb, root):
                 raise ValueError(f"{e['id']}: leaves the knowledge base")
-        if not os.path.exists(root):
+        at = tree.Tree(spark, root)
+        if not at.exists():
             notes.append({"id": e["id"], "missing": True, "empty": False})
             continue
         include, exclude = (e.get("include") or ([] if e["kind"] == "project" else ["**"])), e.get("exclude") or []
-        if not os.path.isdir(root):
-            root, include = os.path.dirname(root), [os.path.basename(root)]
-        f = scan_files(spark, root, include, exclude)
+        if not at.is_folder():
+            folder, name = at.parent()
+            at = tree.Tree(spark, folder)
+            found = [x for x in at.walk(["*"], exclude) if x.rel == name]
+        else:
+            found = list(at.walk(include, exclude))
+        f = at.read(found).withColumn("format", format_of(F.col("rel")))
         prefix = "" if e["kind"] == "project" else f"{e['id']}:"
         frames.append(f.select(F.lit(e["id"]).alias("register_id"), F.lit(e["kind"]).alias("kind"), F.concat(F.lit(prefix), F.col("rel")).alias("origin"), "rel", "format", "bytes", "modified", "content", F.lit(e.get("profile") or "default").alias("profile")))
-        notes.append({"id": e["id"], "missing": False, "empty": f.limit(1).count() == 0})
+        notes.append({"id": e["id"], "missing": False, "empty": not found})
     if not frames:
         schema = "register_id string, kind string, origin string, rel string, format string, bytes long, modified timestamp, content binary, profile string"
         return spark.createDataFrame([], schema), notes
