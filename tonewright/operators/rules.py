@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from tonewright.functions import patterns
 from tonewright.functions import vocab as V
 
 RULES = "id string, kind string, file string, confidence string, locked boolean, avoid string, prefer string, pattern string"
@@ -42,24 +45,34 @@ def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
+FOUND = StructType([StructField("terms", ArrayType(StructType([StructField("id", StringType()), StructField("hits", LongType())]))), StructField("run", ArrayType(IntegerType()))])
+
+
 def hits_per_unit(units: DataFrame, rules: DataFrame, text: str = "t") -> DataFrame:
-    """Hits of every rule in every unit: the rule base travels to the units, whose text is
-    read once for all rules; nothing is shuffled before the hits are summed.
-
-    The rule base is hand-written; its patterns are collected, and the text is read once for
-    every `RULES_A_PASS` of them."""
-    spark = units.sparkSession
-    held = [(r.id, r.pattern) for r in rules.where("pattern is not null").select("id", "pattern").collect()]
-    out = spark.createDataFrame([], "unit_id string, id string, hits long") if not held else None
-    for k in range(0, len(held), RULES_A_PASS):
-        counts = F.array(*[F.struct(F.lit(i).alias("id"), F.regexp_count(text, F.lit(p)).cast("long").alias("hits")) for i, p in held[k : k + RULES_A_PASS]])
-        found = units.select("unit_id", F.inline(F.filter(counts, lambda x: x["hits"] > 0)))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-#: An expression of more patterns outgrows what the JVM compiles at once.
-RULES_A_PASS = 1000
+    """Hits of every rule in every unit, in one pass over the text for any number of rules: all
+    terms and the literals of the regexes are one automaton, and a regex runs only where its
+    literal occurs.  Nothing is shuffled before the hits are summed.
+
+    The rule base is hand-written; its patterns are collected and travel to the units."""
+    held = [(r.id, r.avoid, r.pattern) for r in rules.where("pattern is not null").select("id", "avoid", "pattern").collect()]
+    if not held:
+        return units.sparkSession.createDataFrame([], "unit_id string, id string, hits long")
+    terms = [(i, a) for i, a, p in held if a and p == pattern_of(a, None, None)]
+    named = {i for i, _ in terms}
+    regexes = [(i, p) for i, _, p in held if i not in named]
+    known = patterns.Patterns(tuple(terms), tuple(patterns.needed_literal(p.removeprefix("(?i)")) if p.startswith("(?i)") else None for _, p in regexes))
+
+    @F.arrow_udf(FOUND)
+    def find(texts: pa.Array) -> pa.Array:
+        return patterns.found(texts, known)
+
+    seen = units.select("unit_id", F.col(text).alias("text"), find(text).alias("seen"))
+    each = F.col("seen.terms")
+    if regexes:
+        ids, rx = (F.array(*[F.lit(x[k]) for x in regexes]) for k in (0, 1))
+        ran = F.transform("seen.run", lambda k: F.struct(F.get(ids, k).alias("id"), F.regexp_count("text", F.get(rx, k)).cast("long").alias("hits")))
+        each = F.concat(each, F.filter(ran, lambda x: x["hits"] > 0))
+    return seen.select("unit_id", F.inline(each))
 
 
 def hits(units: DataFrame, rules: DataFrame, text: str = "t") -> DataFrame:
