@@ -151,4 +151,7 @@ def test_index_versions(spark, tmp_path):
     for k in range(4):
         assert sinks.save_index(df, base) == k
     assert [r.entry_id for r in sinks.load_index(spark, base, "entry_id string").collect()] == ["f002", "f999", "f1000"]
-    assert sorted(p.name for p in (tmp_path / "idx").iterdir()) == ["current.json", "v2", "v3"]
+    # every version has its entry, the two latest have their data
+    log = sinks.IndexLog(spark, base)
+    assert log.version() == 3 and len(list((tmp_path / "idx/data").iterdir())) == 2
+    assert {log.entry(v)["data"] for v in (2, 3)} == {f"data/{p.name}" for p in (tmp_path / "idx/data").iterdir()}

@@ -54,10 +54,24 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def fetch(url: str) -> tuple[int, str, str]:
-    """One page by the standard library, within 15 seconds."""
-    with urllib.request.urlopen(url, timeout=15) as r:
-        return r.status, r.headers.get_content_type(), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+class _WebOnly(urllib.request.HTTPRedirectHandler):
+    """Redirects stay on the web."""
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        if not newurl.lower().startswith(("http://", "https://")):
+            raise ValueError("redirected to no web address")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def fetch(url: str, seconds: float = 15, most: int = 5 << 20) -> tuple[int, str, str]:
+    """One page by the standard library, of `most` bytes at most; only web addresses are opened."""
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError("not a web address")
+    with urllib.request.build_opener(_WebOnly()).open(url, timeout=seconds) as r:
+        body = r.read(most + 1)
+        if len(body) > most:
+            raise ValueError(f"over {most} bytes")
+        return r.status, r.headers.get_content_type(), body.decode(r.headers.get_content_charset() or "utf-8", "replace")
 
 
 def shown(rows: list[str]) -> list[str]:
@@ -86,6 +100,7 @@ def sources(w: Workspace, a: argparse.Namespace, get) -> tuple[dict, list[str]]:
     if a.ingest:
         done = w.ingest(a.only)
         out = {k: listed(getattr(done, k), *c) for k, c in (("ingested", ("entry_id", "origin")), ("folded", ("origin", "entry_id")), ("reopened", ("entry_id", "rule_id")), ("missing", ("entry_id", "origin")), ("escalate", ("entry_id", "origin", "note")), ("errors", ("origin", "reason")))}
+        w.close()
         return out, [f"{k}: {x}" for k, v in out.items() for x in shown(v)] or ["nothing to ingest"]
     counts = {r["class"]: r["n"] for r in w.check().groupBy("class").agg(F.count("*").alias("n")).collect()}
     return counts, [f"{k} {counts.get(k, 0)}" for k in ("known", "duplicate", "stale", "fresh")]

@@ -5,9 +5,13 @@ went between the listing and the hashing, is a row of `errors` and never ends th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +72,17 @@ def read_status(n: Column, passed: Column, note: Column) -> dict[str, Column]:
     return {"status": F.when(empty | ~passed, "skipped").otherwise("used"), "note": F.when(empty, F.coalesce(note, F.lit("no-text-layer"))).when(~passed, F.lit("quality")).otherwise("ok")}
 
 
-def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataFrame], now: str, wanted: str | None = None) -> Ingested:
+def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataFrame], now: str, wanted: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Ingested:
     """`resolved`: origin, sha256 (null where the file went), register_id, kind, format, locale,
     profile and whatever `read` needs.  `read` adds status, note, tier and tokens to the rows it
-    is given, of which null status says that the file cannot be read (note says why)."""
-    gone = resolved.where("sha256 is null").select("origin", "register_id", F.lit("vanished").alias("reason"))
-    here = resolved.where("sha256 is not null")
+    is given, of which null status says that the file cannot be read (note says why).  `kept`
+    stores what was hashed and what was read: index and reports are made of the stored rows."""
     # contents are met again only by what is to be read
-    payload = [c for c in ("content",) if c in here.columns]
-    cls = I.classify(index, here.drop(*payload))
+    payload = [c for c in ("content",) if c in resolved.columns]
+    listed = kept(resolved.drop(*payload))
+    gone = listed.where("sha256 is null").select("origin", "register_id", F.lit("vanished").alias("reason"))
+    here = listed.where("sha256 is not null")
+    cls = I.classify(index, here)
     asked = only(cls, wanted, "origin", "register_id", "entry_id")
     fresh, stale, double = (asked.where(F.col("class") == c) for c in ("fresh", "stale", "duplicate"))
 
@@ -84,8 +90,13 @@ def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataF
     new = fresh.unionByName(stale)
     first = new.groupBy("sha256").agg(F.min("origin").alias("origin"))
     chosen = new.join(first, ["sha256", "origin"], "left_semi").dropDuplicates(["sha256"])
-    measured = read(chosen.join(here.select("origin", "sha256", *payload), ["origin", "sha256"]) if payload else chosen)
+    # a file that changed since it was hashed is read as what it was hashed to, or not at all
+    measured = read(chosen.join(resolved.select("origin", "sha256", *payload), ["origin", "sha256"]) if payload else chosen)
+    measured = kept(measured.drop(*payload))
     failed = measured.where("status is null").select("origin", "register_id", F.coalesce("note", F.lit("unreadable")).alias("reason"))
+    if payload:
+        lost = chosen.join(measured.select("sha256"), "sha256", "left_anti")
+        failed = failed.unionByName(lost.select("origin", "register_id", F.lit("vanished").alias("reason")))
     good = measured.where("status is not null").drop("class").withColumnRenamed("entry_id", "old_id")
     others = new.join(first.select("sha256", F.col("origin").alias("head")), "sha256").where("origin <> head").groupBy("sha256").agg(F.array_sort(F.collect_set("origin")).alias("aliases"))
     top = index.agg(F.coalesce(F.max(I.entry_number("entry_id")), F.lit(0)).alias("top"))
@@ -120,23 +131,41 @@ def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataF
 # --- addresses
 
 
-def fetched(spark: SparkSession, urls: DataFrame, fetch: Callable[[str], tuple[int, str, str]]) -> DataFrame:
-    """(register_id, url, code, content_type, body, error) by a function of the caller's, in
-    parallel; what it raises is the row's error."""
-    import pandas as pd
-
-    def one(batches):
+def fetched(spark: SparkSession, urls: DataFrame, fetch: Callable[[str], tuple[int, str, str]], pause: float = 0.0) -> DataFrame:
+    """(register_id, url, code, content_type, body, error) by a function of the caller's.  What
+    is no web address is refused before anything is opened; what the function raises is the
+    row's error.  Pages of a host are fetched one after the other, `pause` seconds apart, by a
+    thread of the task that has the host, so that a slow host delays no other."""
+
+    def one(row: tuple[str, str]) -> tuple:
+        try:
+            if not re.match("https?://", row[1] or "", re.I):
+                raise ValueError("not a web address")
+            return (*row, *fetch(row[1]), None)
+        except Exception as e:  # a fetch may fail in any way
+            return (*row, None, None, None, f"{type(e).__name__}: {e}")
+
+    def of_host(rows: list[tuple[str, str]]) -> list[tuple]:
+        out = []
+        for k, row in enumerate(rows):
+            time.sleep(pause if k else 0)
+            out.append(one(row))
+        return out
+
+    def run_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                try:
-                    code, kind, body = fetch(r.url)
-                    rows.append((r.register_id, r.url, code, kind, body, None))
-                except Exception as e:  # a fetch may fail in any way
-                    rows.append((r.register_id, r.url, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["register_id", "url", "code", "content_type", "body", "error"]).astype({"code": "Int64"})
-
-    return urls.select("register_id", "url").mapInPandas(one, "register_id string, url string, code long, content_type string, body string, error string")
+            hosts: dict[str | None, list[tuple[str, str]]] = {}
+            for key, url, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hosts.setdefault(host, []).append((key, url))
+            with ThreadPoolExecutor(max(1, min(32, len(hosts)))) as pool:
+                for done in (f.result() for f in as_completed([pool.submit(of_host, rows) for rows in hosts.values()])):
+                    columns = list(zip(*done, strict=True))
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["register_id", "url", "code", "content_type", "body", "error"])
+
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    dealt = urls.select("register_id", "url", host.alias("host")).repartition(4 * spark.sparkContext.defaultParallelism, "host")
+    return dealt.mapInArrow(run_hosts, "register_id string, url string, code long, content_type string, body string, error string")
 
 
 def page_status(pages: DataFrame, units: Column) -> DataFrame:

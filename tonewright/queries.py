@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tonewright import oracle as O
 from tonewright.functions import stats, text
 from tonewright.functions import vocab as V
-from tonewright.operators import diff, drift, gaps, index, overlay, quality_gate, rules, tone, validate
+from tonewright.operators import diff, drift, gaps, index, overlay, quality_gate, rules, sums, tone, validate
 from tonewright.sources import extract, files
 
 QUERIES = {}
@@ -77,6 +77,31 @@ def fingerprint_by_locale(spark, d):
     return stats.fingerprint(units(spark, d), "locale")
 
 
+_BATCH = "SELECT 'd' || doc_id AS unit_id, lang AS locale, [CASE WHEN lang IN ('de', 'fr') THEN coalesce(text, '') || ' And more! Is it?' ELSE coalesce(text, '') END] AS strings, []::VARCHAR[] AS headings FROM documents WHERE source IS DISTINCT FROM 'src1'"
+
+
+@query("fingerprint_maintained", f"WITH units AS ({_BATCH}), {O.unit_stats('units')}, {O.merged()} {O.finalised()}")
+def fingerprint_maintained(spark, d):
+    """The fingerprint after a batch in which German and French texts changed and one source
+    was forgotten: from the sums kept before and the signed changes, with no recount."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+    text, changes = F.coalesce("text", F.lit("")), F.col("lang").isin("de", "fr")
+
+    def entries(rows: DataFrame, text: Column, prefix: str) -> DataFrame:
+        none = F.array().cast("array<string>")
+        units = rows.select(F.sha2(text, 256).alias("sha256"), F.concat(F.lit(prefix), F.col("doc_id")).alias("entry_id"), F.lit(None).cast("string").alias("profile"), F.col("lang").alias("locale"), F.lit("used").alias("status"), "source", F.array(text).alias("strings"), none.alias("headings"))
+        held = ("sha256", "entry_id", "profile", "locale", "status", "source")
+        counted = stats.unit_stats(units, held)
+        return counted.select(*held, F.struct(*[c for c in counted.columns if c not in held]).alias("stats"))
+
+    before = entries(docs, text, "f")
+    stay = F.coalesce(F.col("source") != "src1", F.lit(True))
+    kept = sums.summed(sums.entries(before).select(*sums.KEYS, "stats.*"), *sums.KEYS)
+    same = before.where(stay & ~F.coalesce(F.col("locale").isin("de", "fr"), F.lit(False)))
+    after = same.unionByName(entries(docs.where(stay & changes), F.concat(text, F.lit(" And more! Is it?")), "g"))
+    return sums.fingerprint(sums.together(kept, sums.changes(before, after)), "locale")
+
+
 @query("unit_stats", f"WITH {_UNITS}, {O.unit_stats('units')} SELECT * FROM stats")
 def unit_stats(spark, d):
     return stats.unit_stats(units(spark, d))

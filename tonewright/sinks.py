@@ -9,8 +9,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import shutil
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,30 +50,114 @@ def write_fingerprint(path: str, locales: dict[str, dict], now: str, set_baselin
     return new
 
 
-# --- the source index: one folder of Parquet per version, and the name of the current one
-
-
-def current_version(base: str) -> int:
-    """-1 where nothing is stored."""
-    return (read_json(os.path.join(base, "current.json"), {}) or {}).get("version", -1)
+# --- the source index: a log of commits, each of which names its data
+
+
+class IndexLog:
+    """Versions of the source index on any file system that Hadoop reads.
+
+    Data is written under a name of its own first; a version exists when its entry of the log
+    does.  An entry is put only where none is: a writer that lost takes the newer version and
+    does its work again, so that no update is lost, and one that stops half-way leaves the
+    version before it.  The sums of statistics that a version keeps are named by its entry."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+        root = self._fs.makeQualified(self._path(self.base))
+        self._disk = root.toUri().getPath() if root.toString().startswith("file:") else None
+
+    def _at(self, *parts: str):
+        return self._path("/".join((self.base, *parts)))
+
+    def _entry_path(self, version: int) -> tuple[str, str]:
+        return "_log", f"{version:010d}.json"
+
+    def version(self) -> int:
+        """The latest; -1 where nothing is stored."""
+        log = self._at("_log")
+        if not self._fs.exists(log):
+            return -1
+        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
+        return max((int(n[:10]) for n in names if re.fullmatch(r"[0-9]{10}\.json", n)), default=-1)
+
+    def entry(self, version: int) -> dict:
+        stream = self._fs.open(self._at(*self._entry_path(version)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def put(self, version: int, entry: dict) -> bool:
+        """Whether the entry is there now by this call: it is complete or absent for readers."""
+        folder, name = self._entry_path(version)
+        text = json.dumps(entry)
+        if self._disk is not None:
+            beside = os.path.join(self._disk, folder, f".{uuid.uuid4().hex}")
+            write_text(beside, text)
+            try:
+                os.link(beside, os.path.join(self._disk, folder, name))
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(beside)
+        beside = self._at(folder, f".{uuid.uuid4().hex}")
+        out = self._fs.create(beside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        # a rename does not replace a file
+        done = not self._fs.exists(self._at(folder, name)) and self._fs.rename(beside, self._at(folder, name))
+        if not done:
+            self._fs.delete(beside, False)
+        return bool(done)
+
+    def read(self, kind: str, schema: str, version: int | None = None) -> DataFrame | None:
+        """`data` or `sums` of a version; null where it keeps none."""
+        v = self.version() if version is None else version
+        where = self.entry(v).get(kind) if v >= 0 else None
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{where}") if where else None
+
+    def update(self, schema: str, change: Callable[[DataFrame], DataFrame], sums: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None, sums_schema: str = "", keep: int = 2, tries: int = 50) -> int:
+        """Commits `change` of the latest index, in the order of entry numbers, and the sums
+        that `sums` makes of the index before, the new one and the sums before.  Data of all
+        but the `keep` latest versions goes."""
+        for _ in range(tries):
+            v = self.version()
+            held = self.read("data", schema, v)
+            old = self.spark.createDataFrame([], schema) if held is None else held
+            entry = {"version": v + 1, "data": f"data/{uuid.uuid4().hex}"}
+            change(old).sort(entry_order()).write.parquet(f"{self.base}/{entry['data']}")
+            if sums is not None:
+                entry["sums"] = f"sums/{uuid.uuid4().hex}"
+                new = self.spark.read.schema(schema).parquet(f"{self.base}/{entry['data']}")
+                sums(old, new, self.read("sums", sums_schema, v)).coalesce(1).write.parquet(f"{self.base}/{entry['sums']}")
+            if self.put(v + 1, entry):
+                self._clean(v + 1 - keep)
+                return v + 1
+            for kind in ("data", "sums"):
+                if kind in entry:
+                    self._fs.delete(self._at(entry[kind]), True)
+        raise RuntimeError(f"{self.base}: other writers came first {tries} times")
+
+    def _clean(self, last: int) -> None:
+        for v in range(last, -1, -1):
+            entry = self.entry(v)
+            gone = [self._fs.delete(self._at(entry[k]), True) for k in ("data", "sums") if k in entry]
+            if not any(gone):
+                break
 
 
 def load_index(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    v = current_version(base)
-    return spark.createDataFrame([], schema) if v < 0 else spark.read.schema(schema).parquet(os.path.join(base, f"v{v}"))
+    held = IndexLog(spark, base).read("data", schema)
+    return spark.createDataFrame([], schema) if held is None else held
 
 
 def save_index(index: DataFrame, base: str, keep: int = 2) -> int:
-    """The index as the next version, in the order of entry numbers; the name of the current
-    version is moved over last, and all but the `keep` latest versions go."""
-    v = current_version(base) + 1
-    index.sort(entry_order()).write.mode("overwrite").parquet(os.path.join(base, f"v{v}"))
-    write_json(os.path.join(base, "current.json"), {"version": v})
-    for old in range(v - keep, -1, -1):
-        if not os.path.isdir(path := os.path.join(base, f"v{old}")):
-            break
-        shutil.rmtree(path)
-    return v
+    """The index as the next version, whatever was there."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
+    return IndexLog(index.sparkSession, base).update(schema, lambda _: index, keep=keep)
 
 
 def write_snapshots(pages: DataFrame, folder: str, date: str) -> None:

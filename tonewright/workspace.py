@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from tonewright import sinks
 from tonewright.functions import stats
 from tonewright.functions import text as T
 from tonewright.functions import vocab as V
-from tonewright.operators import collect, diff, drift, gaps, ingest, quality_gate, rules, tone, validate
+from tonewright.operators import collect, diff, drift, gaps, ingest, quality_gate, rules, sums, tone, validate
 from tonewright.operators import index as I
 from tonewright.plans import markdown, report, resolve
 from tonewright.sources import extract, files
@@ -32,6 +33,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str, kb: str, profile: str = "default", now: str | None = None):
         self.spark, self.root, self.base, self.profile = spark, os.path.abspath(root), os.path.abspath(kb), profile
         self.now = now or dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds").replace("+00:00", "Z")
+        self.work: list[str] = []
         self.kb = resolve.resolve(self.base, profile)
         self.config = self.kb["config"]
         own = markdown.profile(self.config, profile)
@@ -44,6 +46,11 @@ class Workspace:
     def path(self, *parts: str) -> str:
         return os.path.join(self.artifacts, *parts)
 
+    def close(self) -> None:
+        """Removes what reports of this workspace were made of."""
+        while self.work:
+            shutil.rmtree(self.work.pop(), ignore_errors=True)
+
     @property
     def index_base(self) -> str:
         return os.path.join(self.base, "evidence", "sources")
@@ -86,6 +93,23 @@ class Workspace:
         held = I.contributing(self.index()).select("origin", "locale", "stats.*")
         return live.unionByName(held.join(live.select("origin").distinct(), "origin", "left_anti"))
 
+    def summed(self) -> DataFrame:
+        """The same, as sums per locale: those kept with the index, with the live files and
+        without the entries that a live file stands for."""
+        units, _ = self.live()
+        live = stats.unit_stats(units, ("origin", "locale"))
+        kept = sinks.IndexLog(self.spark, self.index_base).read("sums", sums.SCHEMA)
+        if kept is None:
+            return sums.summed(self.statistics(), "locale")
+        mine = kept.where(F.col("profile").isNull() if self.kb["role"] == "house" else F.col("profile") == self.profile).drop("profile")
+        over = sums.entries(self.index()).join(units.select("origin").distinct(), "origin", "left_semi").select("locale", "stats.*")
+        return sums.together(mine, sums.summed(live, "locale"), sums.summed(over, "locale", sign=-1), keys=("locale",))
+
+    def commit(self, change: Callable[[DataFrame], DataFrame]) -> int:
+        """The index changed, and its sums with it, as the next version; `change` may be asked
+        again, with a newer index, where another writer came first."""
+        return sinks.IndexLog(self.spark, self.index_base).update(INDEX, change, sums.maintained, sums.SCHEMA)
+
     def scan(self, out: str | None = None) -> dict:
         """The manifest: one row a file beside it, and the totals in it."""
         units, skipped = self.live()
@@ -115,11 +139,14 @@ class Workspace:
 
     def fingerprint(self, set_baseline: bool = False, source: str | None = None) -> dict:
         """The fingerprint of each locale; `source` keeps measured or estimated sources only."""
-        rows = self.statistics()
         if source:
+            rows = self.statistics()
             tier = self.index().select("origin", F.when(F.col("tier") == "model", "estimated").otherwise("measured").alias("fidelity"))
             rows = rows.join(tier, "origin", "left").where(F.coalesce("fidelity", F.lit("measured")) == source).drop("fidelity")
-        prints = stats.finalise(stats.merge_stats(rows, "locale"), "locale").sort("locale")
+            prints = stats.finalise(stats.merge_stats(rows, "locale"), "locale")
+        else:
+            prints = sums.fingerprint(self.summed(), "locale")
+        prints = prints.sort("locale")
         locales = {r["locale"]: {k: v for k, v in r.asDict().items() if k != "locale"} for r in prints.collect()}
         return sinks.write_fingerprint(self.path("evidence", "fingerprint.json"), locales, self.now, set_baseline)
 
@@ -150,8 +177,22 @@ class Workspace:
         return out.withColumns({**status, "tier": F.lit("script")}).drop("text", "fail", "passed", "reasons")
 
     def ingest(self, only: str | None = None) -> ingest.Ingested:
-        done = ingest.run(self.whole_index(), self.candidates(), self.read, self.now, only)
-        sinks.save_index(done.index, self.index_base)
+        """One hashing of what is resolved and one reading of what is new, both stored beside
+        the index: the index and every report are made of them."""
+        candidates, done = self.candidates(), None
+
+        def kept(df: DataFrame) -> DataFrame:
+            at = f"{self.index_base}/work/{uuid.uuid4().hex}"
+            self.work.append(at)
+            df.write.parquet(at)
+            return self.spark.read.schema(df.schema).parquet(at)
+
+        def change(index: DataFrame) -> DataFrame:
+            nonlocal done
+            done = ingest.run(index, candidates, self.read, self.now, only, kept)
+            return done.index
+
+        self.commit(change)
         return done
 
     def refresh(self, pages: DataFrame, only: str | None = None) -> DataFrame:
@@ -160,24 +201,34 @@ class Workspace:
         read = ingest.page_status(pages, extract.html_units(F.coalesce("body", F.lit("")))).withColumns({"origin": F.col("url"), "content": F.encode(F.coalesce("body", F.lit("")), "UTF-8"), "format": F.lit("html"), "locale": F.lit(self.primary), "profile": F.lit(None).cast("string"), "kind": F.lit("url")})
         bad = read.where("note = 'unreadable'").select("register_id", "origin", F.lit("failed").alias("outcome"))
         good = self.read(read.where("note <> 'unreadable'").withColumn("sha256", F.sha2("content", 256)).drop("note"))
-        after, told = ingest.refresh(self.whole_index(), good, self.now)
+        told = None
+
+        def change(index: DataFrame) -> DataFrame:
+            nonlocal told
+            after, told = ingest.refresh(index, good, self.now)
+            return after
+
+        before = self.whole_index()
+        change(before)
         retain = {e["id"] for e in self.register if e.get("retain") == "snapshot"}
         if retain:
             kept = told.where("outcome <> 'unchanged'").join(pages.select("register_id", "body"), "register_id").withColumn("retain", F.when(F.col("register_id").isin(*retain), "snapshot"))
             sinks.write_snapshots(kept, os.path.join(self.base, "evidence", "snapshots"), self.now[:10])
         every = told.unionByName(bad, allowMissingColumns=True)
         told = self.spark.createDataFrame(every.collect(), every.schema)  # one row an address of the register
-        sinks.save_index(after, self.index_base)
-        return told
+        result = told
+        self.commit(change)
+        return result
 
     def forget(self, entry_id: str) -> list[str]:
         """The rules to reopen."""
         whole = self.whole_index()
         if not whole.where(F.col("entry_id") == entry_id).limit(1).count():
             raise ValueError(f"no source {entry_id}")
-        kept, reopened = I.forget(whole, self.spark.createDataFrame([(entry_id,)], "entry_id string"))
+        _, reopened = I.forget(whole, self.spark.createDataFrame([(entry_id,)], "entry_id string"))
         out = sorted(r.rule_id for r in reopened.collect())
-        sinks.save_index(kept, self.index_base)
+        gone = self.spark.createDataFrame([(entry_id,)], "entry_id string")
+        self.commit(lambda index: I.forget(index, gone)[0])
         return out
 
     def add_source(self, kind: str, where: str, label: str | None = None) -> str:
@@ -431,7 +482,7 @@ class Workspace:
         if dry_run:
             return plan
         if gone:
-            sinks.save_index(ingest.without_speaker(whole, slug), self.index_base)
+            self.commit(lambda index: ingest.without_speaker(index, slug))
         self._edit_config(lambda t: sinks.remove_entry(sinks.remove_items(t, "sources", "profile", slug), "profiles", slug))
         shutil.rmtree(folder, ignore_errors=True)
         return plan
