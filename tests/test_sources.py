@@ -4,13 +4,28 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tonewright.queries import extract_samples
+from tonewright.queries import extracted
 from tonewright.sources import extract, files, tree
 
 
+SAMPLES = [
+    ("a.md", "---\ntitle: x\n---\n# Hello **World**\n\n- first [link](http://a.b)\n- [x] done\n\n| A | Bee |\n|---|---|\n| One cell | #fff |\n\n```\ncode\n```\n<!-- no -->\nTail `x` text\n"),
+    ("b.html", "<h1>Big &amp; bold</h1><script>no()</script><img alt='A photo'><p>It&#39;s &#x41; &copy;</p>"),
+    ("c.txt", "First para\nstill first.\n\n\nSecond para.\n"),
+    ("d.po", 'msgid ""\nmsgstr "Header: x"\n\n# note\nmsgid "Hello"\nmsgstr "Hallo"\n\nmsgid "Long "\n"text"\nmsgstr ""\n'),
+    ("e.vtt", "WEBVTT\n\nNOTE hidden\nstill hidden\n\nid-1\n00:01 --> 00:02\nHello <b>there</b>\nyou\n\n00:03 --> 00:04\nBye\n"),
+    ("f.csv", 'name,count\n"Say ""hi"", now",12\n"two\nlines",x\n'),
+    ("g.yml", "title: Hello there\nurl: https://x.y\nnested:\n  label: 'Save it'\n"),
+    ("h.json", '{"a": "Save changes", "b": {"c": ["Undo", "https://x.y", 3]}, "d": "ABC_DEF"}'),
+    ("i.rtf", "{\\rtf1{\\fonttbl{\\f0 Arial;}}Hello \\b world\\b0\\par caf\\'e9 \\u8211?dash\\par}"),
+    ("j.pdf", "bytes"),
+    ("k.xyz", "unknown"),
+]
+
+
 def test_samples(spark):
     got = {}
-    for r in extract_samples(spark, "").collect():
+    for r in extracted(spark.createDataFrame(SAMPLES, "path string, raw string")).collect():
         got.setdefault(r.path, []).append(r.unit)
     assert got == {
         "a.md": ["Hello World", "first link", "done", "A", "Bee", "One cell", "Tail text"],

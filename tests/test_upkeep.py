@@ -11,6 +11,7 @@ from tonewright import cli, sinks
 from tonewright import workspace as W
 from tonewright.functions import stats
 from tonewright.operators import index, ingest, sums
+from tonewright.streaming import ingest as follow
 
 KEYS = "sha256 string, entry_id string, profile string, locale string, status string"
 SMALL = "entry_id string"
@@ -200,3 +201,43 @@ def test_fetch_limits(tmp_path):
             cli.fetch(at + "/away")
     finally:
         site.shutdown()
+
+
+# --- the streaming form
+
+
+def test_a_stream_of_batches_equals_one_batch(spark, tmp_path):
+    """Three batches, one of them run twice, against one ingestion of the same folder."""
+    letter = "A letter number {} to you with more than ten words in it, so that it counts."
+
+    def space(name):
+        kb = tmp_path / name / ".voice"
+        kb.mkdir(parents=True)
+        (kb / "config.yml").write_text(f"profiles:\n  default:\n    primary_locale: en\n    locales: [en, de]\nsources:\n  - id: s01\n    kind: local\n    path: {tmp_path}/in\n")
+        return W.Workspace(spark, str(tmp_path / name), str(kb), now="2026-09-10T00:00:00Z")
+
+    streamed, whole = space("a"), space("b")
+    (tmp_path / "in/de").mkdir(parents=True)
+    put = {0: {"1.txt": letter.format(1), "2.txt": letter.format(2), "de/3.txt": letter.format(3)}, 1: {"4.txt": letter.format(2), "5.bin": "x"}, 2: {"1b.txt": letter.format(9), "6.txt": ""}}
+    for files in put.values():
+        for rel, text in files.items():
+            (tmp_path / "in" / rel).write_text(text)
+        follow.follow(streamed, str(tmp_path / "in"), "s01", str(tmp_path / "check")).awaitTermination()
+    log = sinks.IndexLog(spark, streamed.index_base)
+    before = log.version()
+    assert before == 2 and log.entry(before)["batches"] == {"files": 2}
+    # a batch that runs again
+    again = spark.createDataFrame([("7.txt", bytearray(letter.format(7), "utf-8"))], "rel string, content binary")
+    streamed.take_in(again, "s01", ("files", 2))
+    assert log.version() == before
+    whole.ingest()
+    facts = lambda ws: {(r.sha256, r.origin, tuple(r.aliases), r.locale, r.status, r.note, r.tokens, r.stats) for r in ws.whole_index().collect()}
+    assert facts(streamed) == facts(whole)
+    numbers = [r.entry_id for r in streamed.whole_index().collect()]
+    assert len(set(numbers)) == len(numbers) and all(n.startswith("f0") for n in numbers)
+    kept = lambda ws: {tuple(r) for r in sinks.IndexLog(spark, ws.index_base).read("sums", sums.SCHEMA).collect()}
+    assert kept(streamed) == kept(whole)
+    # and the batch form goes on where the stream stopped
+    (tmp_path / "in/8.txt").write_text(letter.format(8))
+    done = streamed.ingest()
+    assert done.ingested.count() == 1 and done.missing.count() == 0

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tonewright import measured
 from tonewright import oracle as O
 from tonewright.functions import vocab as V
-from tonewright.operators import collect, diff, index, ingest, lints, rules
+from tonewright.operators import collect, diff, drift, index, ingest, lints, rules
 from tonewright.queries import _CLASS, _HITS, _IDX, _PAIRS, _values, counted_rules, draft_pairs, index_and_resolved, query, table
 
 LANGS = ("en", "de", "fr", "es", "cs")
@@ -38,16 +39,20 @@ def manifest_freshness(spark, d):
     return collect.manifest_freshness(docs, there, F.lit("2026-01-04 12:00:00").cast("timestamp"))
 
 
-@query("human_age", "SELECT event_id, CASE WHEN a = 0 THEN 'today' WHEN a < 60 THEN a || ' day' || CASE WHEN a = 1 THEN '' ELSE 's' END WHEN a < 730 THEN (a // 30) || ' month' || CASE WHEN a // 30 = 1 THEN '' ELSE 's' END ELSE (a // 365) || ' year' || CASE WHEN a // 365 = 1 THEN '' ELSE 's' END END AS age FROM (SELECT event_id, event_id % 1000 AS a FROM events)")
+_DAYS = "greatest(CAST(floor((epoch_us(TIMESTAMP '2026-09-10 00:00:00') - epoch_us(ts)) / 86400000000) AS BIGINT), 0)"
+
+
+@query("human_age", f"SELECT event_id, CASE WHEN a = 0 THEN 'today' WHEN a < 60 THEN a || ' day' || CASE WHEN a = 1 THEN '' ELSE 's' END WHEN a < 730 THEN (a // 30) || ' month' || CASE WHEN a // 30 = 1 THEN '' ELSE 's' END ELSE (a // 365) || ' year' || CASE WHEN a // 365 = 1 THEN '' ELSE 's' END END AS age FROM (SELECT event_id, {_DAYS} AS a FROM events)")
 def human_age(spark, d):
-    return table(spark, d, "events").select("event_id", collect.human_age(F.col("event_id") % 1000).alias("age"))
+    return table(spark, d, "events").select("event_id", collect.human_age(drift.age_days(F.col("ts").cast("timestamp"), F.lit("2026-09-10 00:00:00").cast("timestamp"))).alias("age"))
+
+
+_ORDER = f"CASE state {' '.join(f'WHEN {O.q(x)} THEN {k}' for k, x in enumerate(V.STATES))} END"
 
 
-@query("cells_by_state", f"SELECT context, CASE WHEN context = 'social' THEN 'computed,authored' WHEN context = 'email' THEN 'authored,computed' ELSE 'computed,computed' END AS cells FROM {_values([(c,) for c in V.CONTEXTS])} v(context)")
+@query("cells_by_state", f"WITH {measured.grid_sql({})} SELECT context, string_agg(origin, ',' ORDER BY {_ORDER}) AS cells FROM grid GROUP BY context")
 def cells_by_state(spark, d):
-    rows = [(c, s, "authored" if (c, s) in (("social", "curious"), ("email", "delighted")) else "computed") for c in V.CONTEXTS for s in V.STATES]
-    grid = spark.createDataFrame(rows, "context string, state string, origin string")
-    return collect.cells_by_state(grid).select("context", F.array_join(F.slice("cells", 1, 2), ",").alias("cells"))
+    return collect.cells_by_state(measured.grid(spark, d)).select("context", F.array_join("cells", ",").alias("cells"))
 
 
 # --- ingestion
@@ -147,9 +152,12 @@ def always_on_lints(spark, d):
     return lints.totals(table(spark, d, "documents"))
 
 
-@query("locale_seed", f"SELECT * FROM {_values([(k, *v) for k, v in V.LOCALE_SEED.items()])} t(locale, quotes, date, thousands, decimal, currency)")
+@query("locale_seed", f"SELECT t.locale, quotes, date, thousands, decimal, currency, texts FROM {_values([(k, *v) for k, v in V.LOCALE_SEED.items()])} t(locale, quotes, date, thousands, decimal, currency) JOIN (SELECT lang, count(*) AS texts FROM documents GROUP BY lang) d ON d.lang = split_part(t.locale, '-', 1)")
 def locale_seed(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in V.LOCALE_SEED.items()], "locale string, quotes string, date string, thousands string, decimal string, currency string")
+    """The typography of the languages that the documents are written in, and how many texts it is for."""
+    seeds = spark.createDataFrame([(k, *v) for k, v in V.LOCALE_SEED.items()], "locale string, quotes string, date string, thousands string, decimal string, currency string")
+    texts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("texts"))
+    return texts.join(F.broadcast(seeds), F.col("lang") == F.substring_index("locale", "-", 1)).drop("lang")
 
 
 @query("rule_health_kept", f"WITH {_HITS} SELECT id, CASE WHEN confidence = 'disputed' THEN 'disputed' WHEN hits = 0 THEN 'dead' WHEN id = 'L02' THEN 'overridden' ELSE 'live' END AS health FROM counted")

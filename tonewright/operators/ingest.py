@@ -72,11 +72,12 @@ def read_status(n: Column, passed: Column, note: Column) -> dict[str, Column]:
     return {"status": F.when(empty | ~passed, "skipped").otherwise("used"), "note": F.when(empty, F.coalesce(note, F.lit("no-text-layer"))).when(~passed, F.lit("quality")).otherwise("ok")}
 
 
-def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataFrame], now: str, wanted: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Ingested:
+def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataFrame], now: str, wanted: str | None = None, kept: Callable[[DataFrame], DataFrame] = lambda df: df, complete: bool = True) -> Ingested:
     """`resolved`: origin, sha256 (null where the file went), register_id, kind, format, locale,
     profile and whatever `read` needs.  `read` adds status, note, tier and tokens to the rows it
     is given, of which null status says that the file cannot be read (note says why).  `kept`
-    stores what was hashed and what was read: index and reports are made of the stored rows."""
+    stores what was hashed and what was read: index and reports are made of the stored rows.
+    Where `resolved` is not `complete`, as a batch of a stream, what it lacks is not missing."""
     # contents are met again only by what is to be read
     payload = [c for c in ("content",) if c in resolved.columns]
     listed = kept(resolved.drop(*payload))
@@ -112,7 +113,7 @@ def run(index: DataFrame, resolved: DataFrame, read: Callable[[DataFrame], DataF
     # a known hash at a further path is recorded as an alias
     more = double.groupBy("sha256").agg(F.collect_set("origin").alias("more"))
     kept = kept.join(more, "sha256", "left").withColumn("aliases", F.array_sort(F.array_union(F.coalesce("aliases", none), F.coalesce("more", none)))).select(*index.columns)
-    orphans = I.missing(index, cls)
+    orphans = I.missing(index, cls) if complete else index.where("false")
     after = I.mark_missing(kept, orphans).unionByName(entries.drop("old_id"))
     moved = I.reattribute(after, here.select("origin", "locale"))
     folded = double.select("origin", "entry_id").unionByName(new.join(first.select("sha256", F.col("origin").alias("head")), "sha256").where("origin <> head").join(entries.select("sha256", F.col("entry_id").alias("into")), "sha256").select("origin", F.col("into").alias("entry_id")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonewright import measured
 from tonewright import oracle as O
 from tonewright.functions import stats, text
 from tonewright.functions import vocab as V
@@ -399,14 +400,14 @@ def grid(spark: SparkSession, speaker: dict[str, int] | None = None) -> DataFram
     return tone.matrix(spark, tone.vector_frame(spark, "state", V.STATE_VECTORS), tone.vector_frame(spark, "context", V.CONTEXT_OFFSETS), spark.createDataFrame(AUTHORED, tone.CELL), speaker)
 
 
-@query("tone_matrix_house", _matrix_sql({}))
+@query("tone_matrix_house", f"WITH {measured.grid_sql({})} SELECT * FROM grid")
 def tone_matrix_house(spark, d):
-    return grid(spark)
+    return measured.grid(spark, d)
 
 
-@query("tone_matrix_speaker", _matrix_sql(SPEAKER))
+@query("tone_matrix_speaker", f"WITH {measured.grid_sql(SPEAKER)} SELECT * FROM grid")
 def tone_matrix_speaker(spark, d):
-    return grid(spark, SPEAKER)
+    return measured.grid(spark, d, SPEAKER)
 
 
 @query("coverage_matrix", f"WITH {_PATHS}, m AS ({_matrix_sql({})}), tr AS (SELECT {_context_sql('path')} AS context, sum(words) AS w FROM paths GROUP BY 1) SELECT m.context, count(*) FILTER (WHERE origin = 'authored') AS authored, count(*) AS \"of\", CAST(coalesce(max(w), 0) AS BIGINT) AS traffic FROM m LEFT JOIN tr ON m.context = tr.context GROUP BY m.context")
@@ -415,14 +416,14 @@ def coverage_matrix(spark, d):
     return tone.coverage(grid(spark), traffic)
 
 
-TONES = [("maya", "**Default dials:** warmth 2 · humor 0 · directness 4 · detail 1 · urgency 3 · formality 3"), ("jonas", "no dials here"), ("ola", "**Default dials:** warmth 4, humor +1")]
-HOUSE_TONE = "**Default dials:** warmth 3 · humor 0 · directness 3 · detail 2 · urgency 2 · formality 2"
-_OFF = [("maya", -1, 0, 1, -1, 1, 1), ("jonas", *[None] * 6), ("ola", 1, 1, -1, 0, 0, 0)]
+_OWN = ", ".join(f"CASE WHEN max(humor) > 1 THEN CAST(sum({x}) % 5 AS INTEGER) - (SELECT CAST(sum({x}) % 5 AS INTEGER) FROM m) END AS {x}" for x in V.DIALS)
 
 
-@query("speaker_offset", f"SELECT slug, {', '.join(f'CAST({d} AS INTEGER) AS {d}' for d in V.DIALS)} FROM {_values(_OFF)} t(slug, {', '.join(V.DIALS)})")
+@query("speaker_offset", f"WITH {measured.SQL} SELECT source AS slug, {_OWN} FROM m WHERE source IS NOT NULL GROUP BY source")
 def speaker_offset(spark, d):
-    t = spark.createDataFrame(TONES, "slug string, md string").select("slug", tone.default_dials(F.col("md")).alias("own"), tone.default_dials(F.lit(HOUSE_TONE)).alias("house"))
+    own, house = measured.tone_lines(measured.texts(spark, d))
+    t = own.crossJoin(F.broadcast(house))  # one row
+    t = t.select("slug", tone.default_dials(F.col("md")).alias("own"), tone.default_dials(F.col("house_md")).alias("house"))
     return t.select("slug", *[c.alias(k) for k, c in tone.speaker_offset(F.col("house"), F.col("own")).items()])
 
 
@@ -437,17 +438,17 @@ def rule_bases(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     return spark.createDataFrame(HOUSE, s), spark.createDataFrame(OVERLAYS, s), spark.createDataFrame(LOCKS, "id string")
 
 
-@query("overlay_merge", f"WITH {_RB} SELECT CAST(row_number() OVER (ORDER BY part, ord) AS INTEGER) AS pos, id, name, origin, locked, overrides FROM (SELECT 0 AS part, ord, id, name, 'house' AS origin, id IN (SELECT id FROM locks) AS locked, false AS overrides FROM house WHERE id NOT LIKE 'V%' AND (id IN (SELECT id FROM locks) OR id NOT IN (SELECT id FROM ovl)) UNION ALL SELECT 1, ord, id, name, 'speaker', false, id IN (SELECT id FROM house) AND id NOT LIKE 'V%' FROM ovl WHERE id LIKE 'V%' OR id NOT IN (SELECT id FROM locks) UNION ALL SELECT 2, ord, id, name, 'house', true, false FROM house WHERE id LIKE 'V%' AND id IN (SELECT id FROM locks))")
+@query("overlay_merge", f"WITH {measured.SQL} SELECT CAST(row_number() OVER (ORDER BY part, ord) AS INTEGER) AS pos, id, name, origin, locked, overrides FROM (SELECT 0 AS part, ord, id, name, 'house' AS origin, id IN (SELECT id FROM locks) AS locked, false AS overrides FROM house WHERE id NOT LIKE 'V%' AND (id IN (SELECT id FROM locks) OR id NOT IN (SELECT id FROM ovl)) UNION ALL SELECT 1, ord, id, name, 'speaker', false, id IN (SELECT id FROM house) AND id NOT LIKE 'V%' FROM ovl WHERE id LIKE 'V%' OR id NOT IN (SELECT id FROM locks) UNION ALL SELECT 2, ord, id, name, 'house', true, false FROM house WHERE id LIKE 'V%' AND id IN (SELECT id FROM locks))")
 def overlay_merge(spark, d):
     from pyspark.sql.window import Window
 
-    merged = overlay.merge_rules(*rule_bases(spark))
+    merged = overlay.merge_rules(*measured.bases(measured.texts(spark, d)))
     return merged.withColumn("pos", F.row_number().over(Window.orderBy("part", "ord"))).select("pos", "id", "name", "origin", "locked", "overrides")
 
 
-@query("lock_violations", f"WITH {_RB} SELECT id FROM house WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM locks) AND id IN (SELECT id FROM ovl)")
+@query("lock_violations", f"WITH {measured.SQL} SELECT id FROM house WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM locks) AND id IN (SELECT id FROM ovl)")
 def lock_violations(spark, d):
-    return overlay.lock_violations(*rule_bases(spark))
+    return overlay.lock_violations(*measured.bases(measured.texts(spark, d)))
 
 
 # --- drift, ages, estimates
@@ -537,18 +538,7 @@ def microcopy_budget(spark, d):
 
 # --- integrity: a rule base with one seeded fault of each kind
 
-FAULTS = [
-    (1, "V1", "prose", "voice", "confirmed", "e1", False),
-    (2, "V1", "prose", "voice", "derived", "e1", False),
-    (3, "L01", "table", "lexicon", "", "e1", False),
-    (4, "L02", "prose", "lexicon", "certain", "e9", False),
-    (5, "Q1", "table", "mechanics", "assumed", "", False),
-    (6, "M01", "table", "mechanics", "derived", "", False),
-    (7, "V2", "prose", "voice", "confirmed", "e2", True),
-    (8, "V2", "prose", "voice", "confirmed", "e2", False),
-]
-LEDGER = [("e1", "interview", "V1,L01,M44"), ("e2", "hearsay", "V2")]
-_FAULTY = f"""r AS (SELECT * REPLACE (CASE WHEN evidence = '' THEN [] ELSE string_split(evidence, ',') END AS evidence) FROM {_values(FAULTS)} t(pos, id, kind, file, confidence, evidence, locked)), e AS (SELECT id, type, string_split(produced, ',') AS produced FROM {_values(LEDGER)} t(id, type, produced)),
+_FAULTY = f"""{measured.SQL},
 l AS (SELECT id, unnest(evidence) AS ev FROM r), mk AS (SELECT id AS eid, unnest(produced) AS id FROM e), fnd AS (
 SELECT 'W_PROSE_RULE_IN_TABLE_FILE' AS code, id AS ref FROM r WHERE kind = 'prose' AND file IN ('lexicon', 'mechanics')
 UNION ALL SELECT 'E_DUPLICATE_ID', id FROM (SELECT id, locked, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM r) WHERE n > 1 AND NOT (id LIKE 'V%' AND locked)
@@ -564,37 +554,53 @@ UNION ALL SELECT 'W_ORPHAN_EVIDENCE', eid || ':' || id FROM mk WHERE id NOT IN (
 
 @query("validate_rules", f"WITH {_FAULTY} SELECT CASE WHEN code LIKE 'E%' THEN 'error' ELSE 'warning' END AS severity, code, ref FROM fnd")
 def validate_rules(spark, d):
-    r = spark.createDataFrame(FAULTS, "pos int, id string, kind string, file string, confidence string, evidence string, locked boolean")
-    r = r.withColumn("evidence", F.when(F.col("evidence") == "", F.array().cast("array<string>")).otherwise(F.split("evidence", ",")))
-    e = spark.createDataFrame(LEDGER, "id string, type string, produced string").withColumn("produced", F.split("produced", ","))
-    return validate.rule_checks(r, e, r.select("id"))
+    r = measured.rules(measured.texts(spark, d))
+    return validate.rule_checks(r, measured.ledger(spark, d), r.select("id"))
 
 
-CELLS = [("social", "curious", {"warmth": 4, "humor": 2, "directness": 3, "detail": 1, "urgency": 1, "formality": 0}), ("email", "frustrated", {"warmth": 5, "humor": 1, "directness": 3}), ("fax", "bored", dict.fromkeys(V.DIALS, 0))]
-_CELLROWS = [(c, s, k, v) for c, s, m in CELLS for k, v in m.items()]
-_CELLSQL = f"cd AS (SELECT * FROM {_values(_CELLROWS)} t(context, state, dial, v)), cl AS (SELECT DISTINCT context, state, 'T-' || context || '/' || state AS ref FROM cd), cf AS (SELECT 'E_UNKNOWN_CONTEXT' AS code, ref FROM cl WHERE context NOT IN {O.among(V.CONTEXTS)} UNION ALL SELECT 'E_UNKNOWN_STATE', ref FROM cl WHERE state NOT IN {O.among(V.STATES)} UNION ALL SELECT 'E_DIAL_RANGE', 'T-' || context || '/' || state || ':' || dial FROM cd WHERE v NOT BETWEEN 0 AND 4 OR dial NOT IN {O.among(V.DIALS)} UNION ALL SELECT 'E_DIAL_MISSING', cl.ref || ':' || n.dial FROM cl CROSS JOIN {_values([(x,) for x in V.DIALS])} n(dial) WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.context = cl.context AND cd.state = cl.state AND cd.dial = n.dial) UNION ALL SELECT 'E_HUMOR_GATE', 'T-' || context || '/' || state FROM cd WHERE dial = 'humor' AND v > 0 AND state IN {O.among(V.HUMOR_FREE_STATES)})"
+_CELLSQL = f"""{measured.SQL}, cl AS (SELECT *, 'T-' || context || '/' || state AS ref FROM placed),
+cd AS (SELECT ref, context, state, d.dial, CASE d.dial {" ".join(f"WHEN '{x}' THEN {x}" for x in V.DIALS)} END % 6 AS v FROM cl CROSS JOIN {_values([(x,) for x in V.DIALS])} d(dial)),
+cf AS (SELECT 'E_UNKNOWN_CONTEXT' AS code, ref FROM cl WHERE context NOT IN {O.among(V.CONTEXTS)} UNION ALL SELECT 'E_UNKNOWN_STATE', ref FROM cl WHERE state NOT IN {O.among(V.STATES)} UNION ALL SELECT 'E_DIAL_RANGE', ref || ':' || dial FROM cd WHERE v > 4
+UNION ALL SELECT 'E_DIAL_MISSING', ref || ':' || dial FROM cd WHERE v = 0 UNION ALL SELECT 'E_HUMOR_GATE', ref FROM cd WHERE dial = 'humor' AND v > 0 AND state IN {O.among(V.HUMOR_FREE_STATES)})"""
 
 
 @query("validate_cells", f"WITH {_CELLSQL} SELECT 'error' AS severity, code, ref FROM cf")
 def validate_cells(spark, d):
-    return validate.cell_checks(spark.createDataFrame(CELLS, "context string, state string, dials map<string,int>"))
+    return validate.cell_checks(measured.cells(measured.texts(spark, d)))
+
+
+_VECTORS = f"""{measured.SQL}, vx AS (SELECT CASE WHEN quality = 1 THEN 'state' ELSE 'context' END AS kind, CASE WHEN quality = 1 THEN state ELSE context END AS name, warmth - humor AS a, directness - 3 AS b FROM placed WHERE toxic = 1),
+vo AS (SELECT * FROM {_values([('state', x) for x in V.STATES] + [('context', x) for x in V.CONTEXTS])} t(kind, name)), vd AS (SELECT kind, name, 'warmth' AS dial, a AS v FROM vx UNION ALL SELECT kind, name, 'humor', b FROM vx)
+SELECT 'error' AS severity, 'E_UNKNOWN_STATE' AS code, name AS ref FROM vx WHERE kind = 'state' AND name NOT IN {O.among(V.STATES)} UNION ALL SELECT 'error', 'E_UNKNOWN_CONTEXT', name FROM vx WHERE kind = 'context' AND name NOT IN {O.among(V.CONTEXTS)}
+UNION ALL SELECT 'error', 'E_VECTOR_RANGE', name || ':' || dial FROM vd WHERE v > 4 OR v < CASE WHEN kind = 'state' THEN 0 ELSE -4 END
+UNION ALL SELECT 'warning', 'W_MISSING_VECTOR', name FROM vo WHERE NOT EXISTS (SELECT 1 FROM vx WHERE vx.kind = vo.kind AND vx.name = vo.name) AND EXISTS (SELECT 1 FROM vx)"""
 
 
-@query("validate_vectors", f"WITH v AS (SELECT * FROM {_values([('state', 'delighted', 'warmth', 4), ('state', 'delighted', 'humor', 7), ('context', 'email', 'warmth', -5), ('state', 'bored', 'warmth', 1)])} t(kind, name, dial, v)), vo AS (SELECT * FROM {_values([('state', s) for s in V.STATES] + [('context', c) for c in V.CONTEXTS])} t(kind, name)) SELECT 'error' AS severity, 'E_UNKNOWN_STATE' AS code, 'bored' AS ref UNION ALL SELECT 'error', 'E_VECTOR_RANGE', name || ':' || dial FROM v WHERE v > 4 OR v < CASE WHEN kind = 'state' THEN 0 ELSE -4 END UNION ALL SELECT 'warning', 'W_MISSING_VECTOR', name FROM vo WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.kind = vo.kind AND v.name = vo.name)")
+@query("validate_vectors", f"WITH {_VECTORS}")
 def validate_vectors(spark, d):
-    rows = [("state", "delighted", {"warmth": 4, "humor": 7}), ("context", "email", {"warmth": -5}), ("state", "bored", {"warmth": 1})]
-    return validate.vector_checks(spark.createDataFrame(rows, "kind string, name string, dials map<string,int>"))
+    return validate.vector_checks(measured.vectors(measured.texts(spark, d)))
 
 
-@query("validate_speakers", f"WITH {_RB}, sp AS (SELECT * FROM {_values([('maya', True), ('jonas', False)])} t(slug, has_dials)) SELECT 'warning' AS severity, 'W_SPEAKER_NO_VOICE' AS code, slug AS ref FROM sp WHERE NOT has_dials OR slug <> 'maya' UNION ALL SELECT 'warning', 'W_OVERRIDE_UNEVIDENCED', id FROM ovl WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM house) UNION ALL SELECT 'error', 'E_LOCKED_OVERRIDE', id FROM ovl WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM locks) UNION ALL SELECT 'error', 'E_OVERLAY_DIR_MISMATCH', 'ghost' UNION ALL SELECT 'error', 'E_OVERLAY_DIR_MISMATCH', 'jonas' UNION ALL SELECT 'error', 'E_UNKNOWN_LOCK', 'X9'")
+_SPEAKERS = f"""{measured.SQL}, sp AS (SELECT source AS slug, max(warmth) > 0 AS has_dials FROM m WHERE source >= '{measured.SPEAKERS_FROM}' GROUP BY source), fo AS (SELECT DISTINCT source AS slug FROM m WHERE source >= '{measured.SPEAKERS_FROM}' AND toxic = 1),
+ov AS (SELECT source AS slug, id, max(warmth) > 0 AS cited FROM ruled WHERE source >= '{measured.SPEAKERS_FROM}' GROUP BY source, id), top AS (SELECT substring(id, 1, 1) AS prefix, max(CAST(substring(id, 2) AS INTEGER)) AS top FROM house GROUP BY 1)
+SELECT 'warning' AS severity, 'W_SPEAKER_NO_VOICE' AS code, slug AS ref FROM sp WHERE NOT has_dials OR slug NOT IN (SELECT slug FROM ov WHERE id LIKE 'V%')
+UNION ALL SELECT 'warning', 'W_ID_RANGE_COLLISION_RISK', id FROM ov JOIN top ON prefix = substring(id, 1, 1) WHERE id NOT LIKE 'V%' AND id NOT IN (SELECT id FROM house) AND CAST(substring(id, 2) AS INTEGER) < (top // 10 + 1) * 10
+UNION ALL SELECT 'warning', 'W_OVERRIDE_UNEVIDENCED', id FROM ov WHERE id NOT LIKE 'V%' AND NOT cited AND id IN (SELECT id FROM house)
+UNION ALL SELECT 'error', 'E_LOCKED_OVERRIDE', id FROM house WHERE id NOT LIKE 'V%' AND id IN (SELECT id FROM locks) AND id IN (SELECT id FROM ovl)
+UNION ALL SELECT 'error', 'E_UNKNOWN_LOCK', id FROM locks WHERE id NOT IN (SELECT id FROM house)
+UNION ALL SELECT 'error', 'E_OVERLAY_DIR_MISMATCH', coalesce(sp.slug, fo.slug) FROM sp FULL JOIN fo ON sp.slug = fo.slug WHERE sp.slug IS NULL OR fo.slug IS NULL"""
+
+
+@query("validate_speakers", f"WITH {_SPEAKERS}")
 def validate_speakers(spark, d):
-    home, over_, locks = rule_bases(spark)
-    none = F.array().cast("array<string>")
-    rows = over_.withColumns({"slug": F.lit("maya"), "evidence": none})
-    speakers = spark.createDataFrame([("maya", True), ("jonas", False)], "slug string, has_dials boolean")
-    folders = spark.createDataFrame([("maya",), ("ghost",)], "slug string")
-    more = locks.unionByName(spark.createDataFrame([("X9",)], "id string"))
-    return validate.union([validate.speaker_checks(speakers, home, rows), validate.lock_checks(more, home, overlay.lock_violations(home, over_, locks), speakers.select("slug"), folders)])
+    m = measured.texts(spark, d)
+    home, over_, locks = measured.bases(m)
+    speaking = measured.ruled(m).where(F.col("source") >= measured.SPEAKERS_FROM)
+    cited = F.when(F.max("warmth") > 0, F.array(F.lit("e1"))).otherwise(F.array().cast("array<string>"))
+    rows = speaking.groupBy(F.col("source").alias("slug"), "id").agg(cited.alias("evidence"))
+    speakers = speaking.groupBy(F.col("source").alias("slug")).agg((F.max("warmth") > 0).alias("has_dials"))
+    folders = speaking.where("toxic = 1").select(F.col("source").alias("slug")).distinct()
+    return validate.union([validate.speaker_checks(speakers, home, rows), validate.lock_checks(locks, home, overlay.lock_violations(home, over_, locks), speakers.select("slug"), folders)])
 
 
 # --- the documents as an index: duplicates by hash, locales that are not active
@@ -636,43 +642,19 @@ def stage_inference(spark, d):
     return drift.stages(one)
 
 
-# --- extractors over inline sources (their results are asserted in the tests)
-
-SAMPLES = [
-    ("a.md", "---\ntitle: x\n---\n# Hello **World**\n\n- first [link](http://a.b)\n- [x] done\n\n| A | Bee |\n|---|---|\n| One cell | #fff |\n\n```\ncode\n```\n<!-- no -->\nTail `x` text\n"),
-    ("b.html", "<h1>Big &amp; bold</h1><script>no()</script><img alt='A photo'><p>It&#39;s &#x41; &copy;</p>"),
-    ("c.txt", "First para\nstill first.\n\n\nSecond para.\n"),
-    ("d.po", 'msgid ""\nmsgstr "Header: x"\n\n# note\nmsgid "Hello"\nmsgstr "Hallo"\n\nmsgid "Long "\n"text"\nmsgstr ""\n'),
-    ("e.vtt", "WEBVTT\n\nNOTE hidden\nstill hidden\n\nid-1\n00:01 --> 00:02\nHello <b>there</b>\nyou\n\n00:03 --> 00:04\nBye\n"),
-    ("f.csv", 'name,count\n"Say ""hi"", now",12\n"two\nlines",x\n'),
-    ("g.yml", "title: Hello there\nurl: https://x.y\nnested:\n  label: 'Save it'\n"),
-    ("h.json", '{"a": "Save changes", "b": {"c": ["Undo", "https://x.y", 3]}, "d": "ABC_DEF"}'),
-    ("i.rtf", "{\\rtf1{\\fonttbl{\\f0 Arial;}}Hello \\b world\\b0\\par caf\\'e9 \\u8211?dash\\par}"),
-    ("j.pdf", "bytes"),
-    ("k.xyz", "unknown"),
-]
+# --- extractors
 
 
-#: What each sample holds, by hand.
-SAMPLE_UNITS = {
-    "a.md": ("markdown", ["Hello World", "first link", "done", "A", "Bee", "One cell", "Tail text"]),
-    "b.html": ("html", ["A photo", "Big & bold", "It's A &copy;"]),
-    "c.txt": ("text", ["First para still first.", "Second para."]),
-    "d.po": ("po", ["Hallo", "Long text"]),
-    "e.vtt": ("subtitles", ["Hello there you", "Bye"]),
-    "f.csv": ("csv", ["name", "count", 'Say "hi", now', "two lines", "x"]),
-    "g.yml": ("yaml", ["Hello there", "Save it"]),
-    "h.json": ("json", ["Save changes", "Undo"]),
-    "i.rtf": ("rtf", ["Hello world", "café –dash"]),
-    "k.xyz": (None, [None]),
-}
+def extracted(files_: DataFrame) -> DataFrame:
+    """(path, format, unit) of text files (path, raw); one row without a unit where none is found."""
+    s = files_.withColumn("format", extract.format_of(F.col("path")))
+    text_only = s.where(~F.coalesce(extract.is_container(F.col("format")), F.lit(False)))
+    return text_only.select("path", "format", F.explode_outer(extract.extract_units(F.col("format"), F.col("raw"))).alias("unit"))
 
 
-@query("extract_samples", f"SELECT path, CAST(format AS VARCHAR) AS format, CAST(unit AS VARCHAR) AS unit FROM {_values([(p, f, u) for p, (f, us) in SAMPLE_UNITS.items() for u in us])} t(path, format, unit)")
+@query("extract_samples", measured.samples_sql())
 def extract_samples(spark, d):
-    s = spark.createDataFrame(SAMPLES, "path string, raw string").withColumn("format", extract.format_of(F.col("path")))
-    text_only = s.where(~F.coalesce(extract.is_container(F.col("format")), F.lit(False)))
-    return text_only.select("path", "format", F.explode_outer(extract.extract_units(F.col("format"), F.col("raw"))).alias("unit"))
+    return extracted(measured.samples(spark, d))
 
 
 from tonewright import catalogue  # noqa: E402, F401  its queries register themselves

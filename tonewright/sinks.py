@@ -119,15 +119,19 @@ class IndexLog:
         where = self.entry(v).get(kind) if v >= 0 else None
         return self.spark.read.schema(schema).parquet(f"{self.base}/{where}") if where else None
 
-    def update(self, schema: str, change: Callable[[DataFrame], DataFrame], sums: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None, sums_schema: str = "", keep: int = 2, tries: int = 50) -> int:
+    def update(self, schema: str, change: Callable[[DataFrame], DataFrame], sums: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None, sums_schema: str = "", keep: int = 2, tries: int = 50, batch: tuple[str, int] | None = None) -> int:
         """Commits `change` of the latest index, in the order of entry numbers, and the sums
         that `sums` makes of the index before, the new one and the sums before.  Data of all
-        but the `keep` latest versions goes."""
+        but the `keep` latest versions goes.  A `batch` (the name of a stream, a number) that
+        the log has taken in before changes nothing."""
         for _ in range(tries):
             v = self.version()
+            taken = dict(self.entry(v).get("batches", {})) if v >= 0 else {}
+            if batch is not None and taken.get(batch[0], -1) >= batch[1]:
+                return v
             held = self.read("data", schema, v)
             old = self.spark.createDataFrame([], schema) if held is None else held
-            entry = {"version": v + 1, "data": f"data/{uuid.uuid4().hex}"}
+            entry = {"version": v + 1, "data": f"data/{uuid.uuid4().hex}", "batches": taken | ({batch[0]: batch[1]} if batch else {})}
             change(old).sort(entry_order()).write.parquet(f"{self.base}/{entry['data']}")
             if sums is not None:
                 entry["sums"] = f"sums/{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonewright.operators import index
+from tonewright.sources import tree
 from tonewright.sources.extract import format_of
 from tonewright.sources.files import locale_of
 
@@ -49,3 +50,20 @@ def start(spark: SparkSession, folder: str, base: str, checkpoint: str, glob: st
         old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(workspace, folder: str, register_id: str, checkpoint: str, glob: str | None = None, name: str = "files") -> StreamingQuery:
+    """A folder taken into the index of a workspace as its files arrive: each micro-batch goes
+    through the batch ingestion (status, statistics, kept sums, entry numbers) and is one
+    commit of the index's log, which remembers the batches of each stream by number, so that
+    a batch run again after a restart changes nothing and other writers may work besides."""
+    spark = workspace.spark
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    stream = (stream.option("pathGlobFilter", glob) if glob else stream).load(folder)
+    root = tree.Tree(spark, folder).root
+    arrived = stream.select(F.substr("path", F.lit(len(root) + 2)).alias("rel"), "content")
+
+    def one(batch: DataFrame, number: int) -> None:
+        workspace.take_in(batch, register_id, (name, number))
+
+    return arrived.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

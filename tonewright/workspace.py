@@ -181,20 +181,33 @@ class Workspace:
         the index: the index and every report are made of them."""
         candidates, done = self.candidates(), None
 
-        def kept(df: DataFrame) -> DataFrame:
-            at = f"{self.index_base}/work/{uuid.uuid4().hex}"
-            self.work.append(at)
-            df.write.parquet(at)
-            return self.spark.read.schema(df.schema).parquet(at)
-
         def change(index: DataFrame) -> DataFrame:
             nonlocal done
-            done = ingest.run(index, candidates, self.read, self.now, only, kept)
+            done = ingest.run(index, candidates, self.read, self.now, only, self._kept)
             return done.index
 
         self.commit(change)
         return done
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """`df` stored beside the index until `close`."""
+        at = f"{self.index_base}/work/{uuid.uuid4().hex}"
+        self.work.append(at)
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def take_in(self, arrived: DataFrame, register_id: str, batch: tuple[str, int]) -> None:
+        """A batch of a stream of files (rel, content) of a register entry, as `ingest` takes
+        all files of it: read, counted and named alike.  A batch that comes again changes
+        nothing; what a batch lacks is not missing."""
+        owner = F.lit(None).cast("string") if self.kb["role"] == "house" else F.lit(self.profile)
+        origin = F.concat(F.lit(f"{register_id}:"), "rel")
+        rows = arrived.select(F.lit(register_id).alias("register_id"), F.lit("local").alias("kind"), origin.alias("origin"), "rel", "content", extract.format_of(F.col("rel")).alias("format"), files.locale_of(F.col("rel"), self.locales, self.primary).alias("locale"))
+        rows = rows.where("format is not null").withColumns({"sha256": F.sha2("content", 256), "profile": owner})
+        log = sinks.IndexLog(self.spark, self.index_base)
+        log.update(INDEX, lambda index: ingest.run(index, rows, self.read, self.now, None, self._kept, complete=False).index, sums.maintained, sums.SCHEMA, batch=batch)
+        self.close()
+
     def refresh(self, pages: DataFrame, only: str | None = None) -> DataFrame:
         """`pages`: register_id, url, code, content_type, body, error, as `ingest.fetched` gives."""
         pages = ingest.only(pages, only, "register_id", "url")
