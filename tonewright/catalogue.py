@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tonewright import measured
 from tonewright import oracle as O
 from tonewright.functions import vocab as V
-from tonewright.operators import collect, diff, drift, index, ingest, lints, rules
+from tonewright.operators import collect, diff, drift, gaps, index, ingest, lints, rules
 from tonewright.queries import _CLASS, _HITS, _IDX, _PAIRS, _values, counted_rules, draft_pairs, index_and_resolved, query, table
 
 LANGS = ("en", "de", "fr", "es", "cs")
@@ -175,3 +175,14 @@ _W = lambda t: f"CAST(len({O.words(t)}) AS BIGINT)"
 def word_diff_identity(spark, d):
     """The words of a draft are those removed and kept, of a final those added and kept."""
     return diff.diff(draft_pairs(spark, d)).select("conv_id", "turn", (F.col("unchanged") + F.col("removed")).alias("before_words"), (F.col("unchanged") + F.col("added")).alias("after_words"))
+
+
+@query("gaps_by_source", measured.gaps_sql(gaps.DETECTORS))
+def gaps_by_source(spark, d):
+    """Every detector over the state of every source, as measured from its texts."""
+    return gaps.detect(measured.states(measured.texts(spark, d)), "source").select("source", "id", "severity", "leverage")
+
+
+@query("stages_by_source", measured.stages_sql())
+def stages_by_source(spark, d):
+    return drift.stages(measured.stages(measured.texts(spark, d)))

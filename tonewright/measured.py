@@ -147,3 +147,83 @@ def samples_sql() -> str:
     kinds = {"md": "markdown", "html": "html", "txt": "text", "po": "po", "vtt": "subtitles", "csv": "csv", "tsv": "tsv", "yml": "yaml", "json": "json", "rtf": "rtf"}
     rows = ", ".join(f"('{x}', '{f}')" for x, f in kinds.items())
     return f"SELECT name || '.' || x AS path, f AS format, w AS unit FROM (SELECT conv_id || '-' || turn AS name, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) AS w FROM conversations) CROSS JOIN (VALUES {rows}) k(x, f) WHERE len(string_split(w, ' ')) >= 3"
+
+
+# --- the state of a profile: every source is one, its languages are its speakers
+
+LANGS = ("en", "de", "fr", "es")
+
+
+def _count(condition: str) -> tuple[str, str]:
+    """A count, in Spark's SQL and in DuckDB's (one text for both)."""
+    return (f"count_if({condition})",) * 2
+
+
+def _names(tests: dict[str, str]) -> tuple[str, str]:
+    """The names whose test over the group holds."""
+    each = ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in tests.items())
+    return f"array_compact(array({each}))", f"list_filter([{each}], lambda x: x IS NOT NULL)"
+
+
+def _of_lang(test: str) -> tuple[str, str]:
+    return _names({x: test.replace("LANG", f"lang = '{x}'") for x in LANGS})
+
+
+STATE = {
+    "exists": ("count_if(warmth > 0) > 0",) * 2,
+    "errors": _count("toxic = 1"),
+    "unbaselined": _of_lang("count_if(LANG) < 5"),
+    "never_ingested": _count("quality IS NULL AND lang = 'es' AND n < 200"),
+    "rules": _count("directness > 0"),
+    "assumed": _count("directness > 0 AND warmth = 0"),
+    "bare_contexts": _names({c: f"count_if(context = '{c}') = 0" for c in V.CONTEXTS}),
+    "stale_card_inputs": _names({"voice": "min(n) < 60", "tone": "max(n) > 15000"}),
+    "manifest_checked": ("max(n) > 3000",) * 2,
+    "manifest_changed": _count("n < 20"),
+    "flagged_metrics": _count("formality = 0 AND n > 2000"),
+    "disputed": _count("toxic = 1 AND quality = 1"),
+    "freshness_checked": ("count_if(lang = 'de') > 1",) * 2,
+    "stale_sources": ("count(text) - count(DISTINCT text)",) * 2,
+    "locales_without_pack": _names({"es": "count_if(lang = 'es') > 5"}),
+    "drafts": _count("detail > 200"),
+    "stale_extractors": _count("urgency > 100"),
+    "no_evidence": _count("formality = 0 AND lang = 'en' AND n > 500"),
+    "card_tokens": ("CAST(floor(sum(n) / 100) AS BIGINT)",) * 2,
+    "voiceless_speakers": _of_lang("count_if(LANG) > 0 AND count_if(LANG AND humor > 0) = 0"),
+    "unbaselined_speakers": _of_lang("count_if(LANG) = 3"),
+    "uningested_speakers": _of_lang("count_if(LANG AND toxic = 1) > 1"),
+    "stale_speaker_cards": _of_lang("count_if(LANG AND n > 9000) > 0"),
+    "speakers": ("count(DISTINCT lang)",) * 2,
+    "locks": _count("toxic = 1 AND lang = 'en'"),
+}
+STAGES = {"scan": "count(*) > 0", "ingest": "count(quality) > 0", "measure": "count_if(toxic = 1) > 0", "draft": "max(n) > 9000", "interview": "count_if(warmth > 0) > 2", "canonize": "min(n) > 300"}
+
+
+def states(m: DataFrame) -> DataFrame:
+    """A row of the state per source."""
+    return placed(m).where("source is not null").groupBy("source").agg(*[F.expr(spark_sql).alias(k) for k, (spark_sql, _) in STATE.items()])
+
+
+def stages(m: DataFrame) -> DataFrame:
+    return m.where("source is not null").groupBy("source").agg(*[F.expr(x).alias(k) for k, x in STAGES.items()])
+
+
+def gaps_sql(detectors) -> str:
+    """(source, id, severity, leverage) of every gap, each detector written out again."""
+    some, over = (lambda c: f"len({c}) > 0"), (lambda c, n=0: f"{c} > {n}")
+    tests = {
+        "G02": over("errors"), "G03": some("unbaselined"), "G04": over("never_ingested"), "G05": "rules > 0 AND assumed = rules", "G06": some("bare_contexts"), "G07": some("stale_card_inputs"), "G08": "NOT manifest_checked OR manifest_changed > 0",
+        "G09": over("flagged_metrics"), "G10": over("disputed"), "G11": "freshness_checked AND stale_sources > 0", "G12": some("locales_without_pack"), "G13": over("drafts"), "G14": over("stale_extractors"), "G15": over("no_evidence"), "G16": over("card_tokens", 900),
+        "G17": some("voiceless_speakers"), "G18": some("unbaselined_speakers"), "G19": some("uningested_speakers"), "G20": some("stale_speaker_cards"), "G21": "speakers > 0 AND locks = 0",
+    }
+    grades = {i: (s, n) for i, s, n, *_ in detectors}
+    each = " UNION ALL ".join(f"SELECT source, '{i}', '{grades[i][0]}', {grades[i][1]} FROM st WHERE \"exists\" AND ({t})" for i, t in tests.items())
+    state = ", ".join(f'{duck} AS "{k}"' for k, (_, duck) in STATE.items())
+    return f"WITH {SQL}, st AS (SELECT source, {state} FROM placed WHERE source IS NOT NULL GROUP BY source) SELECT source, 'G01' AS id, 'blocker' AS severity, 5 AS leverage FROM st WHERE NOT \"exists\" UNION ALL {each}"
+
+
+def stages_sql() -> str:
+    """The furthest stage that a source has reached."""
+    each = ", ".join(f"{x} AS {k}" for k, x in STAGES.items())
+    last = " ".join(f"WHEN {k} THEN '{k}'" for k in reversed(STAGES))
+    return f'WITH {SQL}, st AS (SELECT source, {each} FROM m WHERE source IS NOT NULL GROUP BY source) SELECT *, CASE {last} END AS "at" FROM st'

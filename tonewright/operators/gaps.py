@@ -48,13 +48,13 @@ DETECTORS = [
 ]
 
 
-def detect(state: DataFrame) -> DataFrame:
-    """(profile columns pass) id, severity, leverage, what, fix; unordered."""
+def detect(state: DataFrame, *keep: str) -> DataFrame:
+    """`keep` (what names the profile), id, severity, leverage, what, fix; unordered."""
     here = F.coalesce("exists", F.lit(False))
     row = lambda i, s, n, w, f: F.struct(F.lit(i).alias("id"), F.lit(s).alias("severity"), F.lit(n).alias("leverage"), F.lit(w).alias("what"), F.lit(f).alias("fix"))
     first = F.when(~here, row("G01", "blocker", 5, "no knowledge base", "make one"))
     rest = [F.when(here & test(), row(i, s, n, w, f)) for i, s, n, test, w, f in DETECTORS]
-    return state.select(F.inline(F.filter(F.array(first, *rest), lambda x: x.isNotNull())))
+    return state.select(*keep, F.inline(F.filter(F.array(first, *rest), lambda x: x.isNotNull())))
 
 
 def ranked(gaps: DataFrame) -> DataFrame:
