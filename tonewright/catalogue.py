@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tonewright import measured
 from tonewright import oracle as O
 from tonewright.functions import vocab as V
-from tonewright.operators import collect, diff, drift, gaps, index, ingest, lints, rules
-from tonewright.queries import _CLASS, _HITS, _IDX, _PAIRS, _values, counted_rules, draft_pairs, index_and_resolved, query, table
+from tonewright.operators import collect, diff, drift, gaps, index, ingest, lints, quality_gate, rules
+from tonewright.queries import _CLASS, _GATE, _HITS, _IDX, _PAIRS, _values, counted_rules, draft_pairs, index_and_resolved, query, table
 
 LANGS = ("en", "de", "fr", "es", "cs")
 
@@ -186,3 +186,22 @@ def gaps_by_source(spark, d):
 @query("stages_by_source", measured.stages_sql())
 def stages_by_source(spark, d):
     return drift.stages(measured.stages(measured.texts(spark, d)))
+
+
+_FORMATS = {"en": "pdf", "de": "docx", "fr": "markdown"}
+_READ_TEXTS = f"texts AS (SELECT doc_id, lang AS locale, text, CASE lang {' '.join(f'WHEN {O.q(k)} THEN {O.q(v)}' for k, v in _FORMATS.items())} END AS format, CASE WHEN quality = 0 THEN 'model' ELSE 'script' END AS tier, CASE WHEN n > 0 THEN 1 - detail * 18.0 / n END AS recall FROM m)"
+_JUDGED = f"""WITH {measured.SQL}, {_READ_TEXTS}, {_GATE}, both_ AS (SELECT g.*, tier, {O.rounded('recall', 3)} AS glyph_recall, coalesce(format NOT IN {O.among(V.AUTHORED_FORMATS)}, true) OR tier = 'model' AS shape FROM gate g JOIN texts t ON t.doc_id = g.doc_id),
+last AS (SELECT *, list_filter([CASE WHEN tokens = 0 THEN 'empty' END, CASE WHEN shape AND tokens >= 10 AND long_token_share > 0.015 THEN 'longTokenShare' END, CASE WHEN shape AND tokens >= 10 AND single_share > 0.1 THEN 'singleShare' END, CASE WHEN repl_share > 0.005 THEN 'replShare' END, CASE WHEN glyph_recall < 0.5 THEN 'glyphRecall' END], lambda x: x IS NOT NULL) AS r FROM both_)
+SELECT doc_id, glyph_recall, array_to_string(r, ',') AS reasons, CASE WHEN len(r) = 0 THEN 'used' ELSE 'skipped' END AS status, CASE WHEN tier = 'model' THEN 'estimated' ELSE 'measured' END AS fidelity FROM last"""
+
+
+@query("quality_gate_read", _JUDGED)
+def quality_gate_read(spark, d):
+    """The gate over texts that readers gave: shapes are judged of what was extracted, not of what
+    was authored, unless a model read it; a reader's recall of glyphs is judged always."""
+    kind = F.lit(None).cast("string")
+    for lang, name in _FORMATS.items():
+        kind = F.when(F.col("lang") == lang, name).otherwise(kind)
+    t = measured.texts(spark, d).select("doc_id", F.col("lang").alias("locale"), "text", kind.alias("format"), F.when(F.col("quality") == 0, "model").otherwise("script").alias("tier"), F.when(F.col("n") > 0, 1 - F.col("detail") * 18.0 / F.col("n")).alias("recall"))
+    scored = quality_gate.status(quality_gate.score(t, fmt="format", tier="tier", glyph_recall="recall"), tier="tier")
+    return scored.select("doc_id", "glyph_recall", F.array_join("reasons", ",").alias("reasons"), "status", "fidelity")
