@@ -190,3 +190,18 @@ def test_entry_numbers_are_numbers(spark):
     new, _ = index.supersede(many, cls)
     ids = {r.entry_id for r in new.collect()}
     assert ids == {f"f{k}" for k in range(1200, 2399)}
+
+
+def test_learned_rules(spark):
+    rows = [
+        ("d1", "maya", "style", "use", "apply"), ("d1", "maya", "style", "use", "apply"), ("d2", "maya", "style", "use", "apply"),  # two drafts of one speaker
+        ("d1", "maya", "style", "big", "large"),  # once
+        ("d3", "jonas", "lexicon", "ok", "fine"),  # a swap is exempt
+        ("d1", "maya", "style", "leverage", "use"), ("d4", "jonas", "style", "leverage", "use"),  # a house rule, two speakers
+        ("d1", "maya", "style", "V2word", "x"), ("d2", "maya", "style", "V2word", "x"),  # locked
+        ("d1", "maya", "factual", "May", "June"), ("d2", "maya", "factual", "May", "June"),
+        ("d5", None, "style", "utilise", "use"), ("d6", None, "style", "utilise", "use"),
+    ]
+    made = spark.createDataFrame(rows, "draft string, profile string, class string, from_word string, to_word string")
+    house = spark.createDataFrame([("leverage", False), ("v2word", True), ("v2word", None)], "avoid string, locked boolean")
+    assert {tuple(r) for r in rules.learned(made, house).collect()} == {("use", "apply", "maya", 2, "proposed"), ("ok", "fine", "jonas", 1, "proposed"), ("leverage", "use", "house", 2, "proposed"), ("V2word", "x", "maya", 2, "locked"), ("utilise", "use", "house", 2, "proposed")}

@@ -135,6 +135,8 @@ def test_ingest_reads_once_and_keeps_sums(spark, tmp_path, monkeypatch):
     assert ws.fingerprint()["locales"]["en"]["word_count"] == sum(r.stats.words for r in ws.whole_index().collect())
     ws.close()
     assert not list((kb / "evidence/sources/work").iterdir())
+    other = W.Workspace(spark, str(tmp_path), str(kb), digest=lambda c: F.concat(F.lit("m:"), F.md5(c)))
+    assert all(r.sha256.startswith("m:") and r["class"] != "known" for r in other.check().collect())
 
 
 def test_a_file_that_changes_while_it_is_ingested_is_an_error(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonewright import measured
 from tonewright import oracle as O
+from tonewright.functions import text
 from tonewright.functions import vocab as V
 from tonewright.operators import collect, diff, drift, gaps, index, ingest, lints, quality_gate, rules
 from tonewright.queries import _CLASS, _GATE, _HITS, _IDX, _PAIRS, _values, counted_rules, draft_pairs, index_and_resolved, query, table
@@ -205,3 +206,21 @@ def quality_gate_read(spark, d):
     t = measured.texts(spark, d).select("doc_id", F.col("lang").alias("locale"), "text", kind.alias("format"), F.when(F.col("quality") == 0, "model").otherwise("script").alias("tier"), F.when(F.col("n") > 0, 1 - F.col("detail") * 18.0 / F.col("n")).alias("recall"))
     scored = quality_gate.status(quality_gate.score(t, fmt="format", tier="tier", glyph_recall="recall"), tier="tier")
     return scored.select("doc_id", "glyph_recall", F.array_join("reasons", ",").alias("reasons"), "status", "fidelity")
+
+
+_LEARNED = f"""WITH {_PAIRS}, sw AS (SELECT conv_id || '/' || turn AS draft, CASE WHEN length(draft) > 300 THEN 'maya' ELSE 'jonas' END AS profile, CASE WHEN length(final) > 900 THEN 'factual' WHEN length(final) < 60 THEN 'lexicon' ELSE 'style' END AS class, unnest(list_zip({O.words('lower(draft)')}, {O.words('lower(final)')})) AS p FROM pairs),
+c AS (SELECT draft, profile, class, p[1] AS a, p[2] AS b FROM sw WHERE p[1] <> p[2] AND class <> 'factual'), each_ AS (SELECT profile, a, b, count(DISTINCT draft) AS own, bool_or(class = 'lexicon') AS swap FROM c GROUP BY ALL),
+every_ AS (SELECT a, b, count(DISTINCT draft) AS n, count(DISTINCT profile) AS speakers FROM c GROUP BY ALL), known AS (SELECT lower({O.words('text')}[1]) AS avoid, bool_or(length(text) > 250) AS locked FROM benchmark GROUP BY 1),
+met AS (SELECT e.*, n, coalesce(locked, false) AS locked, avoid IS NOT NULL AND speakers >= 2 AND n >= 2 AS shared FROM each_ e JOIN every_ t ON t.a = e.a AND t.b = e.b LEFT JOIN known ON avoid = e.a)
+SELECT DISTINCT a AS from_word, b AS to_word, CASE WHEN shared THEN 'house' ELSE profile END AS scope, CASE WHEN shared THEN n ELSE own END AS drafts, CASE WHEN locked THEN 'locked' ELSE 'proposed' END AS outcome FROM met WHERE shared OR own >= 2 OR swap"""
+
+
+@query("learned_rules", _LEARNED)
+def learned_rules(spark, d):
+    """What the words that stand at one place of a draft and of its answer would propose."""
+    at = F.explode(F.arrays_zip(text.words(F.lower("draft")).alias("a"), text.words(F.lower("final")).alias("b")))
+    kind = F.when(F.length("final") > 900, "factual").when(F.length("final") < 60, "lexicon").otherwise("style")
+    swaps = draft_pairs(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("draft"), F.when(F.length("draft") > 300, "maya").otherwise("jonas").alias("profile"), kind.alias("class"), at.alias("p"))
+    made = swaps.select("draft", "profile", "class", F.col("p.a").alias("from_word"), F.col("p.b").alias("to_word")).where("from_word <> to_word")
+    house = table(spark, d, "benchmark").select(F.get(text.words(F.col("text")), 0).alias("avoid"), (F.length("text") > 250).alias("locked"))
+    return rules.learned(made, house)

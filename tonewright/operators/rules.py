@@ -122,6 +122,26 @@ def corroborated(swaps: DataFrame, least: int = V.THRESHOLDS["corroboration"]) -
     return swaps.groupBy("from_word", "to_word").agg(F.countDistinct("draft").alias("drafts")).where(F.col("drafts") >= least)
 
 
+def learned(corrections: DataFrame, house: DataFrame, least: int = V.THRESHOLDS["corroboration"]) -> DataFrame:
+    """What corrections (draft, profile, class, from_word, to_word) propose: from_word, to_word,
+    scope, drafts, outcome.
+
+    Factual corrections propose nothing.  A correction counts once a draft; `least` drafts of a
+    profile clear it, and one does for a swap of the lexicon.  A correction of a house rule
+    (`house`: avoid, locked) that drafts of two profiles or more make is proposed for the
+    house, else for its profile.  Of a locked rule nothing is proposed: its outcome is locked."""
+    c = corrections.where("class <> 'factual'").select("draft", F.coalesce("profile", F.lit("house")).alias("profile"), "class", "from_word", "to_word")
+    each = c.groupBy("profile", "from_word", "to_word").agg(F.countDistinct("draft").alias("own"), F.bool_or(F.col("class") == "lexicon").alias("swap"))
+    every = c.groupBy("from_word", "to_word").agg(F.countDistinct("draft").alias("all"), F.countDistinct("profile").alias("speakers"))
+    known = house.groupBy(F.lower("avoid").alias("avoid")).agg(F.bool_or(F.coalesce("locked", F.lit(False))).alias("locked"))
+    met = each.join(every, ["from_word", "to_word"]).join(known, F.lower("from_word") == F.col("avoid"), "left")
+    shared = F.col("avoid").isNotNull() & (F.col("speakers") >= 2) & (F.col("all") >= least)
+    met = met.withColumn("shared", shared).where(F.col("shared") | (F.col("own") >= least) | F.col("swap"))
+    return met.select(
+        "from_word", "to_word", F.when(F.col("shared"), "house").otherwise(F.col("profile")).alias("scope"), F.when(F.col("shared"), F.col("all")).otherwise(F.col("own")).alias("drafts"), F.when(F.coalesce("locked", F.lit(False)), "locked").otherwise("proposed").alias("outcome")
+    ).distinct()
+
+
 def health(counted: DataFrame, evidence: DataFrame, now: Column, stale_months: int = V.THRESHOLDS["stale_months"], kept: DataFrame | None = None, often: int = 2) -> DataFrame:
     """dead (never hit), stale (never hit and its newest evidence is old), overridden (its hits
     were kept `often` times or more; `kept`: id, times), disputed or live."""

@@ -11,7 +11,7 @@ import shutil
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright import sinks
@@ -30,7 +30,9 @@ INDEX = ingest.INDEX + f", stats {STATS}"
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str, kb: str, profile: str = "default", now: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, kb: str, profile: str = "default", now: str | None = None, digest: Callable[[Column], Column] = lambda content: F.sha2(content, 256)):
+        """`digest` is the identity of contents; one index is kept with one digest."""
+        self.digest = digest
         self.spark, self.root, self.base, self.profile = spark, os.path.abspath(root), os.path.abspath(kb), profile
         self.now = now or dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds").replace("+00:00", "Z")
         self.work: list[str] = []
@@ -155,7 +157,7 @@ class Workspace:
     def candidates(self) -> DataFrame:
         found, _ = self.resolved()
         owner = F.lit(None).cast("string") if self.kb["role"] == "house" else F.lit(self.profile)
-        return ingest.ingestible(found.where("format is not null")).withColumns({"sha256": F.sha2("content", 256), "profile": owner})
+        return ingest.ingestible(found.where("format is not null")).withColumns({"sha256": self.digest(F.col("content")), "profile": owner})
 
     def check(self) -> DataFrame:
         return I.classify(self.whole_index(), self.candidates().drop("content"))
@@ -203,7 +205,7 @@ class Workspace:
         owner = F.lit(None).cast("string") if self.kb["role"] == "house" else F.lit(self.profile)
         origin = F.concat(F.lit(f"{register_id}:"), "rel")
         rows = arrived.select(F.lit(register_id).alias("register_id"), F.lit("local").alias("kind"), origin.alias("origin"), "rel", "content", extract.format_of(F.col("rel")).alias("format"), files.locale_of(F.col("rel"), self.locales, self.primary).alias("locale"))
-        rows = rows.where("format is not null").withColumns({"sha256": F.sha2("content", 256), "profile": owner})
+        rows = rows.where("format is not null").withColumns({"sha256": self.digest(F.col("content")), "profile": owner})
         log = sinks.IndexLog(self.spark, self.index_base)
         log.update(INDEX, lambda index: ingest.run(index, rows, self.read, self.now, None, self._kept, complete=False).index, sums.maintained, sums.SCHEMA, batch=batch)
         self.close()
@@ -213,7 +215,7 @@ class Workspace:
         pages = ingest.only(pages, only, "register_id", "url")
         read = ingest.page_status(pages, extract.html_units(F.coalesce("body", F.lit("")))).withColumns({"origin": F.col("url"), "content": F.encode(F.coalesce("body", F.lit("")), "UTF-8"), "format": F.lit("html"), "locale": F.lit(self.primary), "profile": F.lit(None).cast("string"), "kind": F.lit("url")})
         bad = read.where("note = 'unreadable'").select("register_id", "origin", F.lit("failed").alias("outcome"))
-        good = self.read(read.where("note <> 'unreadable'").withColumn("sha256", F.sha2("content", 256)).drop("note"))
+        good = self.read(read.where("note <> 'unreadable'").withColumn("sha256", self.digest(F.col("content"))).drop("note"))
         told = None
 
         def change(index: DataFrame) -> DataFrame:
