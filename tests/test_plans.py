@@ -65,8 +65,7 @@ def test_read_kb_and_card(tmp_path):
     kb = markdown.read_kb(str(tmp_path))
     assert kb["exists"] and [r["id"] for r in kb["rules"]] == ["V1", "L01"]
     card = report.card(kb, [{"id": "L01", "avoid": "leverage", "prefer": "use", "confidence": "derived"}], [])
-    assert "- Plainspoken" in report.to_ascii(card) or "Plainspoken (confirmed)" in card
-    assert "leverage -> use" in card
+    assert "- **Plainspoken** (`confirmed`)" in card and "| leverage | use | derived |" in card
 
 
 def test_report():
@@ -87,3 +86,34 @@ def test_stream(spark, tmp_path):
     ingest.start(spark, str(src), base, cp).awaitTermination()
     rows = {len(r.aliases) for r in ingest.read_index(spark, base, 1).collect()}
     assert ingest.read_index(spark, base, 1).count() == 2 and rows == {0, 1}
+
+
+def test_card_of_a_house(tmp_path):
+    """The whole card of a small base, line by line."""
+    (tmp_path / "evidence").mkdir()
+    (tmp_path / "config.yml").write_text("kb_version: 0.3.0\nprofiles:\n  default:\n    name: Acme\n    primary_locale: en\n    locales: [en]\n")
+    (tmp_path / "voice.md").write_text("# Voice\n\n### V1 · Plainspoken `confirmed` ev: e1\n**Means:** Clarity above all.\n**Rules out:** fluff, hype\n")
+    (tmp_path / "tone.md").write_text("# Tone\n\n**Default dials:** warmth 3 · humor 0 · directness 3 · detail 2 · urgency 2 · formality 2\n")
+    kb = markdown.read_kb(str(tmp_path)) | {"role": "house", "overrides": []}
+    got = report.card(kb, [{"id": "L01", "avoid": "leverage", "prefer": "use", "confidence": "confirmed"}], [], generated="2026-09-10T00:00:00.000Z").split("\n")
+    assert got == [
+        *report.CARD_HEAD,
+        "**Brand:** Acme · **Profile:** default · **Locales:** en · **KB version:** 0.3.0 · **Generated:** 2026-09-10T00:00:00.000Z", "",
+        "## Voice - constant", "", "- **Plainspoken** (`confirmed`) - Clarity above all.", "  - Rules out: fluff, hype", "",
+        "## Default dials", "", "warmth 3 · humor 0 · directness 3 · detail 2 · urgency 2 · formality 2", "",
+        "## Lexicon - most-violated first", "", "| Avoid | Prefer | Conf |", "|---|---|---|", "| leverage | use | confirmed |", "",
+        "## Mechanics - most-violated first", "", "_None yet._", "",
+        "## Humor gate", "", report.CARD_HUMOR, "These states force `humor 0` whatever the dials say: frustrated · anxious-at-risk · disappointed-leaving.", "",
+        "## Where to look next", "", "| Need | Load |", "|---|---|", "| A tone cell | `tone.md` - 0 authored of 80 |", "| A channel playbook | _none yet_ |", "| A locale pack | _none yet_ |", "| Who we write for | `audience.md` |", "| Why a rule exists | `evidence/ledger.md` |", "", "",
+    ]
+
+
+def test_card_of_a_speaker():
+    rule = lambda i, file, kind, cells, **more: {"id": i, "file": file, "kind": kind, "name": None, "confidence": "confirmed", "cells": cells, "locked": False} | more
+    rules = [rule("V9", "voice", "prose", {"Means": "x"}, name="Own"), rule("V1", "voice", "prose", {"Rules out": "hype. And more"}, name="Plain", locked=True), rule("L20", "lexicon", "table", {"Avoid": "game changer"}, locked=True), rule("L01", "lexicon", "table", {"Avoid": "a"}), rule("L3", "lexicon", "table", {"Avoid": "b"}, confidence="disputed", locked=True)]
+    kb = {"config": {"kb_version": "1.0.0", "profiles": {"default": {"name": "Acme"}, "maya": {"name": "Maya"}}}, "role": "speaker", "rules": rules, "cells": [], "overrides": ["L01"], "channels": ["blog", "social"], "locales": [], "default_dials": None}
+    got = report.card(kb, [], [], "maya", "now", {"channels": ["social"], "audience": True})
+    assert "**Brand:** Acme · **Speaker:** Maya (maya)" in got and "**Own**" in got and "**Plain**" not in got
+    assert "- **V1** Plain - rules out hype" in got and "- **L20** - game changer" in got and "L3" not in got
+    assert "Overrides: L01 (house rule replaced)" in got and "| A channel playbook | `channels/blog.md`, `profiles/maya/channels/social.md` |" in got
+    assert "`profiles/maya/audience.md`" in got and "| The house card | `CONTEXT.md` |" in got and "`profiles/maya/tone.md` - 0 authored of 80" in got

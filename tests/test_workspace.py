@@ -93,7 +93,7 @@ def test_commands(spark, project):
     found = {(f["code"], f["ref"]) for f in run(spark, project, "validate")["findings"]}
     assert ("W_ORPHAN_EVIDENCE", "e2:L30") in found
     assert run(spark, project, "compile-context")["tokens"] < 900
-    assert "leverage -> use" in (project / ".voice/CONTEXT.md").read_text()
+    assert "| leverage | use | derived |" in (project / ".voice/CONTEXT.md").read_text()
 
     state = run(spark, project, "status")
     assert state["stages"]["scan"] and {g["id"] for g in state["gaps"]} >= {"G12", "G18"}

@@ -86,17 +86,55 @@ def first_clause(s: str, n: int = 60) -> str:
     return truncate(s[:cut], n)
 
 
-def card(kb: dict, lexicon: list[dict], mechanics: list[dict], profile: str = "default", generated: str = "") -> str:
-    """The compiled card: voice, dials, the most violated rules, gates.  `lexicon` and
-    `mechanics` are ranked; 8 and 6 of them are shown, and 6 voice rules."""
-    config, voice = kb["config"], [r for r in kb["rules"] if r["id"].startswith("V") and r["confidence"] != "disputed"]
-    own = config["profiles"].get(profile, config["profiles"]["default"])
-    lines = ["# Voice card", "", f"Brand: {own.get('name')} - profile: {profile} - locales: {', '.join(own.get('locales', []))} - version: {config['kb_version']} - generated: {generated}", "", "## Voice", ""]
-    lines += [x for r in voice[:6] for x in (f"- {r['name'] or r['id']} ({r['confidence']}): {r['cells'].get('Means', '')}", f"  - Rules out: {r['cells'].get('Rules out', '-')}")] or ["None yet."]
-    dials = kb.get("default_dials") or {d: 0 if d == "humor" else 2 for d in V.DIALS}
-    lines += ["", "## Dials", "", ", ".join(f"{d} {dials.get(d, 2)}" for d in V.DIALS), "", "## Lexicon", ""]
-    lines += [f"- {r['avoid']} -> {r['prefer'] or '-'} ({r['confidence']})" for r in lexicon[:8]] or ["None yet."]
-    lines += ["", "## Mechanics", ""]
-    lines += [f"- {r.get('rule') or r['id']} ({r['confidence']})" for r in mechanics[:6]] or ["None yet."]
-    lines += ["", "## Humor", "", f"Only authored cells may carry humor; never in {', '.join(V.HUMOR_FREE_STATES)}.", "", f"{len(kb['cells'])} authored cells of {len(V.CONTEXTS) * len(V.STATES)}."]
+#: Fixed texts of the card.
+CARD_HEAD = ("<!-- GENERATED FILE - do not edit by hand. Rebuild with sync -->", "", "# Voice & Tone - compiled card", "")
+CARD_HUMOR = "Humor requires an **authored** tone cell. An interpolated cell never carries humor."
+CARD_NONE = "_None yet._"
+
+
+def _section(title: str, rows: list[str], none: str | None = CARD_NONE) -> list[str]:
+    return [f"## {title}", "", *(rows or [none]), ""]
+
+
+def card(kb: dict, lexicon: list[dict], mechanics: list[dict], profile: str = "default", generated: str = "", overlay: dict | None = None) -> str:
+    """The compiled card: voice, dials, the most violated rules, gates, and where to look next.
+    `lexicon` and `mechanics` are ranked, 8 and 6 of them are shown, and 6 voice rules; none is
+    disputed.  A speaker's card lists the locked rules of the house apart and the rules it
+    replaces; `overlay` tells which files the speaker has of its own (channels, locales,
+    audience)."""
+    config, speaking = kb["config"], kb.get("role") == "speaker"
+    people, own = config["profiles"], overlay or {}
+    me = people.get(profile, people["default"])
+    agreed = [r for r in kb["rules"] if r["confidence"] != "disputed"]
+    voice = [r for r in agreed if r["id"].startswith("V") and not (speaking and r.get("locked"))]
+    who = f"**Brand:** {people['default'].get('name')} · " + (f"**Speaker:** {me.get('name')} ({profile})" if speaking else f"**Profile:** {profile}")
+    spoken = ", ".join(me.get("locales") or []) or me.get("primary_locale") or "en"
+    lines = [*CARD_HEAD, f"{who} · **Locales:** {spoken} · **KB version:** {config['kb_version']} · **Generated:** {generated}", ""]
+    lines += _section("Voice - constant", [x for r in voice[:6] for x in (f"- **{r['name'] or r['id']}** (`{r['confidence']}`) - {r['cells'].get('Means', '')}", f"  - Rules out: {r['cells'].get('Rules out', '(unspecified)')}")])
+    if speaking:
+        rows = []
+        for r in (r for r in agreed if r.get("locked")):
+            c = r["cells"]
+            if r["kind"] == "prose":
+                rows.append(f"- **{r['id']}** {r['name'] or ''} - rules out {first_clause(c.get('Rules out') or c.get('Means') or '(unspecified)')}")
+            else:
+                rows.append(f"- **{r['id']}** - {first_clause(c.get('Avoid') or c.get('Rule') or next(iter(c.values()), ''))}")
+        lines += _section("House guardrails (locked)", [*(rows or ["_None declared - see `locks:` in config.yml._"]), "Full wording: `lexicon.md`, `mechanics.md`, `voice.md` in the house."])
+    dials = kb.get("default_dials") or {}
+    lines += _section("Default dials", [" · ".join(f"{d} {dials.get(d, 0 if d == 'humor' else 2)}" for d in V.DIALS)])
+    replaced = {f: [r["id"] for r in kb["rules"] if r["id"] in kb.get("overrides", ()) and r["file"] == f] for f in ("lexicon", "mechanics")}
+    rows = [f"| {r['avoid'] or ''} | {r['prefer'] or ''} | {r['confidence'] or ''} |" for r in lexicon[:8]]
+    tables = {"lexicon": ("Lexicon", ["| Avoid | Prefer | Conf |", "|---|---|---|", *rows] if rows else []), "mechanics": ("Mechanics", [f"- {r.get('rule') or r['id']} (`{r['confidence']}`)" for r in mechanics[:6]])}
+    for f, (title, rows) in tables.items():
+        lines += _section(f"{title} - most-violated first", rows)
+        if speaking and replaced[f]:
+            lines += [f"Overrides: {', '.join(replaced[f])} (house rule replaced)", ""]
+    lines += _section("Humor gate", [CARD_HUMOR, f"These states force `humor 0` whatever the dials say: {' · '.join(V.HUMOR_FREE_STATES)}."])
+    at = lambda kind, name=None: f"profiles/{profile}/" if speaking and (own.get(kind) if name is None else name in own.get(kind, ())) else ""
+    named = lambda kind: ", ".join(f"`{at(kind, n)}{kind}/{n}.md`" for n in kb.get(kind, ())) or "_none yet_"
+    tone = f"`{f'profiles/{profile}/' if speaking else ''}tone.md` - {len(kb['cells'])} authored of {len(V.CONTEXTS) * len(V.STATES)}"
+    next_ = [("A tone cell", tone), ("A channel playbook", named("channels")), ("A locale pack", named("locales")), ("Who we write for", f"`{at('audience')}audience.md`"), ("Why a rule exists", "`evidence/ledger.md`")]
+    if speaking:
+        next_ += [("The house card", "`CONTEXT.md`"), ("The house voice, persona and self-reference rules", "`voice.md`")]
+    lines += _section("Where to look next", ["| Need | Load |", "|---|---|", *(f"| {need} | {load} |" for need, load in next_)])
     return "\n".join(lines) + "\n"

@@ -305,7 +305,11 @@ class Workspace:
         ranked = sorted((r for r in self.kb["rules"] if r["confidence"] != "disputed"), key=lambda r: (-hit.get(r["id"], 0), r["confidence"] != "confirmed", r["id"]))
         lexicon = [{"avoid": r["cells"].get("Avoid", r["id"]), "prefer": r["cells"].get("Prefer"), "confidence": r["confidence"]} for r in ranked if r["file"] == "lexicon"]
         mechanics = [{"id": r["id"], "rule": r["cells"].get("Rule"), "confidence": r["confidence"]} for r in ranked if r["file"] == "mechanics"]
-        card = report.card(self.kb, lexicon, mechanics, self.profile, self.now)
+        own = None
+        if self.kb["role"] == "speaker":
+            of = markdown.read_kb(self.artifacts)
+            own = {"channels": of["channels"], "locales": of["locales"], "audience": os.path.exists(os.path.join(self.artifacts, "audience.md"))}
+        card = report.card(self.kb, lexicon, mechanics, self.profile, self.now, own)
         sinks.write_text(self.path("CONTEXT.md"), card)
         return card, -(-len(card) // 4)
 
