@@ -434,6 +434,28 @@ def test_jaccard(spark, n, num, block):
     assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == [(len(s), c) for s, c in zip(sets, comp, strict=True)]
 
 
+def test_jaccard_divides_what_boilerplate_joins(spark, monkeypatch):
+    """Documents that share a passage and are not linked meet in no second pass, however many they are; near copies do."""
+    r = random.Random(7)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = say(70)
+    texts = [" ".join(say(15) + passage + say(15)) for _ in range(80)]
+    near = [t.replace(t.split()[3], "changed") for t in texts[:10]]
+    rows = [*enumerate(texts + near), (0, texts[0]), (1, "another text of the id")]
+    placed = []
+
+    def stored(df, name, f=jaccard.stored):
+        out = f(df, name)
+        if name == "placed":
+            placed.append(out.select(F.sum(F.size("met"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS), n=3, num=90, block=8).collect()
+    assert len(got) == len(rows) and {(x.doc_id, x.component_id) for x in got} == {(k, k - 80 if k >= 80 else k) for k in range(90)}
+    assert placed == [0]
+
+
 def test_jaccard_edges(spark, nothing, awkward):
     assert jaccard.jaccard_groups(nothing).count() == 0
     got = jaccard.jaccard_groups(awkward).collect()

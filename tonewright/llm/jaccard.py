@@ -9,7 +9,12 @@ Documents with equal sets are one class.  The exact join of classes has three st
    shingles, then by hash): the strongest agreeing bucket is kept by both.  Sets that
    share a signature are joined, and the connected components are the candidate groups:
    every link lies within a group, and text that many documents share hardly joins them
-   because a whole bucket must agree.
+   because a whole bucket must agree.  In a large corpus it still joins some, and chains of
+   them make groups of sets that do not link.  So a group of several blocks is divided:
+   linked sets share at least m of their shingles, m known from the size of each.  A set
+   that shares fewer with all others of the large groups together is linked with nothing;
+   the others drop the m - 1 of them that most sets hold, and those that share one of the
+   rest are joined.  The rarest shingle that linked sets share is kept by both.
 2. Signature trees.  A group's sets are cut into blocks of bounded size, a small group is
    one block; of a block a tree is built whose nodes hold the size range and the OR-combined
    token bitmap of the sets below, with the most shingles that any of them has on each bit.
@@ -24,8 +29,10 @@ Documents with equal sets are one class.  The exact join of classes has three st
 Bounds: signatures are 16 bytes a row, one a batch and signature; edges are stars of what a
 task connects, so their number follows the sets, not their pairs, and paths are short; blocks hold about
 `block` sets and `shingles` shingles at most (a longer set is a block of its own); groups of
-any size are split, so no group reaches one task.  A text travels once, and again only for
-what its group leaves unconnected.
+any size are split, so no group reaches one task.  Sets of large groups are divided by rows of
+24 bytes a shingle, each read once; a key of that shuffle has a row a set at most.  A text travels
+once, and again only for what its group leaves unconnected.  Shuffle files go with the write that
+made them.
 
 Defined results: with fewer words than n the whole sequence is one shingle; null or empty
 text has no shingles and links with nothing; a row without an id is not linked; repeated
@@ -45,9 +52,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonewright.llm.hashing import Forest, Names, U, by_group, chunks, mix, ngrams, word_hashes
-from tonewright.llm.shared import components, discard, stored
+from tonewright.llm.shared import components, conf_set, discard, stored
 
 BITS = 1024
 BLOCK = 256
@@ -55,6 +63,8 @@ LEAF = 4
 LEVEL = 1.12  # the ratio of neighbouring size levels
 PIVOTS = 8  # a block's pivot sets, on average
 SHINGLES = 2_000_000  # a block's shingles, at most (but for one set)
+#: Shuffle files go when the write that made them ends, not when the driver collects its garbage.
+_ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +230,11 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, kno
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """(doc_id, node, n_shingles, component_id): one row per row of `docs`; `node` is a
     128-bit digest of the set (null without shingles).  Ids are integers."""
+    with conf_set(docs.sparkSession, _ONCE):
+        return _groups(docs, n, num, den, id_col, text_col, block, shingles)
+
+
+def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, block: int, shingles: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -346,9 +361,19 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
             both = names.stars()
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    # First: every block with itself and the pivots of near blocks.
-    whole = stored(member.groupBy("grp").agg(cuts, F.count("*").alias("sets")).select("grp", (F.col("cuts") <= 1).alias("single"), "sets"), "groups")
+    def summed(member: DataFrame) -> DataFrame:
+        return stored(member.groupBy("grp").agg(cuts, F.count("*").alias("sets")).select("grp", (F.col("cuts") <= 1).alias("single"), "sets"), "groups")
+
+    whole = summed(member)
     held.append(whole)
+    large = whole.where(~F.col("single") & (F.col("sets") > 1)).select("grp")
+    if large.limit(1).count():
+        divided = divide(texts, stored(member.join(large, "grp", "left_semi"), "large"), n, num, den)
+        member = stored(member.join(large, "grp", "left_anti").unionByName(divided), "members")
+        whole = summed(member)
+        held += [member, whole]
+
+    # First: every block with itself and the pivots of near blocks.
     sized = member.join(whole.where("sets > 1"), "grp").withColumn("level", F.when(F.col("single"), F.lit(0)).otherwise(F.col("level")).cast("long"))
     cells = near(stored(sized.groupBy("grp", "level").agg(cuts), "cells"))
     place = lambda level, k: F.xxhash64(level, k)
@@ -385,6 +410,71 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     return out
 
 
+def divide(texts: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of `large` (node, rep, size, grp, level) that can have a link, in smaller groups:
+    linked sets are in one.  `texts` is (doc_id, text); `large` is a stored table that is used up."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, name, size) of every set."""
+        for b in batches:
+            node = b.column(0).to_pylist()
+            for at, data, offsets in chunks(b.column(1)):
+                g, r = shingle_sets(data, offsets, n)
+                size = np.bincount(r, minlength=len(offsets) - 1)
+                ends = np.cumsum(size)
+                # another text of the same id is not this set
+                same = np.array([xxhash.xxh3_128_digest(g[e - s : e].tobytes()) == node[at + k] for k, (s, e) in enumerate(zip(size.tolist(), ends.tolist(), strict=True))])
+                name = np.array([_spark_xxhash64(x) for x in node[at : at + len(size)]], np.int64)
+                g, r = g[same[r]], r[same[r]]
+                for a in range(0, len(g), _ROWS):
+                    rows = r[a : a + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(g[a : a + _ROWS].view(np.int64)), pa.array(name[rows]), pa.array(size[rows])], names=["shingle", "name", "size"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a stream sorted by shingle and name the rows of shingles that several sets hold, with how many do."""
+        none = np.zeros(0, np.int64)
+        held = [none, none, none]
+
+        def out(g: np.ndarray, name: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (name[1:] != name[:-1])  # a repeated row is the same set
+            g, name, size = g[new], name[new], size[new]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(g), 1), bool), g[1:] != g[:-1]]))
+            sets = np.diff(np.append(first, len(g)))
+            sets = np.repeat(sets, sets)
+            several = sets > 1
+            return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (g, name, size, sets)], names=["shingle", "name", "size", "sets"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on
+            if last:
+                yield out(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        yield out(*held)
+
+    of_large = texts.join(large.select("node", "rep").hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "text")
+    rows = of_large.mapInArrow(spread, "shingle long, name long, size long").repartition(parts, "shingle").sortWithinPartitions("shingle", "name")
+    shared = rows.mapInArrow(count, "shingle long, name long, size long, sets long")
+    least = F.ceil(F.col("size") * num / den)  # so many a linked set shares
+    own = Window.partitionBy("name")
+    kept = shared.withColumn("nth", F.row_number().over(own.orderBy(F.desc("sets"), "shingle"))).withColumn("of", F.count("*").over(own))
+    kept = kept.where((F.col("of") >= least) & (F.col("nth") >= least)).select("shingle", "name")
+    stars = kept.select(F.min("name").over(Window.partitionBy("shingle")).alias("a"), F.col("name").alias("b")).where("a <> b").distinct()
+    stars = stored(stars, "stars")
+    groups = components(stars).select(F.col("node").alias("gnode"), F.col("root").alias("part"))
+    out = stored(large.join(groups, F.xxhash64("node") == F.col("gnode")).select("node", "rep", "size", F.col("part").alias("grp"), "level"), "divided")
+    discard(stars)
+    discard(large)
+    return out
+
+
+_ROWS = 1 << 18
+
+
 def _short_digest(g: np.ndarray) -> int:
     """Spark's xxhash64 of the set's digest, so that both sides name a set alike."""
     return _spark_xxhash64(xxhash.xxh3_128_digest(g.tobytes()))
