@@ -456,6 +456,49 @@ def test_jaccard_divides_what_boilerplate_joins(spark, monkeypatch):
     assert placed == [0]
 
 
+def boilerplate_docs():
+    """80 documents that share a passage and are not linked, and a near copy of each of the first ten."""
+    r = random.Random(7)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = say(70)
+    texts = [" ".join(say(15) + passage + say(15)) for _ in range(80)]
+    return texts + [t.replace(t.split()[3], "changed") for t in texts[:10]]
+
+
+def test_jaccard_divides_by_the_rarest_shingles_alone(spark, monkeypatch):
+    """Dividing a large group sends what its sets keep, not each of their shingles."""
+    docs = spark.createDataFrame([*enumerate(boilerplate_docs())], DOCS)
+    frame, sent, dealt = type(docs), [], type(docs).repartition
+
+    def repartition(df, *by):
+        if {"shingle", "key"} & set(df.columns):
+            sent.append(df.count())
+        return dealt(df, *by)
+
+    def divide(*args, f=jaccard.divide):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(frame, "repartition", repartition)
+            return f(*args)
+
+    monkeypatch.setattr(jaccard, "divide", divide)
+    got = jaccard.jaccard_groups(docs, n=3, num=90, block=8).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(k, k - 80 if k >= 80 else k) for k in range(90)}
+    # 20 sets have a near copy and keep at most 98 - 89 + 1 shingles; the near copies' edges come on top
+    assert len(sent) == 1 and 0 < sent[0] <= 20 * 10 + 10
+
+
+@pytest.mark.parametrize(("cells", "deep", "met"), [(1, 1, True), (64, 1, True), (1, 16, False), (1 << 12, 16, False)])
+def test_jaccard_divides_with_a_full_table(spark, monkeypatch, cells, deep, met):
+    """A table of counts that tells nothing loses no link; exact counts then divide what is still large."""
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    monkeypatch.setattr(jaccard, "DEEP", deep)
+    exactly = []
+    monkeypatch.setattr(jaccard, "divide_exactly", lambda *args, f=jaccard.divide_exactly: exactly.append(1) or f(*args))
+    got = jaccard.jaccard_groups(spark.createDataFrame([*enumerate(boilerplate_docs())], DOCS), n=3, num=90, block=8).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(k, k - 80 if k >= 80 else k) for k in range(90)}
+    assert bool(exactly) == met
+
+
 def test_jaccard_edges(spark, nothing, awkward):
     assert jaccard.jaccard_groups(nothing).count() == 0
     got = jaccard.jaccard_groups(awkward).collect()

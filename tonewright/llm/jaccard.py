@@ -11,10 +11,14 @@ Documents with equal sets are one class.  The exact join of classes has three st
    every link lies within a group, and text that many documents share hardly joins them
    because a whole bucket must agree.  In a large corpus it still joins some, and chains of
    them make groups of sets that do not link.  So a group of several blocks is divided:
-   linked sets share at least m of their shingles, m known from the size of each.  A set
-   that shares fewer with all others of the large groups together is linked with nothing;
-   the others drop the m - 1 of them that most sets hold, and those that share one of the
-   rest are joined.  The rarest shingle that linked sets share is kept by both.
+   linked sets share at least m of their shingles, m known from the size of each.  In any
+   order of all shingles each set drops its first m - 1; the last shingle that linked sets
+   share is kept by both, so sets that share a kept one are joined, the rest link with
+   nothing.  The order is by how many sets hold a shingle, most first, read from a table of
+   counts by hash of fixed size; what one set alone holds by that table is not sent.  A full
+   table orders less well, and joins more, but loses nothing.  Groups that are then still of
+   more than `DEEP` blocks are divided by exact counts: of the shingles that others hold each
+   set drops the m - 1 that most sets hold.
 2. Signature trees.  A group's sets are cut into blocks of bounded size, a small group is
    one block; of a block a tree is built whose nodes hold the size range and the OR-combined
    token bitmap of the sets below, with the most shingles that any of them has on each bit.
@@ -29,9 +33,11 @@ Documents with equal sets are one class.  The exact join of classes has three st
 Bounds: signatures are 16 bytes a row, one a batch and signature; edges are stars of what a
 task connects, so their number follows the sets, not their pairs, and paths are short; blocks hold about
 `block` sets and `shingles` shingles at most (a longer set is a block of its own); groups of
-any size are split, so no group reaches one task.  Sets of large groups are divided by rows of
-24 bytes a shingle, each read once; a key of that shuffle has a row a set at most.  A text travels
-once, and again only for what its group leaves unconnected.  Shuffle files go with the write that
+any size are split, so no group reaches one task.  Sets of large groups are divided by a row for
+each kept shingle, (1 - num / den) of a set at most; the table of counts is `CELLS` bytes, one a task
+of `CELLS` / 4 shingles, and reaches the driver and every task once.  The exact counts take a row of
+24 bytes a shingle, and one for each that others hold.  A text travels once, and again only for what
+its group leaves unconnected.  Shuffle files go with the write that
 made them.
 
 Defined results: with fewer words than n the whole sequence is one shingle; null or empty
@@ -63,6 +69,8 @@ LEAF = 4
 LEVEL = 1.12  # the ratio of neighbouring size levels
 PIVOTS = 8  # a block's pivot sets, on average
 SHINGLES = 2_000_000  # a block's shingles, at most (but for one set)
+CELLS = 1 << 24  # of the table of counts by hash, a byte each
+DEEP = 16  # a group of more blocks is divided by exact counts
 #: Shuffle files go when the write that made them ends, not when the driver collects its garbage.
 _ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -227,6 +235,52 @@ def link_block(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, kno
     return list(join_trees(build_tree(sides[0], sizes, counts), build_tree(sides[1], sizes, counts), sets, counts, forest, num, den))
 
 
+def _held(s: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """(key, a, b) of keys `s` and the sets `a` that hold them.  Sets that share keys are
+    connected by a forest: rows with b.  Rows without b say that key `key` occurs, among the
+    sets connected with a."""
+    order = np.argsort(s, kind="stable")
+    s, a = s[order], a[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    at = np.flatnonzero(~new)
+    names = Names()
+    names.join(a[at - 1], a[at])
+    edges = names.stars()
+    key = np.concatenate([s[new], edges[:, 0]])
+    left = np.concatenate([names.roots(a[new]), edges[:, 0]])
+    right = np.concatenate([np.zeros(int(new.sum()), np.int64), edges[:, 1]])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(right, mask=np.arange(len(right)) < int(new.sum()))], names=["key", "a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of what the task's keys connect; they are given out when there are many,
+    which costs repeated edges but no connection."""
+    last, names = None, Names()
+
+    def out() -> pa.RecordBatch:
+        both = names.stars()
+        names.up.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+        key, a = b.column(0).to_numpy(), b.column(1).to_numpy()
+        names.join(a[edge], b.column(2).fill_null(0).to_numpy()[edge])
+        key, a = key[~edge], a[~edge]
+        if last is not None:
+            key, a = np.append(last[0], key), np.append(last[1], a)
+        if len(key):
+            last = (key[-1:], a[-1:])
+        same = key[1:] == key[:-1]
+        names.join(a[:-1][same], a[1:][same])
+        if len(names) > 500_000:
+            yield out()
+    yield out()
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """(doc_id, node, n_shingles, component_id): one row per row of `docs`; `node` is a
     128-bit digest of the set (null without shingles).  Ids are integers."""
@@ -253,9 +307,7 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     held = [classes]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, a, b).  Sets of the batch that share signatures are connected by a forest:
-        rows with b.  Rows without b say that signature `key` occurs in the batch, among the
-        sets connected with a."""
+        """(key, a, b): the signatures of sets, as of `_held`."""
         for batch in batches:
             for _, data, offsets in chunks(batch.column(1)):
                 g, r = shingle_sets(data, offsets, n)
@@ -263,50 +315,11 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                 size = np.bincount(r, minlength=len(offsets) - 1)
                 ends = np.cumsum(size)
                 name = np.array([_short_digest(g[e - s : e]) if s else 0 for s, e in zip(size.tolist(), ends.tolist(), strict=True)], np.int64)
-                s, a = sig.view(np.int64), name[row]
-                order = np.argsort(s, kind="stable")
-                s, a = s[order], a[order]
-                new = np.ones(len(s), bool)
-                new[1:] = s[1:] != s[:-1]
-                at = np.flatnonzero(~new)
-                names = Names()
-                names.join(a[at - 1], a[at])
-                edges = names.stars()
-                key = np.concatenate([s[new], edges[:, 0]])
-                left = np.concatenate([names.roots(a[new]), edges[:, 0]])
-                right = np.concatenate([np.zeros(int(new.sum()), np.int64), edges[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(left), pa.array(right, mask=np.arange(len(right)) < int(new.sum()))], names=["key", "a", "b"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Stars of what the task's signatures connect; they are given out when there are many,
-        which costs repeated edges but no connection."""
-        last, names = None, Names()
-
-        def out() -> pa.RecordBatch:
-            both = names.stars()
-            names.up.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            edge = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            key, a = b.column(0).to_numpy(), b.column(1).to_numpy()
-            names.join(a[edge], b.column(2).fill_null(0).to_numpy()[edge])
-            key, a = key[~edge], a[~edge]
-            if last is not None:
-                key, a = np.append(last[0], key), np.append(last[1], a)
-            if len(key):
-                last = (key[-1:], a[-1:])
-            same = key[1:] == key[:-1]
-            names.join(a[:-1][same], a[1:][same])
-            if len(names) > 500_000:
-                yield out()
-        yield out()
+                yield _held(sig.view(np.int64), name[row])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-    groups = components(pairs)
+    pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
+    groups = _joined(pairs)
     # linked sets lie at most `reach` size levels apart, so only blocks of near levels meet
     step = math.log(LEVEL)
     reach = math.floor(math.log(den / num) / step + 1e-9) + 1
@@ -362,19 +375,21 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def summed(member: DataFrame) -> DataFrame:
-        return stored(member.groupBy("grp").agg(cuts, F.count("*").alias("sets")).select("grp", (F.col("cuts") <= 1).alias("single"), "sets"), "groups")
+        return stored(member.groupBy("grp").agg(cuts.alias("blocks"), F.count("*").alias("sets")).select("grp", (F.col("blocks") <= 1).alias("single"), "sets", "blocks"), "groups")
 
     whole = summed(member)
     held.append(whole)
-    large = whole.where(~F.col("single") & (F.col("sets") > 1)).select("grp")
-    if large.limit(1).count():
-        divided = divide(texts, stored(member.join(large, "grp", "left_semi"), "large"), n, num, den)
+    for way, blocks in ((divide, 1), (divide_exactly, DEEP)):
+        large = whole.where((F.col("blocks") > blocks) & (F.col("sets") > 1)).select("grp")
+        if not large.limit(1).count():
+            break
+        divided = way(texts, stored(member.join(large, "grp", "left_semi"), "large"), n, num, den)
         member = stored(member.join(large, "grp", "left_anti").unionByName(divided), "members")
         whole = summed(member)
-        held += [member, whole]
+        held += [member, whole, divided]
 
     # First: every block with itself and the pivots of near blocks.
-    sized = member.join(whole.where("sets > 1"), "grp").withColumn("level", F.when(F.col("single"), F.lit(0)).otherwise(F.col("level")).cast("long"))
+    sized = member.join(whole.where("sets > 1").drop("blocks"), "grp").withColumn("level", F.when(F.col("single"), F.lit(0)).otherwise(F.col("level")).cast("long"))
     cells = near(stored(sized.groupBy("grp", "level").agg(cuts), "cells"))
     place = lambda level, k: F.xxhash64(level, k)
     each = F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda k: place(o["olevel"], k)))
@@ -410,26 +425,102 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     return out
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """`components` of edges that are costly: they are made once, not for each direction."""
+    edges = stored(edges, "pairs")
+    out = components(edges)
+    discard(edges)
+    return out
+
+
+def _texts_of(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, text) of `sets`; other texts of the same id too."""
+    # the members of groups have no size bound: never broadcast, at any size
+    return texts.join(sets.select("node", "rep").hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "text")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of batches (node, text), in stretches: shingles and their row; name and size by row."""
+    for b in batches:
+        node = b.column(0).to_pylist()
+        for at, data, offsets in chunks(b.column(1)):
+            g, r = shingle_sets(data, offsets, n)
+            size = np.bincount(r, minlength=len(offsets) - 1)
+            ends = np.cumsum(size)
+            # another text of the same id is not this set
+            same = np.array([xxhash.xxh3_128_digest(g[e - s : e].tobytes()) == node[at + k] for k, (s, e) in enumerate(zip(size.tolist(), ends.tolist(), strict=True))])
+            name = np.array([_spark_xxhash64(x) for x in node[at : at + len(size)]], np.int64)
+            yield g[same[r]], r[same[r]], name, size
+
+
+def _regrouped(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `large` that are in a group of `groups`, under its name; uses up `large`."""
+    groups = groups.select(F.col("node").alias("gnode"), F.col("root").alias("part"))
+    out = stored(large.join(groups, F.xxhash64("node") == F.col("gnode")).select("node", "rep", "size", F.col("part").alias("grp"), "level"), "divided")
+    discard(large)
+    return out
+
+
 def divide(texts: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The rows of `large` (node, rep, size, grp, level) that can have a link, in smaller groups:
     linked sets are in one.  `texts` is (doc_id, text); `large` is a stored table that is used up."""
+    spark, cells = texts.sparkSession, CELLS
+    part = min(cells, 1 << 16)
+
+    def place(g: np.ndarray) -> np.ndarray:
+        return (mix(g ^ U(_STEP)) % U(cells)).astype(np.int64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(part, cells): how many sets of the task hold a shingle of the cell, 255 at most."""
+        table = np.zeros(cells, np.uint8)
+        for g, _, _, _ in _sets(batches, n):
+            at, count = np.unique(place(g), return_counts=True)
+            table[at] = np.minimum(table[at] + count, 255)
+        if table.any():
+            for k in range(0, cells, part):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([table[k : k + part].tobytes()])], names=["part", "cells"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, 1):
+            both = np.zeros(part, np.uint64)
+            for x in t.column(1):
+                both[: len(x.as_py())] += np.frombuffer(x.as_py(), np.uint8)
+            yield pa.RecordBatch.from_arrays([t.column(0)[:1].combine_chunks(), pa.array([np.minimum(both, 255).astype(np.uint8).tobytes()])], names=["part", "cells"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, a, b): the kept shingles of sets, as of `_held`."""
+        for g, r, name, size in _sets(batches, n):
+            count = held.value[place(g)]
+            order = np.lexsort((g, -count.astype(int), r))
+            g, r, count = g[order], r[order], count[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r) + 1
+            keep = (nth >= -(-size[r] * num // den)) & (count > 1)  # a shingle of one set links nothing
+            yield _held(g[keep].view(np.int64), name[r[keep]])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_large = stored(_texts_of(texts, large), "texts")
+    tasks = math.ceil((large.agg(F.sum("size")).first()[0] or 0) / max(cells / 4, 1))
+    counts = of_large.coalesce(max(1, tasks)).mapInArrow(tally, "part long, cells binary")
+    counts = counts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "part long, cells binary")
+    # of fixed size, whatever the input
+    held = spark.sparkContext.broadcast(np.frombuffer(b"".join(x.cells for x in sorted(counts.collect(), key=lambda x: x.part)).ljust(cells, b"\0"), np.uint8)[:cells])
+    rows = of_large.mapInArrow(rarest, "key long, a long, b long")
+    out = _regrouped(large, _joined(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")))
+    held.destroy()
+    discard(of_large)
+    return out
+
+
+def divide_exactly(texts: DataFrame, large: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """As `divide`, by the exact counts of shingles."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(shingle, name, size) of every set."""
-        for b in batches:
-            node = b.column(0).to_pylist()
-            for at, data, offsets in chunks(b.column(1)):
-                g, r = shingle_sets(data, offsets, n)
-                size = np.bincount(r, minlength=len(offsets) - 1)
-                ends = np.cumsum(size)
-                # another text of the same id is not this set
-                same = np.array([xxhash.xxh3_128_digest(g[e - s : e].tobytes()) == node[at + k] for k, (s, e) in enumerate(zip(size.tolist(), ends.tolist(), strict=True))])
-                name = np.array([_spark_xxhash64(x) for x in node[at : at + len(size)]], np.int64)
-                g, r = g[same[r]], r[same[r]]
-                for a in range(0, len(g), _ROWS):
-                    rows = r[a : a + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[a : a + _ROWS].view(np.int64)), pa.array(name[rows]), pa.array(size[rows])], names=["shingle", "name", "size"])
+        for g, r, name, size in _sets(batches, n):
+            for a in range(0, len(g), _ROWS):
+                rows = r[a : a + _ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(g[a : a + _ROWS].view(np.int64)), pa.array(name[rows]), pa.array(size[rows])], names=["shingle", "name", "size"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a stream sorted by shingle and name the rows of shingles that several sets hold, with how many do."""
@@ -456,20 +547,14 @@ def divide(texts: DataFrame, large: DataFrame, n: int, num: int, den: int) -> Da
                 held = [x[last:] for x in held]
         yield out(*held)
 
-    of_large = texts.join(large.select("node", "rep").hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "text")
-    rows = of_large.mapInArrow(spread, "shingle long, name long, size long").repartition(parts, "shingle").sortWithinPartitions("shingle", "name")
+    rows = _texts_of(texts, large).mapInArrow(spread, "shingle long, name long, size long").repartition(parts, "shingle").sortWithinPartitions("shingle", "name")
     shared = rows.mapInArrow(count, "shingle long, name long, size long, sets long")
     least = F.ceil(F.col("size") * num / den)  # so many a linked set shares
     own = Window.partitionBy("name")
     kept = shared.withColumn("nth", F.row_number().over(own.orderBy(F.desc("sets"), "shingle"))).withColumn("of", F.count("*").over(own))
     kept = kept.where((F.col("of") >= least) & (F.col("nth") >= least)).select("shingle", "name")
     stars = kept.select(F.min("name").over(Window.partitionBy("shingle")).alias("a"), F.col("name").alias("b")).where("a <> b").distinct()
-    stars = stored(stars, "stars")
-    groups = components(stars).select(F.col("node").alias("gnode"), F.col("root").alias("part"))
-    out = stored(large.join(groups, F.xxhash64("node") == F.col("gnode")).select("node", "rep", "size", F.col("part").alias("grp"), "level"), "divided")
-    discard(stars)
-    discard(large)
-    return out
+    return _regrouped(large, components(stars))
 
 
 _ROWS = 1 << 18
