@@ -10,11 +10,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tonewright.llm import bpe, embeddings, hashing, jaccard, licenses, lm, media, packing, quality, queries, secrets, toxicity
+from tonewright.llm import bpe, embeddings, hashing, jaccard, licenses, lm, media, packing, quality, queries, secrets, shared, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string"
@@ -499,6 +500,47 @@ def test_jaccard_divides_with_a_full_table(spark, monkeypatch, cells, deep, met)
     assert bool(exactly) == met
 
 
+def test_jaccard_writes_few_tables(spark, monkeypatch):
+    """Components of large groups take few rounds, and each writes one table: with many partitions tables are what costs."""
+    written = []
+    for module in (jaccard, shared):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=shared.stored: written.append(name) or f(df, name))
+    got = jaccard.jaccard_groups(spark.createDataFrame([*enumerate(boilerplate_docs())], DOCS), n=3, num=90, block=8).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(k, k - 80 if k >= 80 else k) for k in range(90)}
+    assert sum(x in ("pairs", "links", "edges", "labels", "jumped") for x in written) <= 12
+
+
+def test_settled_is_brute_force(spark):
+    """Hubs, chains that meet in the middle, and what several tasks found of one component."""
+    r = random.Random(5)
+    for seed in range(3):
+        n = 300
+        pairs = [(r.randrange(n // 2), r.randrange(n // 2)) for _ in range(60 + 30 * seed)] + [(160, k) for k in range(161, 220)]
+        valley = [*range(220, 299, 2), *range(297, 220, -2)]
+        pairs = [*pairs, *zip(valley, valley[1:], strict=False)]
+        names = hashing.Names()
+        rows, want = [], roots(n, pairs)
+        for k in range(0, len(pairs), 7):  # as tasks give them
+            names.up.clear()
+            names.join(*np.array(pairs[k : k + 7]).T)
+            rows += names.trees().tolist()
+        got = jaccard.settled(spark.createDataFrame(rows, "a long, b long")).collect()
+        met = {x for a, b in pairs if a != b for x in (a, b)}
+        assert sorted((x.node, x.root) for x in got) == sorted((k, want[k]) for k in met)
+    assert jaccard.settled(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_close_goes_in_stretches(monkeypatch):
+    """A node's rows are read together, wherever batches and stretches end."""
+    monkeypatch.setattr(jaccard, "STRETCH", 3)
+    rows = sorted([(9, 1, False), (9, 2, False), (9, 3, True), (8, 8, True), (8, 5, False), (7, 7, True), (6, 6, True), (6, 6, True), (10, 4, False)])
+    for size in range(1, len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size], strict=True)], names=["node", "up", "head"]) for k in range(0, len(rows), size)]
+        out = [x for b in jaccard._close(iter(batches)) for x in b.to_pylist()]
+        assert [(x["node"], x["up"], x["head"]) for x in out if x["own"]] == [(6, 6, True), (7, 7, True), (8, 5, True), (9, 1, True), (10, 4, False)]
+        assert {(2, 1), (3, 1)} == {(x["node"], x["up"]) for x in out if not x["own"]}
+
+
 def test_jaccard_edges(spark, nothing, awkward):
     assert jaccard.jaccard_groups(nothing).count() == 0
     got = jaccard.jaccard_groups(awkward).collect()

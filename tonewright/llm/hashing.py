@@ -210,3 +210,8 @@ class Names:
         """An edge (root, name) for every name that is no root."""
         out = [(r, x) for x in list(self.up) if (r := self.find(x)) != x]
         return np.array(out, np.int64).reshape(-1, 2)
+
+    def trees(self) -> np.ndarray:
+        """`stars`, and an edge (root, root) for every root."""
+        out = [(self.find(x), x) for x in list(self.up)]
+        return np.array(out, np.int64).reshape(-1, 2)

@@ -30,8 +30,9 @@ Documents with equal sets are one class.  The exact join of classes has three st
    every two blocks whose sizes allow a link meet, but for two of one component.
 3. Links found form the components.
 
-Bounds: signatures are 16 bytes a row, one a batch and signature; edges are stars of what a
-task connects, so their number follows the sets, not their pairs, and paths are short; blocks hold about
+Bounds: signatures are 16 bytes a row, one a batch and signature; edges are trees of what a
+task connects, so their number follows the sets, not their pairs, and a round of the components
+(`settled`) sends a set's name once a task and writes one table; blocks hold about
 `block` sets and `shingles` shingles at most (a longer set is a block of its own); groups of
 any size are split, so no group reaches one task.  Sets of large groups are divided by a row for
 each kept shingle, (1 - num / den) of a set at most; the table of counts is `CELLS` bytes, one a task
@@ -56,7 +57,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,6 +72,7 @@ PIVOTS = 8  # a block's pivot sets, on average
 SHINGLES = 2_000_000  # a block's shingles, at most (but for one set)
 CELLS = 1 << 24  # of the table of counts by hash, a byte each
 DEEP = 16  # a group of more blocks is divided by exact counts
+STRETCH = 500_000  # rows of edges that a task connects at once
 #: Shuffle files go when the write that made them ends, not when the driver collects its garbage.
 _ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
@@ -254,12 +256,12 @@ def _held(s: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of what the task's keys connect; they are given out when there are many,
+    """Trees (a the root) of what the task's keys connect; they are given out when there are many,
     which costs repeated edges but no connection."""
     last, names = None, Names()
 
     def out() -> pa.RecordBatch:
-        both = names.stars()
+        both = names.trees()
         names.up.clear()
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -276,7 +278,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = (key[-1:], a[-1:])
         same = key[1:] == key[:-1]
         names.join(a[:-1][same], a[1:][same])
-        if len(names) > 500_000:
+        if len(names) > STRETCH:
             yield out()
     yield out()
 
@@ -319,7 +321,7 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = texts.select("doc_id", "text").mapInArrow(sign, "key long, a long, b long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
-    groups = _joined(pairs)
+    groups = settled(pairs)
     # linked sets lie at most `reach` size levels apart, so only blocks of near levels meet
     step = math.log(LEVEL)
     reach = math.floor(math.log(den / num) / step + 1e-9) + 1
@@ -337,22 +339,21 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
         return wide.join(other, ["grp", "olevel"]).groupBy("grp", "level", *more, "cuts").agg(found)
 
     def meeting(placed: DataFrame) -> DataFrame:
-        """Links of `placed`: (grp, node, rep, root, cell, met), met the cells to be joined with."""
+        """Links of the roots of `placed`: (grp, node, rep, root, cell, met), met the cells to be joined with."""
         # the members of groups have no size bound: never broadcast, at any size
-        tiles = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("grp", "node", "rep", "root", "cell", "text", F.explode("met").alias("other"))
-        tiles = tiles.select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "rep", "root", "text")
+        tiles = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("grp", "node", "root", "cell", "text", F.explode("met").alias("other"))
+        tiles = tiles.select("grp", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "root", "text")
         return tiles.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(verify, "a long, b long")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, 3):
             sets: list[np.ndarray] = []
-            reps: list[int] = []
             roots: list[int] = []
             side: list[int] = []
             known: set[bytes] = set()
             lo = t.column(1)[0].as_py()
-            cells, node, rep, root = (t.column(k).to_pylist() for k in range(3, 7))
-            for at, data, offsets in chunks(t.column(7)):
+            cells, node, root = (t.column(k).to_pylist() for k in range(3, 6))
+            for at, data, offsets in chunks(t.column(6)):
                 g, r = shingle_sets(data, offsets, n)
                 size = np.bincount(r, minlength=len(offsets) - 1)
                 ends = np.cumsum(size)
@@ -363,15 +364,14 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
                         continue
                     known.add(node[at + k])
                     sets.append(own.copy())
-                    reps.append(rep[at + k])
                     roots.append(root[at + k])
                     side.append(int(cells[at + k] != lo))
             if len(sets) < 2:
                 continue
             found = link_block(sets, np.array(side), num, den, roots)
             names = Names()
-            names.join(np.array([reps[i] for i, _ in found], np.int64), np.array([reps[j] for _, j in found], np.int64))
-            both = names.stars()
+            names.join(np.array([roots[i] for i, _ in found], np.int64), np.array([roots[j] for _, j in found], np.int64))
+            both = names.trees()
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def summed(member: DataFrame) -> DataFrame:
@@ -397,8 +397,7 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     own = place(F.col("level"), F.pmod(F.xxhash64("node"), F.col("cuts")))
     first = sized.join(cells, ["grp", "level"]).withColumn("own", own)
     first = first.select("grp", "node", "rep", F.col("rep").alias("root"), F.explode(F.when(pivot, F.array_union(F.flatten(each), F.array("own"))).otherwise(F.array("own"))).alias("cell"))
-    links = stored(meeting(first.withColumn("met", F.array("cell"))), "links")
-    roots = components(links).withColumnsRenamed({"node": "linked"})
+    roots = settled(meeting(first.withColumn("met", F.array("cell")))).withColumnsRenamed({"node": "linked"})
 
     # Then: blocks of groups that are not one component yet.
     several = sized.where(~F.col("single")).join(roots, F.col("rep") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "rep"))
@@ -415,22 +414,79 @@ def _groups(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     each = F.transform(apart, lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["ocuts"] - 1), lambda k: place(o["olevel"], o["opart"], k)))
     rest = several.join(counted.select("grp", "level", "root", F.coalesce("part", nobody).alias("part")), ["grp", "level", "root"]).join(cells, ["grp", "level", "part"])
     rest = rest.select("grp", "node", "rep", "root", place(F.col("level"), F.col("part"), F.pmod(F.xxhash64("node"), F.col("cuts"))).alias("cell"), F.flatten(each).alias("met"))
-    late = stored(meeting(stored(rest, "placed")), "links")
+    late = settled(meeting(stored(rest, "placed"))).select(F.col("node").alias("first"), F.col("root").alias("last"))
+    named = classes.join(roots, F.col("rep") == F.col("linked"), "left").select(F.col("node").alias("cnode"), F.coalesce("root", "rep").alias("component"))
     if late.limit(1).count():
-        roots = components(links.unionByName(late)).withColumnsRenamed({"node": "linked"})
-    named = stored(classes.join(roots, F.col("rep") == F.col("linked"), "left").select(F.col("node").alias("cnode"), F.coalesce("root", "rep").alias("component")), "named")
+        named = named.join(late, F.col("component") == F.col("first"), "left").select("cnode", F.coalesce("last", "component").alias("component"))
+    named = stored(named, "named")
     out = every.join(named, F.col("node") == F.col("cnode"), "left").select("doc_id", "node", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
-    for df in (*held, links, late, several, counted):
+    for df in (*held, several, counted):
         discard(df)
     return out
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """`components` of edges that are costly: they are made once, not for each direction."""
-    edges = stored(edges, "pairs")
-    out = components(edges)
-    discard(edges)
-    return out
+def settled(trees: DataFrame) -> DataFrame:
+    """Connected components of `trees` (a, b), edges of forests with a the root, and (a, a) for
+    each root: (node, root), root the smallest node of the component; no edges give no rows.
+
+    Edges are dealt by their larger end; a task connects all that it gets and tells each node the
+    least that it is connected with (`own`), and so each label that is not the least of its own
+    and is dealt elsewhere.  So a node gets a row a task at most, however many nodes name it.
+    Labels then take their label's label, by a join that adaptive execution can split, with the
+    nodes that were a root of `trees` (`head`) and are none: others are no label.  When no task
+    has news for another one, every node has one label, and only the labels' labels remain.
+    A round writes one table, the first, which deals twice, too; `trees` is read once."""
+    parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select("node", "up", "head").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_close, "node long, up long, head boolean, own boolean")
+
+    def noted(rows: DataFrame) -> tuple[DataFrame, bool]:
+        """`rows`, stored, and whether a task has news for another one."""
+        seen = Observation()
+        out = stored(rows.observe(seen, F.max(~F.col("own")).alias("news")), "labels")
+        return out, bool(seen.get["news"])
+
+    def jumped(labels: DataFrame) -> DataFrame:
+        own = labels.where("own and head and up < node").select(F.col("node").alias("of"), F.col("up").alias("top"))
+        return labels.join(own, F.col("up") == F.col("of"), "left").select("node", F.coalesce("top", "up").alias("up"), "head", "own", F.col("top").isNotNull().alias("moved"))
+
+    rows = trees.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("up"), (F.col("a") == F.col("b")).alias("head"))
+    labels, news = noted(dealt(dealt(rows)))
+    while news:
+        before = labels
+        labels, news = noted(dealt(jumped(before)))
+        discard(before)
+    while (after := jumped(labels)).where("moved").limit(1).count():
+        before, labels = labels, stored(after, "labels")
+        discard(before)
+    return labels.select("node", F.col("up").alias("root"))
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a stream (node, up, head) sorted by node the least that each node is connected with within
+    the task, or a stretch of it: (node, up, head, own), own of nodes, not own of labels that are no
+    node there."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+    def out(node: np.ndarray, up: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+        names = Names()
+        names.join(node, up)
+        keys, first = np.unique(node, return_index=True)
+        head = np.logical_or.reduceat(head, first) if len(first) else head
+        rest = np.setdiff1d(up, keys)
+        least = names.roots(rest)
+        rest, least = rest[least != rest], least[least != rest]
+        own = np.arange(len(keys) + len(rest)) < len(keys)
+        columns = [np.concatenate([keys, rest]), np.concatenate([names.roots(keys), least]), np.concatenate([head, np.ones(len(rest), bool)]), own]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "up", "head", "own"])
+
+    for b in batches:
+        held = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, b.columns, strict=True)]
+        if len(held[0]) > STRETCH and (last := int(np.searchsorted(held[0], held[0][-1]))):  # the last node may go on
+            yield out(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    yield out(*held)
 
 
 def _texts_of(texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -505,7 +561,7 @@ def divide(texts: DataFrame, large: DataFrame, n: int, num: int, den: int) -> Da
     # of fixed size, whatever the input
     held = spark.sparkContext.broadcast(np.frombuffer(b"".join(x.cells for x in sorted(counts.collect(), key=lambda x: x.part)).ljust(cells, b"\0"), np.uint8)[:cells])
     rows = of_large.mapInArrow(rarest, "key long, a long, b long")
-    out = _regrouped(large, _joined(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")))
+    out = _regrouped(large, settled(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")))
     held.destroy()
     discard(of_large)
     return out
